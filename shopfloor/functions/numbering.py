@@ -1,0 +1,61 @@
+"""Row numbers within groups, also for groups far too large for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+HOT_GROUP_ROWS = 5_000_000
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``row_number`` per group; each group is sorted by one task."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+
+
+def row_numbers_sliced(
+    df: DataFrame,
+    group: list[str],
+    order: list[Column],
+    name: str,
+    write: Callable[[str, Callable[[], DataFrame]], DataFrame],
+    hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """``row_number`` per group, where groups above ``hot_rows`` rows are spread over many tasks.
+
+    The rows of a hot group are range-partitioned by the sort order and written
+    with the number of their slice (``write`` stores a table and returns it, so
+    that slice numbers cannot change when a task is repeated). A row's number is
+    then its number within the slice plus the rows in earlier slices.
+    """
+    hot = df.groupBy(*group).count().filter(F.col("count") > hot_rows).select(*group)
+    if hot.isEmpty():
+        return row_numbers(df, group, order, name)
+
+    numbered = row_numbers(df.join(hot, group, "left_anti"), group, order, name)
+    sliced = write(
+        f"{name}_slices",
+        lambda: df.join(hot, group, "left_semi")
+        .repartitionByRange(*group, *order)
+        .withColumn("_slice", F.spark_partition_id()),
+    )
+    earlier = (
+        W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    )
+    # At most one row per slice and group, however large the group is.
+    offsets = (
+        sliced.groupBy(*group, "_slice")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    spread = (
+        row_numbers(sliced, [*group, "_slice"], order, name)
+        .join(offsets, [*group, "_slice"])
+        .withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
+        .drop("_slice", "_before")
+    )
+    return numbered.unionByName(spread)

@@ -1,0 +1,69 @@
+"""Tables written once per session to the shared folder of the cluster.
+
+The folder is the one named in ``spark.checkpoint.dir``. A session with a local
+master that names none gets a temporary folder; on a cluster without the setting
+nothing is written and tables stay lazy.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_written: dict[str, StructType] = {}
+_local_folder: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for written tables, or None if the cluster names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        return None
+    app = spark.conf.get("spark.app.id")
+    if app not in _local_folder:
+        _local_folder[app] = "file://" + tempfile.mkdtemp(prefix="shopfloor-")
+    return _local_folder[app]
+
+
+def source_version(*paths: str) -> str:
+    """Short hash of the paths and, for local files, of their sizes and times."""
+    parts = []
+    for path in paths:
+        parts.append(path)
+        local = path.removeprefix("file://").removeprefix("file:")
+        if os.path.exists(local):
+            stat = os.stat(local)
+            parts.append(f"{stat.st_size}:{stat.st_mtime_ns}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
+
+
+class Staging:
+    """Writes named tables of one source; each name is written once per session."""
+
+    def __init__(self, spark: SparkSession, version: str):
+        self._spark = spark
+        self._version = version
+        self._app = spark.conf.get("spark.app.id")
+        self._folder = shared_folder(spark)
+
+    @property
+    def enabled(self) -> bool:
+        return self._folder is not None
+
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The written table ``name``; ``build`` is called only if it is not there yet."""
+        if not self.enabled:
+            return build()
+        path = f"{self._folder}/shopfloor/{self._app}/{self._version}/{name}"
+        if path not in _written:
+            df = build()
+            df.write.mode("overwrite").parquet(path)
+            _written[path] = df.schema
+        return self._spark.read.schema(_written[path]).parquet(path)
