@@ -9,13 +9,13 @@ JobOper, PORel, LaborDtl, PartTran, DMRHead and JobProd may repeat keys.
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 JOB = ["Company", "JobNum"]
 ASM = [*JOB, "AssemblySeq"]
 OPR = [*ASM, "OprSeq"]
 
-_DDL = {
+# DDL strings, as ``spark.read.schema`` takes them. The part master is named ErpPart
+# because ``part`` is taken in the test data.
+ERP_SCHEMAS: dict[str, str] = {
     "JobHead": """Company string, JobNum string, Plant string, PartNum string, ProdQty decimal(12,2),
         JobClosed boolean, JobFirm boolean, WIPCleared boolean, JobEngineered boolean,
         JobReleased boolean, JobComplete boolean, CreateDate date, ClosedDate date""",
@@ -46,9 +46,5 @@ _DDL = {
     "PartPlant": "Company string, PartNum string, Plant string, PersonID string",
 }
 
-# The part master is named ErpPart because ``part`` is taken in the test data.
-ERP_SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
-STATUS_CACHE_SCHEMA = StructType.fromDDL(
-    "Company varchar(8), JobNum varchar(14), StatusCode int, LastUpdated timestamp"
-)
+# One row per Company and JobNum; the ERP declares the keys as varchar(8) and varchar(14).
+STATUS_CACHE_SCHEMA = "Company string, JobNum string, StatusCode int, LastUpdated timestamp"
