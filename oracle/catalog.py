@@ -156,7 +156,7 @@ def _costing() -> dict[str, str]:
             f"select {keys}, JobClosed, {dates}, {_money(*everything)} from combined", sums
         ),
         "variance_true_up": query(f"select {keys}, {dates}, {_money(*everything)} from trued_up", sums),
-        "wip_buckets": query(f"select {keys}, WIPCleared, {part}, {_money(*wips)}, Show from buckets", final),
+        "wip_buckets": query(f"select {keys}, WIPCleared, {part}, {_money(*wips)}, Visible from buckets", final),
         "company_visibility": query(
             "select Company, JobNum, Plant from JobHead where Company <> 'F101'"
         ),

@@ -74,13 +74,13 @@ def wip(report_date: str, cutoff: str, company_id: str) -> dict[str, str]:
         **costs(report_date, cutoff),
         "buckets": f"""select t.Company, t.Plant, t.JobNum, j.JobClosed, j.ClosedDate, j.WIPCleared,
             JobCreatedOn, JobScheduledOn, coalesce(pp.PartNum, '') as PartNum,
-            coalesce(p.ProdCode, '') as ProdCode, pp.PersonID as Planner, {amounts}, {visible} as Show
+            coalesce(p.ProdCode, '') as ProdCode, pp.PersonID as Planner, {amounts}, {visible} as Visible
             from trued_up t
             join JobHead j on j.Company = t.Company and j.Plant = t.Plant and j.JobNum = t.JobNum
             left join PartPlant pp on pp.Company = j.Company and pp.PartNum = j.PartNum and pp.Plant = j.Plant
             left join ErpPart p on p.Company = pp.Company and p.PartNum = pp.PartNum""",
         "totals": """select *, WIPLbr + WIPBur + WIPMtl + WIPSubcontract + WIPMtlBur as WIPTotal
-            from buckets where not WIPCleared and Show = 1
+            from buckets where not WIPCleared and Visible = 1
             and WIPLbr + WIPBur + WIPMtl + WIPSubcontract + WIPMtlBur <> 0""",
         "open_value": """select jp.Company, jp.JobNum, od.UnitPrice,
             sum(OurReqQty - OurJobShippedQty - OurStockShippedQty) as RemainQty,

@@ -127,7 +127,16 @@ def part_tran_consolidated(erp: Erp, report_date: date) -> DataFrame:
     return rows.groupBy(PLANT_JOB).agg(*sums)
 
 
-def _transactions_by_job(erp: Erp, report_date: date, cutoff: date) -> DataFrame:
+def _total_of(names: list[str]) -> Column:
+    total = F.lit(0)
+    for name in names:
+        total = total + F.coalesce(name, F.lit(0))
+    return total
+
+
+def _transactions_by_job(
+    erp: Erp, report_date: date, cutoff: date, amounts: list[str]
+) -> DataFrame:
     """Per job and transaction type the list of plant sums, from one pass.
 
     The lists are built from sums per plant, so their length is the number of
@@ -140,11 +149,12 @@ def _transactions_by_job(erp: Erp, report_date: date, cutoff: date) -> DataFrame
         .filter(to_stock | other)
         .groupBy(*PLANT_JOB, "TranType")
         .agg(*_amounts(F.col("TranQty"), "", "{}UnitCost"))
+        .withColumn("Total", _total_of(BUCKETS))
     )
 
     def plants(tran_type: str, prefix: str) -> Column:
-        amounts = F.struct(*[F.col(b).alias(f"{prefix}{b}") for b in BUCKETS])
-        return F.collect_list(F.when(F.col("TranType") == tran_type, amounts)).alias(prefix)
+        values = F.struct(*[F.col(a).alias(f"{prefix}{a}") for a in amounts])
+        return F.collect_list(F.when(F.col("TranType") == tran_type, values)).alias(prefix)
 
     return sums.groupBy(JOB).agg(*[plants(t, p) for t, p in TAKEN_OUT.items()])
 
@@ -152,25 +162,27 @@ def _transactions_by_job(erp: Erp, report_date: date, cutoff: date) -> DataFrame
 # --- combination ------------------------------------------------------------
 
 
-def _combine(costs: DataFrame, erp: Erp, report_date: date, cutoff: date) -> DataFrame:
-    """``costs`` with what was taken out of each job, 0 where nothing was.
+def _combine(
+    costs: DataFrame, erp: Erp, report_date: date, cutoff: date, amounts: list[str]
+) -> DataFrame:
+    """``costs`` with the ``amounts`` taken out of each job, 0 where nothing was.
 
     Jobs are matched without their plant: a job with transactions at several
     plants gets one row per combination.
     """
-    rows = costs.join(_transactions_by_job(erp, report_date, cutoff), JOB, "left")
+    rows = costs.join(_transactions_by_job(erp, report_date, cutoff, amounts), JOB, "left")
     for prefix in TAKEN_OUT.values():
-        rows = rows.withColumn(prefix, F.explode_outer(prefix)).select(
-            "*", f"{prefix}.*"
-        ).drop(prefix)
-    rows = rows.join(dmr_cost(erp).drop("Plant"), JOB, "left")
-    taken = [f"{p}{b}" for p in (*TAKEN_OUT.values(), "DMR") for b in BUCKETS]
+        rows = rows.withColumn(prefix, F.explode_outer(prefix)).select("*", f"{prefix}.*").drop(prefix)
+    rejects = dmr_cost(erp)
+    rejects = rejects.withColumn("DMRTotal", _total_of([f"DMR{b}" for b in BUCKETS]))
+    rows = rows.join(rejects.select(*JOB, *[f"DMR{a}" for a in amounts]), JOB, "left")
+    taken = [f"{p}{a}" for p in (*TAKEN_OUT.values(), "DMR") for a in amounts]
     return rows.withColumns({name: F.coalesce(name, F.lit(0)) for name in taken})
 
 
 def cost_combine(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) -> DataFrame:
     """Job cost next to inventory, sales, variance and reject cost."""
-    return _combine(job_cost(erp), erp, report_date, cutoff)
+    return _combine(job_cost(erp), erp, report_date, cutoff, BUCKETS)
 
 
 def _left_over(bucket: str) -> Column:
@@ -216,34 +228,45 @@ def _reported_heads(erp: Erp, with_part: bool) -> DataFrame:
     return rows.withColumn("PartNum", F.coalesce("_planned", F.lit(""))).drop("_planned")
 
 
+def _home_costs(erp: Erp, heads: DataFrame) -> DataFrame:
+    """Cost of the jobs in ``heads`` at the plant of the job itself."""
+    heads = heads.withColumnRenamed("Plant", "_home")
+    return _cost_rows(erp, heads).filter("Plant = _home").drop("_home")
+
+
 def _wip_rows(
-    erp: Erp, report_date: date, cutoff: date, heads: DataFrame
+    erp: Erp, report_date: date, company_id: str, cutoff: date, amounts: list[str]
 ) -> DataFrame:
-    """Work in process of the jobs in ``heads``, for the plant of the job itself."""
-    heads = heads.withColumnRenamed("Plant", "_home")
-    costs = _cost_rows(erp, heads).filter("Plant = _home").drop("_home")
-    rows = _true_up(_combine(costs, erp, report_date, cutoff))
-    return rows.withColumns({WIP_AMOUNTS[b]: F.round(_left_over(b), 2) for b in BUCKETS})
+    heads = _reported_heads(erp, with_part=True)
+    rows = _true_up(_combine(_home_costs(erp, heads), erp, report_date, cutoff, amounts))
+    return rows.withColumns(
+        {
+            **{WIP_AMOUNTS[b]: F.round(_left_over(b), 2) for b in BUCKETS},
+            "ProdCode": F.coalesce("ProdCode", F.lit("")),
+            "Visible": flag(company_visible(F.col("Company"), company_id)),
+        }
+    ).withColumnRenamed("PersonID", "Planner")
+
+
+_WIP_COLUMNS = [
+    *PLANT_JOB,
+    "JobClosed",
+    "ClosedDate",
+    "JobCreatedOn",
+    "JobScheduledOn",
+    "PartNum",
+    "ProdCode",
+    "Planner",
+    *[WIP_AMOUNTS[b] for b in BUCKETS],
+]
 
 
 def wip_buckets(
     erp: Erp, report_date: date, company_id: str, cutoff: date = COST_CUTOFF
 ) -> DataFrame:
     """Work in process per job in five buckets, with part, planner and visibility."""
-    heads = _reported_heads(erp, with_part=True)
-    return _wip_rows(erp, report_date, cutoff, heads).select(
-        *PLANT_JOB,
-        "JobClosed",
-        "ClosedDate",
-        "WIPCleared",
-        "JobCreatedOn",
-        "JobScheduledOn",
-        "PartNum",
-        F.coalesce("ProdCode", F.lit("")).alias("ProdCode"),
-        F.col("PersonID").alias("Planner"),
-        *[WIP_AMOUNTS[b] for b in BUCKETS],
-        flag(company_visible(F.col("Company"), company_id)).alias("Show"),
-    )
+    rows = _wip_rows(erp, report_date, company_id, cutoff, BUCKETS)
+    return rows.select(*_WIP_COLUMNS, "WIPCleared", "Visible")
 
 
 def company_visibility(rows: DataFrame, company_id: str) -> DataFrame:
@@ -251,28 +274,53 @@ def company_visibility(rows: DataFrame, company_id: str) -> DataFrame:
     return rows.filter(company_visible(F.col("Company"), company_id))
 
 
-def _total(rows: DataFrame) -> DataFrame:
-    total = F.col("WIPLbr") + F.col("WIPBur") + F.col("WIPMtl")
-    total = total + F.col("WIPSubcontract") + F.col("WIPMtlBur")
-    return rows.withColumn("WIPTotal", total).filter("WIPTotal <> 0")
+def _remaining() -> Column:
+    """What is left in a job over all buckets, before the true-up."""
+    total = F.col("JobTotal")
+    for prefix in (*TAKEN_OUT.values(), "DMR"):
+        total = total - F.col(f"{prefix}Total")
+    return total
+
+
+def _job_total() -> Column:
+    names = [name for _, name in JOB_AMOUNTS.values()]
+    return F.col(names[0]) + F.col(names[1]) + F.col(names[2]) + F.col(names[3]) + F.col(names[4])
+
+
+def _still_open() -> Column:
+    """The true-up leaves nothing in a closed job."""
+    return ~F.coalesce("JobClosed", F.lit(False))
 
 
 def wip_total(
     erp: Erp, report_date: date, company_id: str, cutoff: date = COST_CUTOFF
 ) -> DataFrame:
-    """Visible jobs that are not cleared and whose total work in process is not zero."""
-    buckets = wip_buckets(erp, report_date, company_id, cutoff)
-    return _total(buckets.filter("not WIPCleared and Show = 1")).drop("WIPCleared", "Show")
+    """Visible jobs that are not cleared and whose total work in process is not zero.
+
+    The filter works on totals kept next to the buckets, not on the sum of the
+    five bucket expressions, which is far costlier to plan.
+    """
+    rows = _wip_rows(erp, report_date, company_id, cutoff, [*BUCKETS, "Total"])
+    rows = rows.withColumn("JobTotal", _job_total())
+    total = F.col("WIPLbr") + F.col("WIPBur") + F.col("WIPMtl")
+    total = total + F.col("WIPSubcontract") + F.col("WIPMtlBur")
+    return (
+        rows.filter(~F.col("WIPCleared") & (F.col("Visible") == 1) & _still_open())
+        .filter(_remaining() != 0)
+        .select(*_WIP_COLUMNS, total.alias("WIPTotal"))
+    )
 
 
 def open_wip_total(
     erp: Erp, report_date: date, company_id: str, cutoff: date = COST_CUTOFF
 ) -> DataFrame:
-    """``wip_total`` for the report: company, job, part and total.
+    """``wip_total`` for the report: company, job, part and total only.
 
-    The true-up leaves nothing in a closed job, so closed jobs are dropped before
-    their costs are looked up, and columns the report does not show are not joined.
+    Closed and hidden jobs are dropped before their costs are looked up, amounts
+    travel as totals, and columns the report does not show are not joined.
     """
     heads = company_visibility(_reported_heads(erp, with_part=False), company_id)
-    rows = _wip_rows(erp, report_date, cutoff, heads.filter("not coalesce(JobClosed, false)"))
-    return _total(rows).select(*JOB, "PartNum", "WIPTotal")
+    costs = _home_costs(erp, heads.filter(_still_open()))
+    costs = costs.select(*JOB, "PartNum", _job_total().alias("JobTotal"))
+    rows = _combine(costs, erp, report_date, cutoff, ["Total"])
+    return rows.select(*JOB, "PartNum", _remaining().alias("WIPTotal")).filter("WIPTotal <> 0")
