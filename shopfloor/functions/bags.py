@@ -12,20 +12,24 @@ CHUNK = 10_000
 def expand_copies(df: DataFrame) -> DataFrame:
     """Each row repeated ``Copies`` times.
 
-    A row with very many copies is first cut into chunks and the chunks are
-    spread over the cluster, so no task and no array grows with the count.
+    Rows with very many copies are cut into chunks that are spread over the
+    cluster, so neither a task nor an array grows with the count. The other rows,
+    as a rule all, are repeated where they are.
     """
     columns = [c for c in df.columns if c != COPIES]
-    last_chunk = F.expr(f"({COPIES} - 1) div {CHUNK}")
-    chunks = df.filter(F.col(COPIES) > 0).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))
+    few = df.filter(f"{COPIES} <= {CHUNK}").selectExpr(
+        *columns, f"explode(sequence(1L, {COPIES})) as _copy"
     )
-    in_chunk = F.least(F.lit(CHUNK).cast("bigint"), F.col(COPIES) - F.col("_chunk") * CHUNK)
-    return (
-        chunks.repartition(*columns, "_chunk")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), in_chunk)))
-        .select(*columns)
+    many = (
+        df.filter(f"{COPIES} > {CHUNK}")
+        .selectExpr("*", f"explode(sequence(0L, ({COPIES} - 1) div {CHUNK})) as _chunk")
+        .repartition(*columns, "_chunk")
+        .selectExpr(
+            *columns,
+            f"explode(sequence(1L, least({CHUNK}L, {COPIES} - _chunk * {CHUNK}))) as _copy",
+        )
     )
+    return few.unionByName(many).select(*columns)
 
 
 def count_copies(df: DataFrame) -> DataFrame:

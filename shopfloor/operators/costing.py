@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.constants import COST_CUTOFF, TO_CUSTOMER, TO_STOCK, TO_VARIANCE
-from shopfloor.functions.conditions import company_visible, flag
+from shopfloor.functions.conditions import FIRM_NOT_CLEARED, company_visible
 from shopfloor.operators.evidence import Erp
 from shopfloor.schemas import JOB
 
@@ -36,8 +36,13 @@ TAKEN_OUT = {TO_STOCK: "Inv", TO_CUSTOMER: "COGS", TO_VARIANCE: "VAR"}
 PLANT_JOB = ["Company", "Plant", "JobNum"]
 
 
-def _rounded_sum(amount: Column) -> Column:
-    return F.round(F.sum(amount), 2)
+HAS_JOB = "JobNum <> ''"
+# The true-up leaves nothing in a closed job.
+STILL_OPEN = "not coalesce(JobClosed, false)"
+
+
+def _rounded_sums(amounts: dict[str, str]) -> list[Column]:
+    return [F.expr(f"round(sum({sql}), 2)").alias(name) for name, sql in amounts.items()]
 
 
 # --- job cost ---------------------------------------------------------------
@@ -49,51 +54,40 @@ def _cost_rows(erp: Erp, heads: DataFrame) -> DataFrame:
         erp["JobAsmbl"]
         .groupBy(PLANT_JOB)
         .agg(
-            *[_rounded_sum(F.col(source)).alias(name) for source, name in JOB_AMOUNTS.values()],
+            *_rounded_sums({name: source for source, name in JOB_AMOUNTS.values()}),
             F.min("StartDate").alias("JobScheduledOn"),
         )
     )
     return costs.join(heads, JOB)
 
 
-def _costed_heads(erp: Erp) -> DataFrame:
-    return erp["JobHead"].filter(~F.col("WIPCleared") & F.col("JobFirm"))
-
-
 def job_cost(erp: Erp) -> DataFrame:
     """Cost of firm jobs that are not cleared, per job and plant of the assemblies."""
-    heads = _costed_heads(erp).select(*JOB, "JobClosed", F.col("CreateDate").alias("JobCreatedOn"))
-    return _cost_rows(erp, heads)
+    heads = erp["JobHead"].filter(FIRM_NOT_CLEARED)
+    return _cost_rows(
+        erp, heads.select(*JOB, "JobClosed", F.col("CreateDate").alias("JobCreatedOn"))
+    )
 
 
 # --- cost taken out ---------------------------------------------------------
 
 
-def _amounts(quantity: Column, prefix: str, cost: str) -> list[Column]:
-    return [
-        _rounded_sum(quantity * F.col(cost.format(bucket))).alias(f"{prefix}{bucket}")
-        for bucket in BUCKETS
-    ]
-
+def _amounts(quantity: str, prefix: str, cost: str) -> list[Column]:
+    return _rounded_sums({f"{prefix}{b}": f"{quantity} * {cost.format(b)}" for b in BUCKETS})
 
-def _transaction_cost(erp: Erp, tran_type: str, condition: Column) -> DataFrame:
-    rows = erp["PartTran"].filter((F.col("TranType") == tran_type) & condition)
-    return rows.groupBy(PLANT_JOB).agg(
-        *_amounts(F.col("TranQty"), TAKEN_OUT[tran_type], "{}UnitCost")
-    )
 
+def _until(day: date) -> str:
+    return f"TranDate <= date '{day.isoformat()}'"
 
-def _until(day: date) -> Column:
-    return F.col("TranDate") <= F.lit(day)
 
-
-def _has_job() -> Column:
-    return F.col("JobNum") != ""
+def _transaction_cost(erp: Erp, tran_type: str, condition: str) -> DataFrame:
+    rows = erp["PartTran"].filter(f"TranType = '{tran_type}' and {condition}")
+    return rows.groupBy(PLANT_JOB).agg(*_amounts("TranQty", TAKEN_OUT[tran_type], "{}UnitCost"))
 
 
 def inventory_cost(erp: Erp, report_date: date) -> DataFrame:
     """Cost moved to stock until the report date."""
-    return _transaction_cost(erp, TO_STOCK, _has_job() & _until(report_date))
+    return _transaction_cost(erp, TO_STOCK, f"{HAS_JOB} and {_until(report_date)}")
 
 
 def cogs_cost(erp: Erp, cutoff: date = COST_CUTOFF) -> DataFrame:
@@ -109,29 +103,25 @@ def mfg_variance(erp: Erp, cutoff: date = COST_CUTOFF) -> DataFrame:
 def dmr_cost(erp: Erp) -> DataFrame:
     """Cost of rejected material, for reports without a purchase or material line."""
     rows = erp["DMRHead"].filter("PONum = 0 and MtlSeq = 0")
-    rejected = F.col("TotDiscrepantQty") - F.col("TotAcceptedQty")
+    rejected = "(TotDiscrepantQty - TotAcceptedQty)"
     return rows.groupBy(PLANT_JOB).agg(*_amounts(rejected, "DMR", "Avg{}UnitCost"))
 
 
 def part_tran_consolidated(erp: Erp, report_date: date) -> DataFrame:
     """The three transaction sums side by side from one pass; no transaction gives 0."""
     rows = erp["PartTran"].filter(
-        _has_job() & F.col("TranType").isin(*TAKEN_OUT) & _until(report_date)
+        f"{HAS_JOB} and TranType in {tuple(TAKEN_OUT)} and {_until(report_date)}"
     )
-    sums = []
-    for tran_type, prefix in TAKEN_OUT.items():
-        for bucket in BUCKETS:
-            amount = F.col("TranQty") * F.col(f"{bucket}UnitCost")
-            amount = F.when(F.col("TranType") == tran_type, amount).otherwise(0)
-            sums.append(_rounded_sum(amount).alias(f"{prefix}{bucket}"))
-    return rows.groupBy(PLANT_JOB).agg(*sums)
+    sums = {
+        f"{prefix}{b}": f"if(TranType = '{tran_type}', TranQty * {b}UnitCost, 0)"
+        for tran_type, prefix in TAKEN_OUT.items()
+        for b in BUCKETS
+    }
+    return rows.groupBy(PLANT_JOB).agg(*_rounded_sums(sums))
 
 
-def _total_of(names: list[str]) -> Column:
-    total = F.lit(0)
-    for name in names:
-        total = total + F.coalesce(name, F.lit(0))
-    return total
+def _total_of(names: list[str]) -> str:
+    return " + ".join(f"coalesce({name}, 0)" for name in names)
 
 
 def _transactions_by_job(
@@ -142,19 +132,20 @@ def _transactions_by_job(
     The lists are built from sums per plant, so their length is the number of
     plants at which a job has transactions.
     """
-    to_stock = (F.col("TranType") == TO_STOCK) & _has_job() & _until(report_date)
-    other = F.col("TranType").isin(TO_CUSTOMER, TO_VARIANCE) & _until(cutoff)
+    to_stock = f"TranType = '{TO_STOCK}' and {HAS_JOB} and {_until(report_date)}"
+    other = f"TranType in {(TO_CUSTOMER, TO_VARIANCE)} and {_until(cutoff)}"
     sums = (
         erp["PartTran"]
-        .filter(to_stock | other)
+        .filter(f"({to_stock}) or ({other})")
         .groupBy(*PLANT_JOB, "TranType")
-        .agg(*_amounts(F.col("TranQty"), "", "{}UnitCost"))
-        .withColumn("Total", _total_of(BUCKETS))
+        .agg(*_amounts("TranQty", "", "{}UnitCost"))
+        .selectExpr("*", f"{_total_of(BUCKETS)} as Total")
     )
 
     def plants(tran_type: str, prefix: str) -> Column:
-        values = F.struct(*[F.col(a).alias(f"{prefix}{a}") for a in amounts])
-        return F.collect_list(F.when(F.col("TranType") == tran_type, values)).alias(prefix)
+        values = ", ".join(f"{a} as {prefix}{a}" for a in amounts)
+        sql = f"collect_list(if(TranType = '{tran_type}', struct({values}), null))"
+        return F.expr(sql).alias(prefix)
 
     return sums.groupBy(JOB).agg(*[plants(t, p) for t, p in TAKEN_OUT.items()])
 
@@ -171,13 +162,16 @@ def _combine(
     plants gets one row per combination.
     """
     rows = costs.join(_transactions_by_job(erp, report_date, cutoff, amounts), JOB, "left")
+    kept = list(costs.columns)
+    lists = list(TAKEN_OUT.values())
     for prefix in TAKEN_OUT.values():
-        rows = rows.withColumn(prefix, F.explode_outer(prefix)).select("*", f"{prefix}.*").drop(prefix)
-    rejects = dmr_cost(erp)
-    rejects = rejects.withColumn("DMRTotal", _total_of([f"DMR{b}" for b in BUCKETS]))
+        lists.remove(prefix)
+        rows = rows.selectExpr(*kept, *lists, f"inline_outer({prefix})")
+        kept += [f"{prefix}{a}" for a in amounts]
+    rejects = dmr_cost(erp).selectExpr("*", f"{_total_of([f'DMR{b}' for b in BUCKETS])} as DMRTotal")
     rows = rows.join(rejects.select(*JOB, *[f"DMR{a}" for a in amounts]), JOB, "left")
     taken = [f"{p}{a}" for p in (*TAKEN_OUT.values(), "DMR") for a in amounts]
-    return rows.withColumns({name: F.coalesce(name, F.lit(0)) for name in taken})
+    return rows.selectExpr(*costs.columns, *[f"coalesce({name}, 0) as {name}" for name in taken])
 
 
 def cost_combine(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) -> DataFrame:
@@ -185,20 +179,15 @@ def cost_combine(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) -> Dat
     return _combine(job_cost(erp), erp, report_date, cutoff, BUCKETS)
 
 
-def _left_over(bucket: str) -> Column:
-    taken = [F.col(f"{prefix}{bucket}") for prefix in ("Inv", "COGS", "VAR", "DMR")]
-    return F.col(JOB_AMOUNTS[bucket][1]) - taken[0] - taken[1] - taken[2] - taken[3]
+def _left_over(bucket: str) -> str:
+    taken = " - ".join(f"{prefix}{bucket}" for prefix in (*TAKEN_OUT.values(), "DMR"))
+    return f"{JOB_AMOUNTS[bucket][1]} - {taken}"
 
 
 def _true_up(rows: DataFrame) -> DataFrame:
-    closed = F.when(F.col("JobClosed"), F.lit(1)).otherwise(0) == 1
-    return rows.withColumns(
-        {
-            f"VAR{b}": F.round(
-                F.col(f"VAR{b}") + F.when(closed, _left_over(b)).otherwise(0), 2
-            )
-            for b in BUCKETS
-        }
+    variances = {f"VAR{b}": f"round(VAR{b} + if(JobClosed, {_left_over(b)}, 0), 2)" for b in BUCKETS}
+    return rows.selectExpr(
+        *[f"{variances[c]} as {c}" if c in variances else c for c in rows.columns]
     )
 
 
@@ -208,24 +197,24 @@ def variance_true_up(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) ->
 
 
 def _reported_heads(erp: Erp, with_part: bool) -> DataFrame:
-    """Costed heads with the part and planner of their own plant."""
-    heads = _costed_heads(erp).select(
+    """Firm jobs that are not cleared, with the part and planner of their own plant."""
+    heads = erp["JobHead"].filter(FIRM_NOT_CLEARED).selectExpr(
         *JOB,
         "Plant",
         "PartNum",
         "JobClosed",
         "ClosedDate",
         "WIPCleared",
-        F.col("CreateDate").alias("JobCreatedOn"),
+        "CreateDate as JobCreatedOn",
     )
-    planned = erp["PartPlant"].select(
-        "Company", "PartNum", "Plant", "PersonID", F.col("PartNum").alias("_planned")
+    planned = erp["PartPlant"].selectExpr(
+        "Company", "PartNum", "Plant", "PersonID as Planner", "PartNum as _planned"
     )
     rows = heads.join(planned, ["Company", "PartNum", "Plant"], "left")
     if with_part:
         parts = erp["ErpPart"].withColumnRenamed("PartNum", "_planned")
         rows = rows.join(parts, ["Company", "_planned"], "left")
-    return rows.withColumn("PartNum", F.coalesce("_planned", F.lit(""))).drop("_planned")
+    return rows.withColumn("PartNum", F.expr("coalesce(_planned, '')")).drop("_planned")
 
 
 def _home_costs(erp: Erp, heads: DataFrame) -> DataFrame:
@@ -239,13 +228,12 @@ def _wip_rows(
 ) -> DataFrame:
     heads = _reported_heads(erp, with_part=True)
     rows = _true_up(_combine(_home_costs(erp, heads), erp, report_date, cutoff, amounts))
-    return rows.withColumns(
-        {
-            **{WIP_AMOUNTS[b]: F.round(_left_over(b), 2) for b in BUCKETS},
-            "ProdCode": F.coalesce("ProdCode", F.lit("")),
-            "Visible": flag(company_visible(F.col("Company"), company_id)),
-        }
-    ).withColumnRenamed("PersonID", "Planner")
+    return rows.selectExpr(
+        *[c for c in rows.columns if c != "ProdCode"],
+        "coalesce(ProdCode, '') as ProdCode",
+        f"if({company_visible(company_id)}, 1, 0) as Visible",
+        *[f"round({_left_over(b)}, 2) as {WIP_AMOUNTS[b]}" for b in BUCKETS],
+    )
 
 
 _WIP_COLUMNS = [
@@ -271,25 +259,16 @@ def wip_buckets(
 
 def company_visibility(rows: DataFrame, company_id: str) -> DataFrame:
     """The rows a session of ``company_id`` may see."""
-    return rows.filter(company_visible(F.col("Company"), company_id))
-
-
-def _remaining() -> Column:
-    """What is left in a job over all buckets, before the true-up."""
-    total = F.col("JobTotal")
-    for prefix in (*TAKEN_OUT.values(), "DMR"):
-        total = total - F.col(f"{prefix}Total")
-    return total
+    return rows.filter(company_visible(company_id))
 
 
-def _job_total() -> Column:
-    names = [name for _, name in JOB_AMOUNTS.values()]
-    return F.col(names[0]) + F.col(names[1]) + F.col(names[2]) + F.col(names[3]) + F.col(names[4])
+def _job_total() -> str:
+    return " + ".join(name for _, name in JOB_AMOUNTS.values())
 
 
-def _still_open() -> Column:
-    """The true-up leaves nothing in a closed job."""
-    return ~F.coalesce("JobClosed", F.lit(False))
+def _remaining() -> str:
+    """What is left in a job over all buckets, before the true-up."""
+    return " - ".join(["JobTotal", *[f"{p}Total" for p in (*TAKEN_OUT.values(), "DMR")]])
 
 
 def wip_total(
@@ -301,13 +280,11 @@ def wip_total(
     five bucket expressions, which is far costlier to plan.
     """
     rows = _wip_rows(erp, report_date, company_id, cutoff, [*BUCKETS, "Total"])
-    rows = rows.withColumn("JobTotal", _job_total())
-    total = F.col("WIPLbr") + F.col("WIPBur") + F.col("WIPMtl")
-    total = total + F.col("WIPSubcontract") + F.col("WIPMtlBur")
+    total = " + ".join(WIP_AMOUNTS[b] for b in BUCKETS)
     return (
-        rows.filter(~F.col("WIPCleared") & (F.col("Visible") == 1) & _still_open())
-        .filter(_remaining() != 0)
-        .select(*_WIP_COLUMNS, total.alias("WIPTotal"))
+        rows.selectExpr("*", f"{_job_total()} as JobTotal")
+        .filter(f"not WIPCleared and Visible = 1 and {STILL_OPEN} and {_remaining()} <> 0")
+        .selectExpr(*_WIP_COLUMNS, f"{total} as WIPTotal")
     )
 
 
@@ -320,7 +297,7 @@ def open_wip_total(
     travel as totals, and columns the report does not show are not joined.
     """
     heads = company_visibility(_reported_heads(erp, with_part=False), company_id)
-    costs = _home_costs(erp, heads.filter(_still_open()))
-    costs = costs.select(*JOB, "PartNum", _job_total().alias("JobTotal"))
+    costs = _home_costs(erp, heads.filter(STILL_OPEN))
+    costs = costs.selectExpr(*JOB, "PartNum", f"{_job_total()} as JobTotal")
     rows = _combine(costs, erp, report_date, cutoff, ["Total"])
-    return rows.select(*JOB, "PartNum", _remaining().alias("WIPTotal")).filter("WIPTotal <> 0")
+    return rows.selectExpr(*JOB, "PartNum", f"{_remaining()} as WIPTotal").filter("WIPTotal <> 0")

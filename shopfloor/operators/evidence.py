@@ -13,17 +13,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.constants import HEAT_TREAT_OP, INSPECTION_OP, ISSUE_CLASS, LEGACY, OPEN_FIRM
+from shopfloor.constants import LEGACY, OPEN_FIRM
 from shopfloor.functions.conditions import (
-    flag,
-    in_process,
-    is_farmout,
-    is_outside,
-    new_ip,
+    FARMOUT,
+    HEAT_TREATED,
+    IN_PROCESS,
+    ISSUED,
+    NEW_IP,
+    NOT_INSPECTION,
+    OPEN_AND_FIRM,
+    OUTSIDE,
     new_ip2,
 )
 from shopfloor.schemas import ASM, JOB, OPR
@@ -36,7 +38,7 @@ ALL_JOBS = "all_jobs"  # every job, matched within the company
 def job_heads(erp: Erp, mode: str) -> DataFrame:
     """The jobs a rule set looks at."""
     heads = erp["JobHead"]
-    return heads.filter(~F.col("JobClosed") & F.col("JobFirm")) if mode == OPEN_FIRM else heads
+    return heads.filter(OPEN_AND_FIRM) if mode == OPEN_FIRM else heads
 
 
 def assembly_keys(erp: Erp, mode: str) -> DataFrame:
@@ -53,12 +55,8 @@ def _of_assemblies(rows: DataFrame, erp: Erp, mode: str) -> DataFrame:
     return rows.join(assembly_keys(erp, mode), ASM, "left_semi")
 
 
-def _releases(erp: Erp, *carry: str) -> DataFrame:
-    return erp["PORel"].withColumnRenamed("JobSeq", "OprSeq").select(*OPR, *carry)
-
-
-def _open_releases(erp: Erp, *carry: str) -> DataFrame:
-    return _releases({"PORel": erp["PORel"].filter("OpenRelease")}, *carry)
+def _releases(releases: DataFrame, *carry: str) -> DataFrame:
+    return releases.withColumnRenamed("JobSeq", "OprSeq").select(*OPR, *carry)
 
 
 # --- single operators -------------------------------------------------------
@@ -73,7 +71,7 @@ def labor_summary(labor: DataFrame) -> DataFrame:
 
 def last_ov_operation(erp: Erp, mode: str) -> DataFrame:
     """Last outside operation per assembly, farm-outs not counted."""
-    outside = erp["JobOper"].filter(is_outside()).groupBy(ASM).agg(F.max("OprSeq").alias("LastOVOp"))
+    outside = erp["JobOper"].filter(OUTSIDE).groupBy(ASM).agg(F.max("OprSeq").alias("LastOVOp"))
     found = _of_assemblies(outside, erp, mode)
     if mode == LEGACY:
         return found.groupBy(match_key(mode)).agg(F.max("LastOVOp").alias("LastOVOp"))
@@ -84,7 +82,7 @@ def mtl_issued(erp: Erp, mode: str) -> DataFrame:
     """Assemblies to which material was issued."""
     issued = (
         erp["PartTran"]
-        .filter((F.col("TranClass") == ISSUE_CLASS) & (F.col("TranQty") > 0))
+        .filter(ISSUED)
         .select(ASM)
         .distinct()
     )
@@ -96,14 +94,15 @@ def mtl_issued(erp: Erp, mode: str) -> DataFrame:
 
 def heat_treat_back(erp: Erp, mode: str) -> DataFrame:
     """One row per completed heat-treat operation."""
-    done = erp["JobOper"].filter((F.col("OpCode") == HEAT_TREAT_OP) & F.col("OpComplete")).select(ASM)
+    done = erp["JobOper"].filter(HEAT_TREATED).select(ASM)
     return _of_assemblies(done, erp, mode).select(*match_key(mode), F.lit(1).alias("BackFromHT"))
 
 
 def farmout(erp: Erp, mode: str) -> DataFrame:
     """One row per open release of an incomplete farm-out operation."""
-    sent = erp["JobOper"].filter(is_farmout() & ~F.col("OpComplete")).select(OPR)
-    found = _of_assemblies(sent, erp, mode).join(_open_releases(erp), OPR)
+    sent = erp["JobOper"].filter(f"{FARMOUT} and not OpComplete").select(OPR)
+    releases = _releases(erp["PORel"].filter("OpenRelease"))
+    found = _of_assemblies(sent, erp, mode).join(releases, OPR)
     return found.select(*match_key(mode), F.lit(1).alias("Farmout"))
 
 
@@ -113,11 +112,11 @@ def ov_not_final(erp: Erp, mode: str, carry: Sequence[str] = ()) -> DataFrame:
     Under open/firm the last outside operation does not count. ``carry`` names
     release columns to keep.
     """
-    pending = erp["JobOper"].filter(is_outside() & ~F.col("OpComplete")).select(OPR)
+    pending = erp["JobOper"].filter(f"{OUTSIDE} and not OpComplete").select(OPR)
     found = _of_assemblies(pending, erp, mode)
     if mode == OPEN_FIRM:
         found = found.join(last_ov_operation(erp, mode), ASM).filter("OprSeq <> LastOVOp")
-    found = found.join(_open_releases(erp, *carry), OPR)
+    found = found.join(_releases(erp["PORel"].filter("OpenRelease"), *carry), OPR)
     return found.select(*match_key(mode), F.lit(1).alias("OVNotFinal"), *carry)
 
 
@@ -129,9 +128,9 @@ def ov_final_or_back(erp: Erp, mode: str, carry: Sequence[str] = ()) -> DataFram
     """
     released = (
         erp["JobOper"]
-        .filter(~is_farmout())
+        .filter(f"not ({FARMOUT})")
         .select(OPR)
-        .join(_releases(erp, *carry), OPR)
+        .join(_releases(erp["PORel"], *carry), OPR)
         .drop("Company")
         .withColumnRenamed("OprSeq", "LastOVOp")
     )
@@ -145,7 +144,7 @@ def last_op_not_inspection(erp: Erp, mode: str) -> DataFrame:
     """Last operation per assembly that is not the inspection."""
     last = (
         erp["JobOper"]
-        .filter(F.col("OpCode") != INSPECTION_OP)
+        .filter(NOT_INSPECTION)
         .groupBy(ASM)
         .agg(F.max("OprSeq").alias("LastOpNotInsp"))
     )
@@ -171,19 +170,17 @@ def detail_complete_flag(erp: Erp, rule: str) -> DataFrame:
     ``head_qty``: nothing booked counts as quantity 0, compared with the job quantity.
     """
     mode = LEGACY if rule == LEGACY else OPEN_FIRM
+    complete = {
+        LEGACY: "LaborTotal >= HeadQty",
+        OPEN_FIRM: "coalesce(LaborTotal, 0) >= coalesce(ProdQty, 0)",
+        "head_qty": "coalesce(LaborTotal, 0) >= HeadQty",
+    }[rule]
     base = assembly_base(erp, mode).select(*ASM, F.col("ProdQty").alias("HeadQty"))
-    booked = detail_complete_qty(erp, mode)
-    quantity, zero = F.col("LaborTotal"), F.lit(0)
-    if rule == LEGACY:
-        complete = quantity >= F.col("HeadQty")
-        rows = base.join(booked, ASM, "left")
-    elif rule == "head_qty":
-        complete = F.coalesce(quantity, zero) >= F.col("HeadQty")
-        rows = base.join(booked, ASM, "left")
-    else:
-        complete = F.coalesce(quantity, zero) >= F.coalesce("ProdQty", zero)
-        rows = keep_booked(base.join(booked.withColumn("Booked", F.lit(True)), ASM, "left"), erp)
-    return rows.select(*ASM, flag(complete).alias("DetailComplete"))
+    booked = detail_complete_qty(erp, mode).withColumn("Booked", F.lit(True))
+    rows = base.join(booked, ASM, "left")
+    if rule == OPEN_FIRM:
+        rows = keep_booked(rows, erp)
+    return rows.selectExpr(*ASM, f"if({complete}, 1, 0) as DetailComplete")
 
 
 def keep_booked(rows: DataFrame, erp: Erp) -> DataFrame:
@@ -207,39 +204,37 @@ def _operation_facts(erp: Erp) -> DataFrame:
     The three tables are folded together, so each is combined before the shuffle
     and an operation with very many releases or bookings stays one row.
     """
-    operations = erp["JobOper"].select(
-        *OPR,
-        ((F.col("OpCode") == HEAT_TREAT_OP) & F.col("OpComplete")).alias("HeatTreated"),
-        (is_farmout() & ~F.col("OpComplete")).alias("SentOut"),
-        is_outside().alias("Outside"),
-        (is_outside() & ~F.col("OpComplete")).alias("Pending"),
-        (~is_farmout()).alias("NotFarmout"),
-        (F.col("OpCode") != INSPECTION_OP).alias("Counted"),
-    )
+    marks = {
+        "HeatTreated": HEAT_TREATED,
+        "SentOut": f"{FARMOUT} and not OpComplete",
+        "Outside": OUTSIDE,
+        "Pending": f"{OUTSIDE} and not OpComplete",
+        "NotFarmout": f"not ({FARMOUT})",
+        "Counted": NOT_INSPECTION,
+    }
+    operations = erp["JobOper"].selectExpr(*OPR, *[f"{sql} as {m}" for m, sql in marks.items()])
     releases = (
-        _releases(erp, "OpenRelease")
+        _releases(erp["PORel"], "OpenRelease")
         .filter("Company is not null and OprSeq is not null")
         .withColumn("Released", F.lit(True))
     )
-    labor = erp["LaborDtl"].select(*OPR, "LaborHrs", "LaborQty", F.lit(True).alias("Booked"))
-    marks = ["HeatTreated", "SentOut", "Outside", "Pending", "NotFarmout", "Counted"]
-    marks += ["OpenRelease", "Released", "Booked"]
+    labor = erp["LaborDtl"].selectExpr(*OPR, "LaborHrs", "LaborQty", "true as Booked")
     return (
         operations.unionByName(releases, allowMissingColumns=True)
         .unionByName(labor, allowMissingColumns=True)
         .groupBy(OPR)
         .agg(
-            *[F.max(m).alias(m) for m in marks],
+            *[F.max(m).alias(m) for m in (*marks, "OpenRelease", "Released", "Booked")],
             F.sum("LaborHrs").alias("LaborHrs"),
             F.sum("LaborQty").alias("LaborQty"),
         )
-        .select(
+        .selectExpr(
             *OPR,
             "HeatTreated",
-            (F.col("SentOut") & F.col("OpenRelease")).alias("Farmout"),
+            "SentOut and OpenRelease as Farmout",
             "Outside",
-            (F.col("Pending") & F.col("OpenRelease")).alias("PendingOpen"),
-            (F.col("NotFarmout") & F.col("Released")).alias("Released"),
+            "Pending and OpenRelease as PendingOpen",
+            "NotFarmout and Released as Released",
             "Counted",
             "Booked",
             "LaborHrs",
@@ -252,82 +247,74 @@ def _assembly_facts(erp: Erp) -> DataFrame:
     """One row per assembly that has any operation, release, booking or issue."""
     # The release of the last outside operation is looked up in every company;
     # a window holds one row per company.
-    anywhere = W.partitionBy("JobNum", "AssemblySeq", "OprSeq")
-    operations = _operation_facts(erp).withColumn("Released", F.max("Released").over(anywhere))
-    issues = (
-        erp["PartTran"]
-        .filter((F.col("TranClass") == ISSUE_CLASS) & (F.col("TranQty") > 0))
-        .select(*ASM, F.lit(True).alias("Issued"))
+    operations = _operation_facts(erp).withColumn(
+        "Released", F.expr("max(Released) over (partition by JobNum, AssemblySeq, OprSeq)")
     )
-    outside_seq = F.when(F.col("Outside"), F.col("OprSeq"))
-    counted_seq = F.when(F.col("Counted"), F.col("OprSeq"))
+    issues = erp["PartTran"].filter(ISSUED).selectExpr(*ASM, "true as Issued")
+    facts = {
+        "Issued": "max(Issued)",
+        "HeatTreated": "max(HeatTreated)",
+        "SentOut": "max(Farmout)",
+        "PendingOpen": "max(PendingOpen)",
+        "FirstPendingOp": "min(if(PendingOpen, OprSeq, null))",
+        "LastOVOp": "max(if(Outside, OprSeq, null))",
+        "LastReleased": "max_by(Released, if(Outside, OprSeq, null))",
+        "LaborTotal": "max_by(LaborQty, if(Counted, OprSeq, null))",
+        "Booked": "max_by(Booked, if(Counted, OprSeq, null))",
+        "TotalLaborHrs": "sum(LaborHrs)",
+    }
     return (
         operations.unionByName(issues, allowMissingColumns=True)
         .groupBy(ASM)
-        .agg(
-            F.max("Issued").alias("Issued"),
-            F.max("HeatTreated").alias("HeatTreated"),
-            F.max("Farmout").alias("SentOut"),
-            F.max("PendingOpen").alias("PendingOpen"),
-            F.min(F.when(F.col("PendingOpen"), F.col("OprSeq"))).alias("FirstPendingOp"),
-            F.max(outside_seq).alias("LastOVOp"),
-            F.max_by("Released", outside_seq).alias("LastReleased"),
-            F.max_by("LaborQty", counted_seq).alias("LaborTotal"),
-            F.max_by("Booked", counted_seq).alias("Booked"),
-            F.sum("LaborHrs").alias("TotalLaborHrs"),
-        )
+        .agg(*[F.expr(sql).alias(name) for name, sql in facts.items()])
     )
 
 
 def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
     """Assemblies with flags, before the open/firm rule on bookings.
 
-    With ``how="full"`` bookings of assemblies that do not exist come along as
-    rows without a part; the job roll-up needs them.
+    With ``how="full"`` bookings of assemblies that do not exist come along with
+    ``Exists`` unset; the job roll-up needs them.
     """
-    rows = (
-        assembly_base(erp, mode)
-        .withColumn("Exists", F.lit(True))
-        .join(_assembly_facts(erp), ASM, how)
-    )
+    base = assembly_base(erp, mode).withColumn("Exists", F.lit(True))
+    rows = base.join(_assembly_facts(erp), ASM, how)
+    head = [*JOB, "PartNum", "AssemblySeq", "AsmPartNum", "Exists", "Booked"]
     if mode == LEGACY:
         # One row per company in each window.
-        shared = W.partitionBy("JobNum", "AssemblySeq")
-        rows = rows.withColumns(
-            {
-                "Issued": F.max("Issued").over(shared),
-                "HeatTreated": F.max("HeatTreated").over(shared),
-                "SentOut": F.max("SentOut").over(shared),
-                "NotFinal": F.max("PendingOpen").over(shared),
-                "LastReleased": F.max_by("LastReleased", "LastOVOp").over(shared),
-            }
+        shared = "over (partition by JobNum, AssemblySeq)"
+        rows = rows.selectExpr(
+            *head,
+            f"max(Issued) {shared} as Issued",
+            f"max(HeatTreated) {shared} as HeatTreated",
+            f"max(SentOut) {shared} as SentOut",
+            f"max(PendingOpen) {shared} as NotFinal",
+            f"max_by(LastReleased, LastOVOp) {shared} as LastReleased",
+            "LaborTotal >= ProdQty as Complete",
+            "TotalLaborHrs",
         )
-        complete = F.col("LaborTotal") >= F.col("ProdQty")
-        absent = None
+        absent = "cast(null as int)"
     else:
-        rows = rows.withColumn("NotFinal", F.expr("FirstPendingOp < LastOVOp"))
-        job_qty = F.when(F.col("Booked"), F.coalesce("ProdQty", F.lit(0))).otherwise(0)
-        complete = F.coalesce("LaborTotal", F.lit(0)) >= job_qty
-        absent = 0
-        rows = rows.withColumn("TotalLaborHrs", F.coalesce("TotalLaborHrs", F.lit(0)))
-
-    def evidence(name: str) -> Column:
-        return F.when(F.col(name), 1).otherwise(F.lit(absent).cast("int"))
-
-    return (
-        rows.withColumns(
-            {
-                "MtlIssued": evidence("Issued"),
-                "BackFromHT": evidence("HeatTreated"),
-                "Farmout": evidence("SentOut"),
-                "OVNotFinal": evidence("NotFinal"),
-                "OVFinalOrBack": evidence("LastReleased"),
-                "DetailComplete": flag(complete),
-            }
+        rows = rows.selectExpr(
+            *head,
+            "Issued",
+            "HeatTreated",
+            "SentOut",
+            "FirstPendingOp < LastOVOp as NotFinal",
+            "LastReleased",
+            "coalesce(LaborTotal, 0) >= if(Booked, coalesce(ProdQty, 0), 0) as Complete",
+            "coalesce(TotalLaborHrs, 0) as TotalLaborHrs",
         )
-        .withColumns({"NewIP": new_ip(), "NewIP2": new_ip2(mode)})
-        .withColumn("InProcess", in_process())
-    )
+        absent = "0"
+    return rows.selectExpr(
+        *head,
+        "TotalLaborHrs",
+        f"if(Issued, 1, {absent}) as MtlIssued",
+        f"if(HeatTreated, 1, {absent}) as BackFromHT",
+        f"if(SentOut, 1, {absent}) as Farmout",
+        f"if(NotFinal, 1, {absent}) as OVNotFinal",
+        f"if(LastReleased, 1, {absent}) as OVFinalOrBack",
+        "if(Complete, 1, 0) as DetailComplete",
+    ).selectExpr("*", f"{NEW_IP} as NewIP", f"{new_ip2(mode)} as NewIP2", f"{IN_PROCESS} as InProcess")
 
 
 EVIDENCE_COLUMNS = [

@@ -8,15 +8,21 @@ and a result row carries the number of equal rows it stands for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.constants import LEGACY, OPEN_FIRM
 from shopfloor.functions.bags import COPIES, expand_copies
-from shopfloor.functions.conditions import combined_status, flag, status_code
-from shopfloor.operators.evidence import Erp, assembly_evidence, evidence_rows, labor_summary
-from shopfloor.operators.evidence import ALL_JOBS, job_heads, last_ov_operation
+from shopfloor.functions.conditions import FIRM_NOT_CLEARED, combined_status, status_code
+from shopfloor.operators.evidence import (
+    ALL_JOBS,
+    Erp,
+    assembly_evidence,
+    evidence_rows,
+    job_heads,
+    labor_summary,
+    last_ov_operation,
+)
 from shopfloor.schemas import ASM, JOB
 
 LEVELS = range(7)
@@ -24,7 +30,7 @@ LEVELS = range(7)
 
 def with_status(evidence: DataFrame) -> DataFrame:
     """Evidence with the status code of each assembly."""
-    return evidence.withColumn("Status", status_code())
+    return evidence.withColumn("Status", F.expr(status_code()))
 
 
 def top_status(statuses: DataFrame) -> DataFrame:
@@ -37,41 +43,38 @@ def asm_status(statuses: DataFrame) -> DataFrame:
     return statuses.filter("AssemblySeq <> 0 and DetailComplete = 0").select("JobNum", "Status")
 
 
-def roll_up(rows: DataFrame, mode: str, counts: Column | None = None, bookings: bool = False) -> DataFrame:
+def roll_up(rows: DataFrame, mode: str, bookings: bool = False) -> DataFrame:
     """Job statuses as a counted bag: Company, JobNum, Status, Copies.
 
-    ``counts`` tells which rows are assemblies (all, if left out). With
-    ``bookings`` a job with any ``Booked`` row keeps its booked assemblies only.
-    A job number shared by companies shares its unfinished assemblies.
+    With ``bookings`` a job with any ``Booked`` row keeps its booked assemblies
+    only, and rows that are not ``Exists`` are no assemblies. A job number shared
+    by companies shares its unfinished assemblies.
     """
-    here = F.lit(True) if counts is None else counts
-    kept = here & F.col("Booked") if bookings else here
-    top = F.col("AssemblySeq") == 0
-    unfinished = kept & (F.col("AssemblySeq") != 0) & (F.col("DetailComplete") == 0)
+    here, booked = ("Exists", "Booked") if bookings else ("true", "true")
+    unfinished = f"{here} and {booked} and AssemblySeq <> 0 and DetailComplete = 0"
     per_job = rows.groupBy(JOB).agg(
-        F.max(F.when(here & top, F.col("Status"))).alias("TopStatus"),
-        F.count(F.when(here & top, 1)).alias("Tops"),
-        F.count(F.when(kept & top, 1)).alias("KeptTops"),
-        F.max(F.col("Booked") if bookings else F.lit(False)).alias("AnyBooked"),
-        *[F.count(F.when(unfinished & (F.col("Status") == s), 1)).alias(f"n{s}") for s in LEVELS],
+        F.expr(f"max(if({here} and AssemblySeq = 0, Status, null))").alias("TopStatus"),
+        F.expr(f"count_if({here} and AssemblySeq = 0)").alias("Tops"),
+        F.expr(f"count_if({here} and {booked} and AssemblySeq = 0)").alias("BookedTops"),
+        F.expr(f"max({booked})").alias("AnyBooked"),
+        *[F.expr(f"count_if({unfinished} and Status = {s})").alias(f"n{s}") for s in LEVELS],
     )
     # One row per company in each window.
-    shared = W.partitionBy("JobNum")
-    found = per_job.withColumns({f"n{s}": F.sum(f"n{s}").over(shared) for s in LEVELS})
-    tops = F.when(F.col("AnyBooked"), F.col("KeptTops")).otherwise(F.col("Tops"))
-    levels = F.array(
-        *[F.struct(F.lit(s).alias("level"), F.col(f"n{s}").alias("n")) for s in LEVELS]
-    )
-    none = F.array(F.struct(F.lit(None).cast("int").alias("level"), F.lit(1).cast("bigint").alias("n")))
-    present = F.filter(levels, lambda x: x["n"] > 0)
+    found = per_job.selectExpr(
+        *JOB,
+        "TopStatus",
+        "if(AnyBooked, BookedTops, Tops) as Tops",
+        *[f"sum(n{s}) over (partition by JobNum) as n{s}" for s in LEVELS],
+    ).filter("Tops > 0")
+    levels = ", ".join(f"struct({s} as level, n{s} as n)" for s in LEVELS)
+    alone = "array(struct(cast(null as int) as level, 1L as n))"
     return (
-        found.withColumn("Tops", tops)
-        .filter("Tops > 0")
-        .withColumn("asm", F.explode(F.when(F.size(present) > 0, present).otherwise(none)))
-        .select(
+        found.selectExpr(*JOB, "TopStatus", "Tops", f"filter(array({levels}), x -> x.n > 0) as found")
+        .selectExpr(*JOB, "TopStatus", "Tops", f"inline(if(size(found) > 0, found, {alone}))")
+        .selectExpr(
             *JOB,
-            combined_status(F.col("TopStatus"), F.col("asm.level"), mode).alias("Status"),
-            (F.col("Tops") * F.col("asm.n")).alias(COPIES),
+            f"cast({combined_status('TopStatus', 'level', mode)} as int) as Status",
+            f"Tops * n as {COPIES}",
         )
     )
 
@@ -80,8 +83,7 @@ def job_status_counted(erp: Erp, mode: str) -> DataFrame:
     """Job statuses as a counted bag; sums, counts and minima need no more than this."""
     if mode == OPEN_FIRM:
         # A job without bookings has no unfinished assembly: 0 >= 0 is complete.
-        rows = with_status(evidence_rows(erp, mode, how="full"))
-        return roll_up(rows, mode, counts=F.col("Exists"), bookings=True)
+        return roll_up(with_status(evidence_rows(erp, mode, how="full")), mode, bookings=True)
     return roll_up(with_status(assembly_evidence(erp, mode)), mode)
 
 
@@ -101,15 +103,15 @@ def header_flag_rows(erp: Erp) -> DataFrame:
         *JOB, "JobEngineered", "JobReleased", F.col("JobComplete").alias("HeadComplete")
     )
     rows = erp["JobAsmbl"].select(*ASM, "JobComplete").join(heads, JOB)
-    return rows.select(
+    return rows.selectExpr(
         *ASM,
-        flag(F.col("AssemblySeq") == 0).alias("MtlIssued"),
-        flag(F.col("JobEngineered")).alias("BackFromHT"),
-        flag(F.col("JobReleased")).alias("InProcess"),
-        flag(F.col("AssemblySeq") > 0).alias("Farmout"),
-        flag(F.col("HeadComplete")).alias("OVFinalOrBack"),
-        flag(~F.col("JobComplete")).alias("OVNotFinal"),
-        flag(F.col("JobComplete")).alias("DetailComplete"),
+        "if(AssemblySeq = 0, 1, 0) as MtlIssued",
+        "if(JobEngineered, 1, 0) as BackFromHT",
+        "if(JobReleased, 1, 0) as InProcess",
+        "if(AssemblySeq > 0, 1, 0) as Farmout",
+        "if(HeadComplete, 1, 0) as OVFinalOrBack",
+        "if(not JobComplete, 1, 0) as OVNotFinal",
+        "if(JobComplete, 1, 0) as DetailComplete",
     )
 
 
@@ -137,7 +139,5 @@ def job_status_exists(erp: Erp) -> DataFrame:
     reached = (
         with_status(assembly_evidence(erp, LEGACY)).groupBy(JOB).agg(F.max("Status").alias("Status"))
     )
-    jobs = erp["JobHead"].filter(~F.col("WIPCleared") & F.col("JobFirm")).select(JOB)
-    return jobs.join(reached, JOB, "left").select(
-        *JOB, F.coalesce("Status", F.lit(0)).alias("JobStatus")
-    )
+    jobs = erp["JobHead"].filter(FIRM_NOT_CLEARED).select(JOB)
+    return jobs.join(reached, JOB, "left").selectExpr(*JOB, "coalesce(Status, 0) as JobStatus")

@@ -32,18 +32,18 @@ def wip_vs_sales(
     if COPIES not in statuses.columns:
         statuses = statuses.withColumn(COPIES, F.lit(1).cast("bigint"))
     value = open_order_value(erp).groupBy(JOB).agg(F.sum("OpenValue").alias("OpenValue"))
-    copies = F.coalesce(COPIES, F.lit(1).cast("bigint")).cast("decimal(12,0)")
+    added = f"cast(OpenValue as decimal(24,6)) * cast(coalesce({COPIES}, 1) as decimal(12,0))"
     return (
         open_wip_total(erp, report_date, company_id, cutoff)
         .join(value, JOB, "left")
         .join(statuses, JOB, "left")
         .groupBy("JobNum", "PartNum", "WIPTotal", "Status")
-        .agg(F.sum(F.col("OpenValue").cast("decimal(24,6)") * copies).alias("OpenValTot"))
-        .select(
+        .agg(F.expr(f"sum({added})").alias("OpenValTot"))
+        .selectExpr(
             "JobNum",
             "PartNum",
             "WIPTotal",
-            status_label(F.col("Status")).alias("ActualStatus"),
+            f"{status_label()} as ActualStatus",
             "OpenValTot",
             "Status",
         )
