@@ -198,69 +198,88 @@ def assembly_base(erp: Erp, mode: str) -> DataFrame:
     return erp["JobAsmbl"].select(*ASM, F.col("PartNum").alias("AsmPartNum")).join(heads, JOB)
 
 
+# What is known of an operation, one bit each, so that a row is folded and
+# shuffled as one number.
+HEAT_DONE, SENT, IS_OUTSIDE, PENDING, NOT_FARMOUT, COUNTED, OPEN, RELEASED, BOOKED = (
+    1 << n for n in range(9)
+)
+# What is known of an assembly.
+MATERIAL, HEAT_BACK, SENT_OUT, PENDING_OPEN = (1 << n for n in range(4))
+
+
+def _bits(conditions: dict[int, str]) -> str:
+    return " | ".join(f"if({sql}, {bit}, 0)" for bit, sql in conditions.items())
+
+
+def _has(column: str, *bits: int) -> str:
+    return f"(({column} & {sum(bits)}) = {sum(bits)})"
+
+
 def _operation_facts(erp: Erp) -> DataFrame:
     """One row per operation: its kind, its releases and its labor.
 
     The three tables are folded together, so each is combined before the shuffle
     and an operation with very many releases or bookings stays one row.
     """
-    marks = {
-        "HeatTreated": HEAT_TREATED,
-        "SentOut": f"{FARMOUT} and not OpComplete",
-        "Outside": OUTSIDE,
-        "Pending": f"{OUTSIDE} and not OpComplete",
-        "NotFarmout": f"not ({FARMOUT})",
-        "Counted": NOT_INSPECTION,
+    kinds = {
+        HEAT_DONE: HEAT_TREATED,
+        SENT: f"{FARMOUT} and not OpComplete",
+        IS_OUTSIDE: OUTSIDE,
+        PENDING: f"{OUTSIDE} and not OpComplete",
+        NOT_FARMOUT: f"not ({FARMOUT})",
+        COUNTED: NOT_INSPECTION,
     }
-    operations = erp["JobOper"].selectExpr(*OPR, *[f"{sql} as {m}" for m, sql in marks.items()])
+    operations = erp["JobOper"].selectExpr(*OPR, f"{_bits(kinds)} as Marks")
     releases = (
         _releases(erp["PORel"], "OpenRelease")
         .filter("Company is not null and OprSeq is not null")
-        .withColumn("Released", F.lit(True))
+        .selectExpr(*OPR, f"{RELEASED} | {_bits({OPEN: 'OpenRelease'})} as Marks")
     )
-    labor = erp["LaborDtl"].selectExpr(*OPR, "LaborHrs", "LaborQty", "true as Booked")
+    labor = erp["LaborDtl"].selectExpr(*OPR, f"{BOOKED} as Marks", "LaborHrs", "LaborQty")
     return (
-        operations.unionByName(releases, allowMissingColumns=True)
+        operations.unionByName(releases)
         .unionByName(labor, allowMissingColumns=True)
         .groupBy(OPR)
         .agg(
-            *[F.max(m).alias(m) for m in (*marks, "OpenRelease", "Released", "Booked")],
+            F.bit_or("Marks").alias("Marks"),
             F.sum("LaborHrs").alias("LaborHrs"),
             F.sum("LaborQty").alias("LaborQty"),
         )
-        .selectExpr(
-            *OPR,
-            "HeatTreated",
-            "SentOut and OpenRelease as Farmout",
-            "Outside",
-            "Pending and OpenRelease as PendingOpen",
-            "NotFarmout and Released as Released",
-            "Counted",
-            "Booked",
-            "LaborHrs",
-            "LaborQty",
-        )
     )
 
 
 def _assembly_facts(erp: Erp) -> DataFrame:
-    """One row per assembly that has any operation, release, booking or issue."""
+    """One row per assembly that has any operation, release, booking or issue.
+
+    ``LastOutside`` holds the sequence of the last outside operation and, as its
+    lowest bit, whether that operation has a release. ``LastCounted`` does the
+    same for the last operation but the inspection and its bookings.
+    """
     # The release of the last outside operation is looked up in every company;
     # a window holds one row per company.
-    operations = _operation_facts(erp).withColumn(
-        "Released", F.expr("max(Released) over (partition by JobNum, AssemblySeq, OprSeq)")
+    released = f"if({_has('Marks', NOT_FARMOUT, RELEASED)}, 1, 0)"
+    known = {
+        HEAT_BACK: _has("Marks", HEAT_DONE),
+        SENT_OUT: _has("Marks", SENT, OPEN),
+        PENDING_OPEN: _has("Marks", PENDING, OPEN),
+    }
+    operations = _operation_facts(erp).selectExpr(
+        *OPR,
+        "Marks",
+        f"{_bits(known)} as Facts",
+        f"max({released}) over (partition by JobNum, AssemblySeq, OprSeq) as Released",
+        "LaborHrs",
+        "LaborQty",
     )
-    issues = erp["PartTran"].filter(ISSUED).selectExpr(*ASM, "true as Issued")
+    issues = erp["PartTran"].filter(ISSUED).selectExpr(*ASM, f"{MATERIAL} as Facts")
+    outside, counted = _has("Marks", IS_OUTSIDE), _has("Marks", COUNTED)
+    booked = f"if({_has('Marks', BOOKED)}, 1, 0)"
     facts = {
-        "Issued": "max(Issued)",
-        "HeatTreated": "max(HeatTreated)",
-        "SentOut": "max(Farmout)",
-        "PendingOpen": "max(PendingOpen)",
-        "FirstPendingOp": "min(if(PendingOpen, OprSeq, null))",
-        "LastOVOp": "max(if(Outside, OprSeq, null))",
-        "LastReleased": "max_by(Released, if(Outside, OprSeq, null))",
-        "LaborTotal": "max_by(LaborQty, if(Counted, OprSeq, null))",
-        "Booked": "max_by(Booked, if(Counted, OprSeq, null))",
+        "Facts": "bit_or(Facts)",
+        "FirstPending": f"min(if({_has('Facts', PENDING_OPEN)}, OprSeq, null))",
+        "LastOutside": f"max(if({outside}, 2L * OprSeq + Released, null))",
+        "LastCounted": f"max(if({counted}, 2L * OprSeq + {booked}, null))",
+        "LaborTotal": f"max_by(LaborQty, if({counted}, OprSeq, null))",
         "TotalLaborHrs": "sum(LaborHrs)",
     }
     return (
@@ -279,40 +298,38 @@ def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
     base = assembly_base(erp, mode).withColumn("Exists", F.lit(True))
     rows = base.join(_assembly_facts(erp), ASM, how)
     head = [*JOB, "PartNum", "AssemblySeq", "AsmPartNum", "Exists", "Booked"]
+    booked = _has("LastCounted", 1)
     if mode == LEGACY:
         # One row per company in each window.
         shared = "over (partition by JobNum, AssemblySeq)"
         rows = rows.selectExpr(
-            *head,
-            f"max(Issued) {shared} as Issued",
-            f"max(HeatTreated) {shared} as HeatTreated",
-            f"max(SentOut) {shared} as SentOut",
-            f"max(PendingOpen) {shared} as NotFinal",
-            f"max_by(LastReleased, LastOVOp) {shared} as LastReleased",
+            *head[:-1],
+            f"{booked} as Booked",
+            f"bit_or(Facts) {shared} as Facts",
+            f"max(LastOutside) {shared} as LastOutside",
             "LaborTotal >= ProdQty as Complete",
             "TotalLaborHrs",
         )
-        absent = "cast(null as int)"
+        absent, not_final = "cast(null as int)", _has("Facts", PENDING_OPEN)
     else:
         rows = rows.selectExpr(
-            *head,
-            "Issued",
-            "HeatTreated",
-            "SentOut",
-            "FirstPendingOp < LastOVOp as NotFinal",
-            "LastReleased",
-            "coalesce(LaborTotal, 0) >= if(Booked, coalesce(ProdQty, 0), 0) as Complete",
+            *head[:-1],
+            f"{booked} as Booked",
+            "Facts",
+            "FirstPending",
+            "LastOutside",
+            f"coalesce(LaborTotal, 0) >= if({booked}, coalesce(ProdQty, 0), 0) as Complete",
             "coalesce(TotalLaborHrs, 0) as TotalLaborHrs",
         )
-        absent = "0"
+        absent, not_final = "0", "2L * FirstPending + 1 < LastOutside"
     return rows.selectExpr(
         *head,
         "TotalLaborHrs",
-        f"if(Issued, 1, {absent}) as MtlIssued",
-        f"if(HeatTreated, 1, {absent}) as BackFromHT",
-        f"if(SentOut, 1, {absent}) as Farmout",
-        f"if(NotFinal, 1, {absent}) as OVNotFinal",
-        f"if(LastReleased, 1, {absent}) as OVFinalOrBack",
+        f"if({_has('Facts', MATERIAL)}, 1, {absent}) as MtlIssued",
+        f"if({_has('Facts', HEAT_BACK)}, 1, {absent}) as BackFromHT",
+        f"if({_has('Facts', SENT_OUT)}, 1, {absent}) as Farmout",
+        f"if({not_final}, 1, {absent}) as OVNotFinal",
+        f"if({_has('LastOutside', 1)}, 1, {absent}) as OVFinalOrBack",
         "if(Complete, 1, 0) as DetailComplete",
     ).selectExpr("*", f"{NEW_IP} as NewIP", f"{new_ip2(mode)} as NewIP2", f"{IN_PROCESS} as InProcess")
 
