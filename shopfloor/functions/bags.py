@@ -17,7 +17,7 @@ def expand_copies(df: DataFrame) -> DataFrame:
     as a rule all, are repeated where they are.
     """
     columns = [c for c in df.columns if c != COPIES]
-    few = df.filter(f"{COPIES} <= {CHUNK}").selectExpr(
+    few = df.filter(f"{COPIES} between 1 and {CHUNK}").selectExpr(
         *columns, f"explode(sequence(1L, {COPIES})) as _copy"
     )
     many = (

@@ -26,20 +26,23 @@ def row_numbers_sliced(
 ) -> DataFrame:
     """``row_number`` per group, where groups above ``hot_rows`` rows are spread over many tasks.
 
-    The rows of a hot group are range-partitioned by the sort order and written
-    with the number of their slice (``write`` stores a table and returns it, so
+    The rows of a hot group are range-partitioned by the sort order into slices
+    of about ``hot_rows`` rows and written with the number of their slice (``write`` stores a table and returns it, so
     that slice numbers cannot change when a task is repeated). A row's number is
     then its number within the slice plus the rows in earlier slices.
     """
-    hot = df.groupBy(*group).count().filter(F.col("count") > hot_rows).select(*group)
-    if hot.isEmpty():
+    large = df.groupBy(*group).count().filter(F.col("count") > hot_rows)
+    rows_in_hot = large.agg(F.sum("count")).first()[0]
+    if not rows_in_hot:
         return row_numbers(df, group, order, name)
 
+    hot = large.select(*group)
+    slices = rows_in_hot // hot_rows + 1
     numbered = row_numbers(df.join(hot, group, "left_anti"), group, order, name)
     sliced = write(
         f"{name}_slices",
         lambda: df.join(hot, group, "left_semi")
-        .repartitionByRange(*group, *order)
+        .repartitionByRange(slices, *group, *order)
         .withColumn("_slice", F.spark_partition_id()),
     )
     earlier = (

@@ -158,8 +158,8 @@ def summary_lines(summary: DataFrame) -> DataFrame:
 
 
 def _sources(original: DataFrame, optimized: DataFrame) -> DataFrame:
-    return original.withColumn("Source", F.lit("Original")).unionByName(
-        optimized.withColumn("Source", F.lit("Optimized"))
+    return original.selectExpr("'Original' as Source", "*").unionByName(
+        optimized.selectExpr("'Optimized' as Source", "*")
     )
 
 
@@ -178,8 +178,9 @@ def compare_sample(original: DataFrame, optimized: DataFrame, rows: int = 10) ->
 
     def first(bag: DataFrame) -> DataFrame:
         # No more than ``rows`` copies of a row can be among the first ``rows``.
-        few = bag.withColumn(COPIES, F.least(F.col(COPIES), F.lit(rows).cast("bigint")))
-        few = few.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(COPIES))))
+        few = bag.filter(f"{COPIES} > 0").selectExpr(
+            *JOB, "Status", f"explode(sequence(1, cast(least({COPIES}, {rows}) as int)))"
+        )
         return few.orderBy(*JOB, "Status").limit(rows).select(*JOB, "Status")
 
     return _sources(first(original), first(optimized)).orderBy("Source", *JOB, "Status")
