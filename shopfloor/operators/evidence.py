@@ -28,6 +28,7 @@ from shopfloor.functions.conditions import (
     OUTSIDE,
     new_ip2,
 )
+from shopfloor.functions.fixed_point import whole_units
 from shopfloor.schemas import ASM, JOB, OPR
 
 Erp = Mapping[str, DataFrame]
@@ -215,7 +216,7 @@ def _has(column: str, *bits: int) -> str:
     return f"(({column} & {sum(bits)}) = {sum(bits)})"
 
 
-def _operation_facts(erp: Erp) -> DataFrame:
+def _operation_facts(erp: Erp, hours: str, quantity: str) -> DataFrame:
     """One row per operation: its kind, its releases and its labor.
 
     The three tables are folded together, so each is combined before the shuffle
@@ -235,7 +236,9 @@ def _operation_facts(erp: Erp) -> DataFrame:
         .filter("Company is not null and OprSeq is not null")
         .selectExpr(*OPR, f"{RELEASED} | {_bits({OPEN: 'OpenRelease'})} as Marks")
     )
-    labor = erp["LaborDtl"].selectExpr(*OPR, f"{BOOKED} as Marks", "LaborHrs", "LaborQty")
+    labor = erp["LaborDtl"].selectExpr(
+        *OPR, f"{BOOKED} as Marks", f"{hours} as LaborHrs", f"{quantity} as LaborQty"
+    )
     return (
         operations.unionByName(releases)
         .unionByName(labor, allowMissingColumns=True)
@@ -263,7 +266,9 @@ def _assembly_facts(erp: Erp) -> DataFrame:
         SENT_OUT: _has("Marks", SENT, OPEN),
         PENDING_OPEN: _has("Marks", PENDING, OPEN),
     }
-    operations = _operation_facts(erp).selectExpr(
+    hours, hours_back = whole_units(erp["LaborDtl"], "LaborHrs")
+    quantity, quantity_back = whole_units(erp["LaborDtl"], "LaborQty")
+    operations = _operation_facts(erp, hours, quantity).selectExpr(
         *OPR,
         "Marks",
         f"{_bits(known)} as Facts",
@@ -279,8 +284,8 @@ def _assembly_facts(erp: Erp) -> DataFrame:
         "FirstPending": f"min(if({_has('Facts', PENDING_OPEN)}, OprSeq, null))",
         "LastOutside": f"max(if({outside}, 2L * OprSeq + Released, null))",
         "LastCounted": f"max(if({counted}, 2L * OprSeq + {booked}, null))",
-        "LaborTotal": f"max_by(LaborQty, if({counted}, OprSeq, null))",
-        "TotalLaborHrs": "sum(LaborHrs)",
+        "LaborTotal": quantity_back.format(f"max_by(LaborQty, if({counted}, OprSeq, null))"),
+        "TotalLaborHrs": hours_back.format("sum(LaborHrs)"),
     }
     return (
         operations.unionByName(issues, allowMissingColumns=True)

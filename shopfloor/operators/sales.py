@@ -13,18 +13,29 @@ LINE = [*ORDER, "OrderLine"]
 RELEASE = [*LINE, "OrderRelNum"]
 
 
-def open_order_value(erp: Erp) -> DataFrame:
-    """Quantity still to ship and its value, per job and unit price."""
-    remaining = (
-        F.col("OurReqQty") - F.col("OurJobShippedQty") - F.col("OurStockShippedQty")
+def _open_lines(erp: Erp) -> DataFrame:
+    """Quantity still to ship and unit price of every order release behind a job."""
+    releases = erp["OrderRel"].selectExpr(
+        *RELEASE, "OurReqQty - OurJobShippedQty - OurStockShippedQty as Remaining"
     )
-    releases = erp["OrderRel"].select(*RELEASE, remaining.alias("Remaining"))
     return (
         erp["JobProd"]
         .join(releases, RELEASE)
         .join(erp["OrderDtl"], LINE)
         .join(erp["OrderHed"], ORDER, "left_semi")
+    )
+
+
+def open_order_value(erp: Erp) -> DataFrame:
+    """Quantity still to ship and its value, per job and unit price."""
+    return (
+        _open_lines(erp)
         .groupBy(*JOB, "UnitPrice")
         .agg(F.sum("Remaining").alias("RemainQty"))
-        .withColumn("OpenValue", F.col("RemainQty") * F.col("UnitPrice"))
+        .selectExpr(*JOB, "UnitPrice", "RemainQty", "RemainQty * UnitPrice as OpenValue")
     )
+
+
+def open_value_per_job(erp: Erp) -> DataFrame:
+    """Value still to ship per job: the sum over its unit prices, from one grouping."""
+    return _open_lines(erp).groupBy(JOB).agg(F.expr("sum(Remaining * UnitPrice)").alias("OpenValue"))

@@ -12,7 +12,7 @@ from shopfloor.functions.bags import COPIES
 from shopfloor.functions.conditions import status_label
 from shopfloor.operators.costing import open_wip_total
 from shopfloor.operators.evidence import Erp
-from shopfloor.operators.sales import open_order_value
+from shopfloor.operators.sales import open_value_per_job
 from shopfloor.schemas import JOB
 
 
@@ -31,11 +31,10 @@ def wip_vs_sales(
     """
     if COPIES not in statuses.columns:
         statuses = statuses.withColumn(COPIES, F.lit(1).cast("bigint"))
-    value = open_order_value(erp).groupBy(JOB).agg(F.sum("OpenValue").alias("OpenValue"))
     added = f"cast(OpenValue as decimal(24,6)) * cast(coalesce({COPIES}, 1) as decimal(12,0))"
     return (
         open_wip_total(erp, report_date, company_id, cutoff)
-        .join(value, JOB, "left")
+        .join(open_value_per_job(erp), JOB, "left")
         .join(statuses, JOB, "left")
         .groupBy("JobNum", "PartNum", "WIPTotal", "Status")
         .agg(F.expr(f"sum({added})").alias("OpenValTot"))
