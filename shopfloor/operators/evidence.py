@@ -187,7 +187,8 @@ def detail_complete_flag(erp: Erp, rule: str) -> DataFrame:
 def keep_booked(rows: DataFrame, erp: Erp) -> DataFrame:
     """Assemblies with bookings (``Booked``), and all assemblies of jobs without any."""
     jobs = detail_complete_qty(erp, OPEN_FIRM).select(JOB).distinct().withColumn("_job", F.lit(True))
-    return rows.join(jobs, JOB, "left").filter("Booked or _job is null").drop("_job")
+    columns = rows.columns
+    return rows.join(jobs, JOB, "left").filter("Booked or _job is null").select(columns)
 
 
 # --- all flags at once ------------------------------------------------------
@@ -361,4 +362,7 @@ def assembly_evidence(erp: Erp, mode: str) -> DataFrame:
     rows = evidence_rows(erp, mode)
     if mode == LEGACY:
         return rows.select(EVIDENCE_COLUMNS).distinct()
-    return keep_booked(rows, erp).select(*EVIDENCE_COLUMNS, "TotalLaborHrs").distinct()
+    # Equal rows are folded where the assemblies are; the join on jobs comes last,
+    # so that a job with very many assemblies can be split.
+    rows = rows.select(*EVIDENCE_COLUMNS, "TotalLaborHrs", "Booked").distinct()
+    return keep_booked(rows, erp).drop("Booked")

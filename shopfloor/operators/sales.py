@@ -14,16 +14,16 @@ RELEASE = [*LINE, "OrderRelNum"]
 
 
 def _open_lines(erp: Erp) -> DataFrame:
-    """Quantity still to ship and unit price of every order release behind a job."""
+    """Quantity still to ship and unit price of every order release behind a job.
+
+    The order tables are joined first, from the head down, so that the long list
+    of jobs is moved once.
+    """
+    lines = erp["OrderDtl"].join(erp["OrderHed"], ORDER, "left_semi")
     releases = erp["OrderRel"].selectExpr(
         *RELEASE, "OurReqQty - OurJobShippedQty - OurStockShippedQty as Remaining"
     )
-    return (
-        erp["JobProd"]
-        .join(releases, RELEASE)
-        .join(erp["OrderDtl"], LINE)
-        .join(erp["OrderHed"], ORDER, "left_semi")
-    )
+    return erp["JobProd"].join(releases.join(lines, LINE), RELEASE)
 
 
 def open_order_value(erp: Erp) -> DataFrame:

@@ -8,7 +8,7 @@ and a result row carries the number of equal rows it stands for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.constants import LEGACY, OPEN_FIRM
@@ -43,21 +43,26 @@ def asm_status(statuses: DataFrame) -> DataFrame:
     return statuses.filter("AssemblySeq <> 0 and DetailComplete = 0").select("JobNum", "Status")
 
 
-def roll_up(rows: DataFrame, mode: str, bookings: bool = False) -> DataFrame:
+def roll_up(rows: DataFrame, mode: str, bookings: bool = False, weight: str = "1L") -> DataFrame:
     """Job statuses as a counted bag: Company, JobNum, Status, Copies.
 
     With ``bookings`` a job with any ``Booked`` row keeps its booked assemblies
-    only, and rows that are not ``Exists`` are no assemblies. A job number shared
-    by companies shares its unfinished assemblies.
+    only, and rows that are not ``Exists`` are no assemblies. ``weight`` is the
+    number of assemblies a row stands for. A job number shared by companies shares
+    its unfinished assemblies.
     """
     here, booked = ("Exists", "Booked") if bookings else ("true", "true")
     unfinished = f"{here} and {booked} and AssemblySeq <> 0 and DetailComplete = 0"
+
+    def number(condition: str, name: str) -> Column:
+        return F.expr(f"sum(if({condition}, {weight}, 0L))").alias(name)
+
     per_job = rows.groupBy(JOB).agg(
         F.expr(f"max(if({here} and AssemblySeq = 0, Status, null))").alias("TopStatus"),
-        F.expr(f"count_if({here} and AssemblySeq = 0)").alias("Tops"),
-        F.expr(f"count_if({here} and {booked} and AssemblySeq = 0)").alias("BookedTops"),
+        number(f"{here} and AssemblySeq = 0", "Tops"),
+        number(f"{here} and {booked} and AssemblySeq = 0", "BookedTops"),
         F.expr(f"max({booked})").alias("AnyBooked"),
-        *[F.expr(f"count_if({unfinished} and Status = {s})").alias(f"n{s}") for s in LEVELS],
+        *[number(f"{unfinished} and Status = {s}", f"n{s}") for s in LEVELS],
     )
     # One row per company in each window.
     found = per_job.selectExpr(
@@ -98,13 +103,23 @@ def job_status_one_row(counted: DataFrame) -> DataFrame:
 
 
 def header_flag_rows(erp: Erp) -> DataFrame:
-    """Flags read straight from head and assembly columns, open and firm jobs."""
+    """Flags read straight from head and assembly columns, open and firm jobs.
+
+    The flags tell assemblies apart only by the sign of their sequence and their
+    completion, so equal ones are counted (``Assemblies``) before they meet the head.
+    """
     heads = job_heads(erp, OPEN_FIRM).select(
         *JOB, "JobEngineered", "JobReleased", F.col("JobComplete").alias("HeadComplete")
     )
-    rows = erp["JobAsmbl"].select(*ASM, "JobComplete").join(heads, JOB)
-    return rows.selectExpr(
+    assemblies = (
+        erp["JobAsmbl"]
+        .selectExpr(*JOB, "cast(sign(AssemblySeq) as int) as AssemblySeq", "JobComplete")
+        .groupBy(*ASM, "JobComplete")
+        .agg(F.count("*").alias("Assemblies"))
+    )
+    return assemblies.join(heads, JOB).selectExpr(
         *ASM,
+        "Assemblies",
         "if(AssemblySeq = 0, 1, 0) as MtlIssued",
         "if(JobEngineered, 1, 0) as BackFromHT",
         "if(JobReleased, 1, 0) as InProcess",
@@ -117,7 +132,9 @@ def header_flag_rows(erp: Erp) -> DataFrame:
 
 def header_flag_status(erp: Erp) -> DataFrame:
     """Job status from the header flags."""
-    return expand_copies(roll_up(with_status(header_flag_rows(erp)), OPEN_FIRM))
+    return expand_copies(
+        roll_up(with_status(header_flag_rows(erp)), OPEN_FIRM, weight="Assemblies")
+    )
 
 
 def labor_vs_last_ov(erp: Erp) -> DataFrame:
