@@ -2,6 +2,7 @@
 
 from shopfloor.functions.bags import count_copies
 from shopfloor.operators import compare
+from shopfloor.plans.validation import kept_results, validation_report
 from tests.shop import bag
 
 
@@ -68,3 +69,16 @@ def test_sample(spark):
     assert rows == [("Optimized", "F001", "A", 3), ("Optimized", "F001", "B", None)] + [
         ("Original", "F001", "A", 1)
     ] * 10
+
+
+def test_whole_validation(spark):
+    rows = [("F001", "A", 1), ("F001", "B", 2)]
+    original, optimized = results(spark, rows, rows[:1])
+    with kept_results(OriginalResults=original, OptimizedResults=optimized) as kept:
+        report = validation_report(kept["OriginalResults"], kept["OptimizedResults"])
+        assert report["missing"].first()[0] == 1
+        assert report["status_differences"].isEmpty()
+        assert report["distribution"].count() == 3
+        assert report["lines"].count() == 5
+        assert spark.table("OptimizedResults").count() == 1
+    assert not spark.catalog.tableExists("OriginalResults")
