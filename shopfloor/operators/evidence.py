@@ -38,6 +38,8 @@ ALL_JOBS = "all_jobs"  # every job, matched within the company
 
 def job_heads(erp: Erp, mode: str) -> DataFrame:
     """The jobs a rule set looks at."""
+    if mode not in (LEGACY, OPEN_FIRM, ALL_JOBS):
+        raise ValueError(f"unknown rule set: {mode}")
     heads = erp["JobHead"]
     return heads.filter(OPEN_AND_FIRM) if mode == OPEN_FIRM else heads
 
@@ -295,6 +297,20 @@ def _assembly_facts(erp: Erp) -> DataFrame:
     )
 
 
+def _facts_of_open_jobs(erp: Erp) -> dict[str, DataFrame]:
+    """Operations, releases, labor and transactions of open, firm jobs.
+
+    Jobs are matched by number alone, because the last outside operation is looked
+    up in every company. Open jobs are few against the history, so Spark as a rule
+    broadcasts their numbers and the history is dropped before any shuffle.
+    """
+    numbers = job_heads(erp, OPEN_FIRM).select("JobNum")
+    return {
+        name: erp[name].join(numbers, "JobNum", "left_semi")
+        for name in ("JobOper", "PORel", "LaborDtl", "PartTran")
+    }
+
+
 def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
     """Assemblies with flags, before the open/firm rule on bookings.
 
@@ -302,7 +318,8 @@ def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
     ``Exists`` unset; the job roll-up needs them.
     """
     base = assembly_base(erp, mode).withColumn("Exists", F.lit(True))
-    rows = base.join(_assembly_facts(erp), ASM, how)
+    facts = _assembly_facts(_facts_of_open_jobs(erp) if mode == OPEN_FIRM else erp)
+    rows = base.join(facts, ASM, how)
     head = [*JOB, "PartNum", "AssemblySeq", "AsmPartNum", "Exists", "Booked"]
     booked = _has("LastCounted", 1)
     if mode == LEGACY:

@@ -40,9 +40,23 @@ def test_no_pairing_and_no_python(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("mode", [LEGACY, OPEN_FIRM])
-def test_every_table_is_read_once(stored, mode):
-    """Six tables, six scans, although a result is repeated in place or in chunks."""
-    assert final_plan(status.job_status(stored, mode)).count("FileScan") == 6
+def test_every_fact_is_read_once(stored, mode):
+    """One scan per table, although a result is repeated in place or in chunks."""
+    scans = [line for line in final_plan(status.job_status(stored, mode)).splitlines() if "FileScan" in line]
+    for table in ("JobAsmbl", "JobOper", "PORel", "LaborDtl", "PartTran"):
+        assert len([line for line in scans if f"/{table}]" in line]) == 1
+
+
+def test_open_jobs_are_picked_before_the_shuffle(stored):
+    """A short list of open jobs meets the facts as a broadcast, below the first exchange."""
+    lines = final_plan(status.job_status_counted(stored, OPEN_FIRM)).splitlines()
+    semi = [line for line in lines if "LeftSemi" in line]
+    assert len(semi) == 4 and all("BroadcastHashJoin" in line for line in semi)
+
+
+def test_unknown_rule_set(stored):
+    with pytest.raises(ValueError):
+        status.job_status(stored, "Legacy")
 
 
 def test_filters_and_columns_reach_the_scan(stored):
