@@ -73,3 +73,11 @@ def shared_folder(spark: SparkSession) -> str:
 def row_key() -> list:
     """Columns that tell documents apart even when ids repeat or are null."""
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -37,7 +37,8 @@ def training_sample(docs: DataFrame, held_out: str) -> dict[str, str]:
     The first pass reads no text; rows per (language, bucket) are combined before the
     shuffle.
     """
-    labelled = docs.where(f"lang is not null and text is not null and not ({held_out})").withColumn("_hash", F.xxhash64("doc_id"))
+    labelled = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.where(f"lang is not null and text is not null and not ({held_out})").withColumn("_hash", F.xxhash64("doc_id"))
     bucket = F.pmod(F.col("_hash"), F.lit(SAMPLE_DOCS))
     picked = labelled.groupBy("lang", bucket.alias("_bucket")).agg(F.min("_hash").alias("_hash")).select("lang", "_hash")
     text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
@@ -136,10 +137,12 @@ def phrase_counts(lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray) ->
         symbols = lanes[i, :width]
         after = table[state[:width] + symbols]
         stuck = np.flatnonzero(after == 0)
-        phrases[stuck] += 1
-        after[stuck] = table[symbols[stuck]]
+        again = table[symbols[stuck]]
+        # the phrase before ends; a symbol that the sample lacks is a phrase of its own
+        phrases[stuck] += (state[stuck] != 0).astype(np.int64) + (again == 0)
+        after[stuck] = again
         state[:width] = after
-    return phrases
+    return phrases + (state != 0)
 
 
 def parse(symbols: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +164,7 @@ def parse(symbols: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
             width = int(np.searchsorted(-size, -i, "left"))
             lanes[i, :width] = flat[at[:width] + i]
         for k, table in enumerate(tables):
-            np.add.at(counts[:, k], own, phrase_counts(lanes, size, table) + 1)
+            np.add.at(counts[:, k], own, phrase_counts(lanes, size, table))
     return counts
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import bytes_of, row_key, written
+from shopfloor.llm.common import bytes_of, row_key, unused, written
 
 #: Fingerprints of the sample that builds the tree, at most about so many; sample points in a shard.
 MOST_SAMPLED, SHARD_SAMPLE, SAMPLE_SHARE = 1_000_000, 32, 64
@@ -257,9 +257,8 @@ def one_per_component(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> D
     """
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
     keepers = _components(docs, shingle, max_bits).groupBy("root").agg(F.min(rank).alias("k"))
-    keys = keepers.select(F.xxhash64("k.b").alias("_sh_id"), F.col("k.c").alias("_sh_text"))
-    tagged = docs.select(
-        "*", F.xxhash64(F.col("doc_id").cast("long")).alias("_sh_id"), F.xxhash64("text").alias("_sh_text")
-    )
-    kept = tagged.join(keys, ["_sh_id", "_sh_text"], "left_semi")
-    return kept.dropDuplicates(["_sh_id", "_sh_text"]).select(*docs.columns)
+    by_id, by_text = unused(docs, "_by_id"), unused(docs, "_by_text")
+    keys = keepers.select(F.xxhash64("k.b").alias(by_id), F.col("k.c").alias(by_text))
+    tagged = docs.select("*", F.xxhash64(F.col("doc_id").cast("long")).alias(by_id), F.xxhash64("text").alias(by_text))
+    kept = tagged.join(keys, [by_id, by_text], "left_semi")
+    return kept.dropDuplicates([by_id, by_text]).select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import bytes_of, written
+from shopfloor.llm.common import bytes_of, unused, written
 
 PASSAGE, SEED = 50, 20
 _WINDOW = PASSAGE - SEED + 1
@@ -343,18 +343,20 @@ def without_passages(docs: DataFrame) -> DataFrame:
     Words of a passage go with the white space after them. A document of which nothing
     is left goes; documents without repeats stay as they are, whatever is null in them.
     """
+    by_id, by_text, cut_name = (unused(docs, n) for n in ("_by_id", "_by_text", "_cuts"))
     cuts = (
         repeated_passages(docs)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.collect_list(F.struct("start_word", "n_words")).alias("_cuts"))
+        .groupBy(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_text))
+        .agg(F.collect_list(F.struct("start_word", "n_words")).alias(cut_name))
     )
-    joined = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.hash("text").alias("_key")).join(cuts, ["_id", "_key"], "left")
+    tagged = docs.select("*", F.col("doc_id").cast("long").alias(by_id), F.hash("text").alias(by_text))
+    joined = tagged.join(cuts, [by_id, by_text], "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            cut = batch.column("_cuts").to_pylist()
+            cut = batch.column(cut_name).to_pylist()
             texts = batch.column("text").to_pylist()
             texts = [t if not c else remaining(t.encode(), c, hasher).decode() for t, c in zip(texts, cut)]
             stay = [not c or bool(t.split()) for t, c in zip(texts, cut)]
@@ -366,7 +368,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(stay, pa.bool_()))
 
-    return joined.select(*names, "_cuts").mapInArrow(run, docs.schema)
+    return joined.select(*names, cut_name).mapInArrow(run, docs.schema)
 
 
 def remaining(text: bytes, cuts: list[dict], hasher: Hasher) -> bytes:

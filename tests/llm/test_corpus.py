@@ -1,0 +1,351 @@
+"""Operators that compare documents or vectors with each other, and the pipeline."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import public_tokenizers
+from shopfloor.llm import oracle, packing, quality, queries, simhash, substrings, topk
+from tests.check import differences
+from tests.llm.tables import PASSAGE, PROSE, ROWS, documents, read
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_sql(spark, con, sf_dir):
+    for name, sql in queries.oracle_sql().items():
+        assert differences(queries.queries()[name](spark, sf_dir), con, sql) is None, name
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = [n for n in __spark_entry__.queries() if n.startswith("op")]
+    assert {int(n[2:].split("_")[0]) for n in names if n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in __spark_entry__.queries()
+
+
+# --- packing ---------------------------------------------------------------
+
+
+def check_packing(rows, limit, max_docs=None, max_cost=None):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= limit
+        assert max_docs is None or len(own) <= max_docs
+        assert max_cost is None or sum(n * n for _, n in own) <= max_cost
+    return len(bins)
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_best_fit_constraints(rule):
+    rng = random.Random(4)
+    for trial in range(20):
+        histogram = {n: rng.randint(1, 50) for n in rng.sample(range(1, 101), 30)}
+        max_docs, max_cost = rng.choice([(100, 10_000), (3, 10_000), (100, 10_100), (2, 100 * 100)])
+        rows, ranks = [], defaultdict(list)
+        for length, rank, count, first, offset in packing.best_fit(histogram, 100, max_docs, max_cost, rule=rule):
+            ranks[length] += range(rank, rank + count)
+            rows += [{"sequence_id": first + i, "offset": offset, "length": length} for i in range(count)]
+        assert all(sorted(ranks[n]) == list(range(c)) for n, c in histogram.items())
+        used = check_packing(rows, 100, max_docs, max_cost)
+        if max_docs == 100 and max_cost == 10_000:
+            assert used <= 1.25 * -(-sum(n * c for n, c in histogram.items()) // 100) + 1
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    rows = [*ROWS, *((100 + i, "same words here") for i in range(300))]
+    ids = {(i, t): [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+    docs = documents(spark, rows)
+    pieces = packing.token_pieces(docs, JSON, public_tokenizers.PATTERN, 64, 0)
+    got = read(packing.pack(pieces, 64))
+    check_packing(got, 64)
+    want = Counter()
+    for i, t in rows:
+        own = np.array(ids[(i, t)], "<u4")
+        for n, (start, length) in enumerate(packing.cut(len(own), 64)):
+            want[(i, n, start, length, zlib.crc32(own[start : start + length].tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert len(Counter((r["sequence_id"], r["offset"]) for r in got)) == len(got)
+    empty = packing.token_pieces(documents(spark, []), JSON, public_tokenizers.PATTERN, 64, 0)
+    assert read(packing.pack(empty, 64)) == []
+
+
+def test_cut():
+    assert packing.cut(1, 4) == [(0, 1)]
+    assert packing.cut(4, 4) == [(0, 4)]
+    assert packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
+
+
+# --- top-k -----------------------------------------------------------------
+
+
+def test_top_k_against_all_scores(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(60)]  # ties in great number
+    rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [float("inf")] + [0.0] * 7)]
+    rows += [(404, [0.5, 0.25]), (500, [1.0, -1.0]), (None, rows[1][1]), rows[2], (1000, [-3.0] * 8), (550, [])]
+    vectors = spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<double>, key int, block int")
+    got = read(topk.exact_top_k(vectors, F.col("id") % 50 == 0))
+    whole = {
+        (i, tuple(int(np.floor(256 * x)) for x in v))
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    }
+    want = set()
+    for i, v in whole:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if (j, w) != (i, v) and len(w) == len(v))
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+    assert len(got) == len(want)
+    assert read(topk.exact_top_k(vectors.limit(0), F.col("id") % 50 == 0)) == []
+
+
+def test_top_k_over_blocks(spark, con, sf_dir, monkeypatch):
+    for name, size in (("QUERY_BLOCK", 3), ("BLOCK", 100), ("BINS", 7)):
+        monkeypatch.setattr(topk, name, size)
+    assert differences(queries.top_k_search(spark, sf_dir), con, oracle.TOPK_SQL) is None
+
+
+# --- SimHash ---------------------------------------------------------------
+
+
+def plain_components(points, bits):
+    parent = {p: p for p in points}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for i, p in enumerate(points):
+        for q in points[:i]:
+            if bin(p ^ q).count("1") <= bits:
+                a, b = root(p), root(q)
+                parent[max(a, b)] = min(a, b)
+    return {p: root(p) for p in points}
+
+
+def clustered(rng, centres, each):
+    points = set()
+    for _ in range(centres):
+        p = rng.getrandbits(64)
+        for _ in range(each):
+            points.add(p)
+            for _ in range(rng.randint(1, 4)):
+                p ^= 1 << rng.randrange(64)
+    return sorted(points)
+
+
+@pytest.mark.parametrize("leaf", [2, 8, 512])
+def test_shard_links_against_all_pairs(leaf, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    rng = random.Random(leaf)
+    points = clustered(rng, 30, 12)
+    ends, roots = simhash.shard_links(np.array(points, np.uint64), 2)
+    assert np.bitwise_count(np.array(points, np.uint64)).max() <= 64
+    parent = {p: p for p in points}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for a, b in zip(ends.tolist(), roots.tolist()):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert {p: root(p) for p in points} == plain_components(points, 2)
+
+
+def test_tree_brings_linked_points_together():
+    rng = random.Random(9)
+    points = np.array(clustered(rng, 400, 5), np.uint64)
+    tree = simhash.Tree(points[::3], 2)
+    assert tree.shards > 4
+    shards, found = tree.route(points)
+    homes = defaultdict(set)
+    for s, p in zip(shards.tolist(), found.tolist()):
+        homes[p].add(s)
+    for i, p in enumerate(points.tolist()):
+        for q in points[:i][np.bitwise_count(points[:i] ^ points[i]) <= 2].tolist():
+            assert homes[p] & homes[q]
+
+
+def test_connected_follows_long_chains(spark):
+    rng = random.Random(1)
+    chain = [(i + 1, i) for i in range(100)] + [(200 + i, 200) for i in range(1, 50)] + [(301, 300)]
+    rng.shuffle(chain)
+    got = {(r["u"], r["v"]) for r in read(simhash.connected(spark.createDataFrame(chain, "u long, v long")))}
+    assert got == {(i, 0) for i in range(1, 101)} | {(200 + i, 200) for i in range(1, 50)} | {(301, 300)}
+
+
+def near_copies():
+    rng = random.Random(8)
+    rows = list(ROWS)
+    for group in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for copy in range(8):
+            own = list(words)
+            own[rng.randrange(400)] = f"new{copy}"
+            rows.append((1000 + 10 * group + copy, " ".join(own)))
+    return rows
+
+
+def test_components_against_all_pairs(spark):
+    rows = near_copies()
+    prints = [simhash.fingerprint((t or "").encode(), 3) for _, t in rows]
+    of = plain_components(sorted(set(prints)), 2)
+    least = {}
+    for (i, _), p in zip(rows, prints):
+        if i is not None:
+            least[of[p]] = min(i, least.get(of[p], i))
+    want = Counter((i, f"{p:016x}", least.get(of[p])) for (i, _), p in zip(rows, prints))
+    got = read(simhash.near_duplicates(documents(spark, rows)))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
+    assert read(simhash.near_duplicates(documents(spark, []))) == []
+
+    docs = documents(spark, rows)
+    kept = simhash.one_per_component(docs)
+    assert kept.columns == docs.columns
+    got = read(kept)
+    assert len(got) == len(set(of.values()))
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None} == set(least.values())
+
+
+def test_fingerprint_by_definition():
+    import xxhash
+
+    for text in (b"", b"One", b"a b", b"A b C d\te\nf a b c", "É è ü x y z".encode()):
+        words = text.lower().split()
+        shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text, 3) == want
+
+
+# --- repeated passages -----------------------------------------------------
+
+
+def plain_repeats(rows):
+    """Words of each text that a 50-word window covers which stands earlier."""
+    first, covered = {}, defaultdict(set)
+    for doc_id, text in sorted({r for r in rows if None not in r}, key=lambda r: r[0]):
+        words = text.encode().split()
+        for s in range(len(words) - 49):
+            window = tuple(words[s : s + 50])
+            if window in first:
+                covered[doc_id].update(range(s, s + 50))
+            else:
+                first[window] = doc_id
+    return dict(covered)
+
+
+def passages():
+    rng = random.Random(6)
+    shared = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate((49, 50, 51, 64, 90, 300))]
+    rows = []
+    for i in range(60):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 3)):
+            at, passage = rng.randint(0, len(words)), rng.choice(shared)
+            cut = rng.randint(0, 30) if rng.random() < 0.3 else 0
+            words[at:at] = passage[cut:]
+        rows.append((i, "  ".join(words) if i % 2 else "\n".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_passages_against_all_windows(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    rows = [*(r for r in ROWS if r[0] != 12), *((100 + i, t) for i, t in passages())]
+    got = defaultdict(set)
+    for r in read(substrings.repeated_passages(documents(spark, rows))):
+        got[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+        assert (r["first_doc_id"], r["first_start_word"]) < (r["doc_id"], r["start_word"])
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dict(got) == plain_repeats(rows)
+
+
+def test_without_passages(spark):
+    rows = [(1, f"A first. {PASSAGE} tail"), (2, f"head {PASSAGE}  kept tail"), (3, PASSAGE), (4, None), (None, PASSAGE), (5, ""), (6, PROSE)]
+    docs = documents(spark, rows)
+    out = substrings.without_passages(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in read(out)}
+    assert {i: r["text"] for i, r in got.items()} == {1: rows[0][1], 2: "head kept tail", 4: None, None: PASSAGE, 5: "", 6: PROSE}
+    assert got[2]["n_chars"] == len("head kept tail") and got[1]["n_chars"] == len(rows[0][1])
+    assert substrings.without_passages(documents(spark, [])).count() == 0
+
+
+# --- pipeline --------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert len(stages) == 5
+
+    kept = stages["quality rules"](spark, docs, sf_dir).persist()
+    verdicts = {r["doc_id"]: r["kept"] for r in read(quality.quality_report(docs))}
+    assert kept.columns == columns
+    assert {r["doc_id"] for r in read(kept)} == {i for i, k in verdicts.items() if k}
+
+    single = stages["simhash near-dedup"](spark, kept, sf_dir).persist()
+    rows = [(r["doc_id"], r["text"]) for r in read(kept)]
+    prints = {i: simhash.fingerprint(t.encode(), 3) for i, t in rows}
+    of = plain_components(sorted(set(prints.values())), 2)
+    least = {}
+    for i, p in sorted(prints.items()):
+        least.setdefault(of[p], i)
+    assert single.columns == columns and {r["doc_id"] for r in read(single)} == set(least.values())
+
+    cut = stages["suffix-array dedup"](spark, single, sf_dir).persist()
+    texts = {r["doc_id"]: r["text"] for r in read(single)}
+    repeats = plain_repeats(list(texts.items()))
+    want = {}
+    for i, t in texts.items():
+        words = [w for n, w in enumerate(t.split()) if n not in repeats.get(i, ())]
+        if words or not t.split():
+            want[i] = words
+    assert cut.columns == columns and {r["doc_id"]: r["text"].split() for r in read(cut)} == want
+
+    masked = stages["secret scans"](spark, cut, sf_dir).persist()
+    assert masked.columns == columns and masked.count() == len(want)
+    assert not [r for r in read(masked) if 'token = "' in r["text"] and 'token = "[SECRET]"' not in r["text"]]
+
+    packed = read(stages["best-fit packing"](spark, masked, sf_dir))
+    check_packing(packed, 2048)
+    assert {r["doc_id"] for r in packed} == set(want)
+    for df in (kept, single, cut, masked):
+        df.unpersist()
+
+
+def test_pipeline_runs(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_probing_against_all_pairs():
+    rng = random.Random(12)
+    points = clustered(rng, 20, 10)
+    ends, roots = simhash._probed(np.array(points, np.uint64), 2)
+    of = plain_components(points, 2)
+    assert dict(zip(ends.tolist(), roots.tolist())) == {p: r for p, r in of.items() if p != r}
