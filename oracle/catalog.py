@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracle.costing import BUCKETS, JOB, LABEL, WIP, costs, report, wip
 from oracle.mapping import MONEY, TABLES, query
-from oracle.status import LEGACY, OPEN_FIRM, evidence, header_flags, job_status, key
+from oracle.status import HEAD_QTY, LEGACY, OPEN_FIRM, evidence, header_flags, job_status, key, letter
 
 REPORT_DATE = "2000-01-01"
 COMPANY_ID = "F001"
@@ -30,7 +30,7 @@ def _scans() -> dict[str, str]:
 
 
 def _evidence(mode: str) -> dict[str, str]:
-    m, k, steps = mode[0], key(mode), evidence(mode)
+    m, k, steps = letter(mode), key(mode), evidence(mode)
     status = job_status(mode)
     flags = """MtlIssued, BackFromHT, Farmout, InProcess, OVNotFinal, OVFinalOrBack,
         NewIP, NewIP2, DetailComplete"""
@@ -62,6 +62,20 @@ def _evidence(mode: str) -> dict[str, str]:
     }
 
 
+def _head_qty() -> dict[str, str]:
+    """The third completion rule as a rule set."""
+    every = _evidence(HEAD_QTY)
+    return {
+        name: every[name]
+        for name in (
+            "assembly_evidence_head_qty",
+            "detail_complete_flag_head_qty",
+            "status_code_head_qty",
+            "job_status_head_qty",
+        )
+    }
+
+
 def _status() -> dict[str, str]:
     legacy = job_status(LEGACY)
     one_row = "select Company, JobNum, min(Status) as Status from {}_job group by Company, JobNum"
@@ -74,17 +88,16 @@ def _status() -> dict[str, str]:
         "last_ov_operation_all_jobs": query(
             "select Company, JobNum, AssemblySeq, LastOVOp from a_last", _all_jobs()
         ),
-        "detail_complete_flag_head_qty": query(
-            """select b.Company, b.JobNum, b.AssemblySeq,
-            case when coalesce(d.LaborTotal, 0) >= b.ProdQty then 1 else 0 end as DetailComplete
-            from o_base b left join o_detail d using (Company, JobNum, AssemblySeq)""",
-            evidence(OPEN_FIRM),
-        ),
         "job_status_saved_query": query(
             """select Company as JobHead6_Company, JobNum as Calculated_JobNum,
             Status as Calculated_Status from l_job""",
             legacy,
         ),
+        "job_status_saved_query_open_firm": query(
+            """select Company as JobHead8_Company, JobNum as Calculated_JobNum,
+            Status as Calculated_Status from o_job""",
+            job_status(OPEN_FIRM),
+        ),
         "job_status_one_row": query(one_row.format("l"), legacy),
         "job_status_exists": query(
             """select j.Company, j.JobNum, coalesce((select max(s.Status) from l_status s
@@ -171,6 +184,7 @@ def _costing() -> dict[str, str]:
         ),
         "wip_vs_sales": query(shown, legacy, final, report("l_job")),
         "wip_vs_sales_one_status": query(shown, legacy, one, final, report("one_row")),
+        "wip_vs_sales_from_cache": query(shown, legacy, one, final, report("one_row")),
         "wip_vs_sales_fixed_cutoff": query(shown, legacy, literal, report("l_job")),
         "wip_vs_sales_single_company": query(
             shown, legacy, wip(REPORT_DATE, REPORT_DATE, "F101"), report("l_job")
@@ -214,7 +228,7 @@ def _comparison() -> dict[str, str]:
         "compare_extra": query("select ExtraRows as ExtraInOptimized from counts", both, counts),
         "compare_status_diffs": query(
             f"""select a.Company, a.JobNum, a.Status as Original_Status,
-            b.Status as Optimized_Status from {pairs}""",
+            b.Status as Optimized_Status, count(*) as "Pairs" from {pairs} group by all""",
             both,
         ),
         "compare_strict": query(
@@ -252,6 +266,7 @@ def oracle_sql() -> dict[str, str]:
         **_status(),
         **_evidence(LEGACY),
         **_evidence(OPEN_FIRM),
+        **_head_qty(),
         **_costing(),
         **_comparison(),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 LEGACY = "legacy"
 OPEN_FIRM = "open_firm"
+HEAD_QTY = "head_qty"
 
 _CODES = "'OMC-OVOP', 'OMP-OVOP'"
 _CODE = """case when OVFinalOrBack = 1 then 6 when OVNotFinal = 1 then 5 when InProcess = 1 then 4
@@ -14,16 +15,23 @@ def key(mode: str) -> str:
     return "JobNum, AssemblySeq" if mode == LEGACY else "Company, JobNum, AssemblySeq"
 
 
+def letter(mode: str) -> str:
+    """The letter with which the steps of a rule set begin."""
+    return {LEGACY: "l", OPEN_FIRM: "o", HEAD_QTY: "q"}[mode]
+
+
 def evidence(mode: str) -> dict[str, str]:
-    """Steps, named with the first letter of the rule set: base, single operators, evidence."""
-    m, k = mode[0], key(mode)
+    """Steps, named with the letter of the rule set: base, single operators, evidence."""
+    m, k = letter(mode), key(mode)
+    asm_of = "{0}.Company = {1}.Company and {0}.JobNum = {1}.JobNum and {0}.AssemblySeq = {1}.AssemblySeq".format
     jobs = "JobHead" if mode == LEGACY else "(select * from JobHead where not JobClosed and JobFirm) h"
+    qualified = ", ".join(f"o.{c}" for c in k.split(", "))
     steps = {
         f"{m}_jobs": f"select * from {jobs}",
         f"{m}_base": f"""select j.Company, j.JobNum, j.PartNum, j.ProdQty, a.AssemblySeq, a.PartNum as AsmPartNum
             from {m}_jobs j, JobAsmbl a where a.Company = j.Company and a.JobNum = j.JobNum""",
         f"{m}_asm": f"select distinct Company, JobNum, AssemblySeq from {m}_base",
-        f"{m}_ops": f"select * from JobOper join {m}_asm using (Company, JobNum, AssemblySeq)",
+        f"{m}_ops": f"select o.* from JobOper o join {m}_asm a on {asm_of('a', 'o')}",
         f"{m}_last": f"""select {k}, max(OprSeq) as LastOVOp from {m}_ops
             where SubContract and OpCode not in ({_CODES}) group by {k}""",
         f"{m}_mtl": f"""select distinct {k}, 1 as MtlIssued from {m}_asm a where exists (
@@ -34,11 +42,11 @@ def evidence(mode: str) -> dict[str, str]:
             from PORel where OpenRelease""",
         "any_rel": """select Company, JobNum, AssemblySeq, JobSeq as OprSeq, PONum, POLine, PORelNum,
             OpenRelease from PORel""",
-        f"{m}_farm": f"""select {k}, 1 as Farmout from {m}_ops
-            join open_rel using (Company, JobNum, AssemblySeq, OprSeq)
+        f"{m}_farm": f"""select {qualified}, 1 as Farmout from {m}_ops o
+            join open_rel r on {asm_of('r', 'o')} and r.OprSeq = o.OprSeq
             where OpCode in ({_CODES}) and not OpComplete""",
     }
-    pending = f"""{m}_ops o join open_rel r using (Company, JobNum, AssemblySeq, OprSeq)
+    pending = f"""{m}_ops o join open_rel r on {asm_of('r', 'o')} and r.OprSeq = o.OprSeq
         {{join}} where SubContract and not OpComplete and OpCode not in ({_CODES})"""
     if mode == LEGACY:
         join = """left join l_last l on o.JobNum = l.JobNum and o.AssemblySeq = l.AssemblySeq
@@ -76,11 +84,11 @@ def evidence(mode: str) -> dict[str, str]:
             left join l_detail d using (Company, JobNum, AssemblySeq)"""
         extra = ""
     else:
-        join = "join o_last l using (Company, JobNum, AssemblySeq)"
+        join = f"join o_last l on {asm_of('l', 'o')}"
         steps["o_nf"] = (
-            "select Company, JobNum, AssemblySeq, 1 as OVNotFinal, PONum, POLine, PORelNum from "
+            "select o.Company, o.JobNum, o.AssemblySeq, 1 as OVNotFinal, PONum, POLine, PORelNum from "
             + pending.format(join=join)
-            + " and OprSeq <> LastOVOp"
+            + " and o.OprSeq <> LastOVOp"
         )
         steps["o_fb"] = f"""select l.Company, l.JobNum, l.AssemblySeq, 1 as OVFinalOrBack, r.PONum,
                 r.POLine, r.PORelNum, r.OpenRelease
@@ -117,6 +125,8 @@ def evidence(mode: str) -> dict[str, str]:
             left join o_detail d on d.Company = b.Company and d.JobNum = b.JobNum
             where d.AssemblySeq is null or d.AssemblySeq = b.AssemblySeq"""
         extra = ", hrs"
+    if mode == HEAD_QTY:
+        steps = {name.replace("o_", "q_", 1) if name.startswith("o_") else name: _head_qty(sql) for name, sql in steps.items()}
     steps[f"{m}_evidence"] = f"""select distinct Company, JobNum, PartNum, AssemblySeq, AsmPartNum,
         MtlIssued, BackFromHT, Farmout,
         case when NewIP = 1 or NewIP2 = 1 then 1 else 0 end as InProcess,
@@ -124,6 +134,20 @@ def evidence(mode: str) -> dict[str, str]:
     return steps
 
 
+def _head_qty(sql: str) -> str:
+    """A step of the open/firm rules under the third rule: own names, quantity of the job, no filter on bookings."""
+    for old, new in (
+        (" o_", " q_"),
+        ("coalesce(d.LaborTotal, 0) >= coalesce(d.ProdQty, 0)", "coalesce(d.LaborTotal, 0) >= b.ProdQty"),
+        (
+            "on d.Company = b.Company and d.JobNum = b.JobNum\n            where d.AssemblySeq is null or d.AssemblySeq = b.AssemblySeq",
+            "on d.Company = b.Company and d.JobNum = b.JobNum and d.AssemblySeq = b.AssemblySeq",
+        ),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
 def _combine(m: str, asm_null: str) -> dict[str, str]:
     return {
         f"{m}_status": f"select *, {_CODE} as Status from {m}_evidence",
@@ -139,7 +163,7 @@ def _combine(m: str, asm_null: str) -> dict[str, str]:
 
 def job_status(mode: str) -> dict[str, str]:
     asm = "s.Status" if mode == LEGACY else "coalesce(s.Status, 0)"
-    return {**evidence(mode), **_combine(mode[0], asm)}
+    return {**evidence(mode), **_combine(letter(mode), asm)}
 
 
 def header_flags() -> dict[str, str]:

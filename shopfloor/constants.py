@@ -37,6 +37,8 @@ SAVED_STATUS_NAMES = {
     "JobNum": "Calculated_JobNum",
     "Status": "Calculated_Status",
 }
+# Prefix of the company column where the saved query of a rule set differs
+SAVED_COMPANY = {"legacy": "JobHead6_Company", "open_firm": "JobHead8_Company", "head_qty": "JobHead6_Company"}
 
 # Verdict of the comparison
 VERDICT_PASS = "QUERIES PRODUCE IDENTICAL RESULTS"
@@ -45,3 +47,5 @@ VERDICT_FAIL = "QUERIES HAVE DIFFERENCES - REVIEW REQUIRED"
 # Rule sets for the job status
 LEGACY = "legacy"
 OPEN_FIRM = "open_firm"
+HEAD_QTY = "head_qty"  # open_firm, completion by the quantity of the job alone
+OPEN_MODES = (OPEN_FIRM, HEAD_QTY)

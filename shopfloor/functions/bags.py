@@ -3,35 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 COPIES = "Copies"
-CHUNK = 10_000
+#: Copies are written out in steps of so many, from millions of millions down to single rows.
+STEP = 1000
 
 
 def expand_copies(df: DataFrame) -> DataFrame:
-    """Each row repeated ``Copies`` times.
+    """Each row repeated ``Copies`` times; counts below one give no row.
 
-    Rows with very many copies are cut into chunks that are spread over the
-    cluster, so neither a task nor an array grows with the count. The other rows,
-    as a rule all, are repeated where they are.
+    A count is split into parts of at most a million, each part goes where the
+    shuffle sends it, and is written out there. No array is longer than ``STEP``
+    below ``STEP`` to the sixth copies, and the parts of one row are spread over the cluster.
     """
     columns = [c for c in df.columns if c != COPIES]
-    few = df.filter(f"{COPIES} between 1 and {CHUNK}").selectExpr(
-        *columns, f"explode(sequence(1L, {COPIES})) as _copy"
+    parts = df.filter(f"{COPIES} >= 1").withColumnRenamed(COPIES, "_rest").selectExpr("*", "0L as _part")
+    for power in (5, 4, 3, 2):
+        parts = _split(parts, columns, STEP**power)
+    parts = parts.repartition(*columns, "_part")
+    for power in (1, 0):
+        parts = _split(parts, columns, STEP**power)
+    return parts.select(*columns)
+
+
+def _split(parts: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Every part cut into parts of at most ``size`` copies."""
+    cut = parts.selectExpr("*", f"explode(sequence(0L, (_rest - 1) div {size}L)) as _nth")
+    return cut.selectExpr(
+        *columns, f"least({size}L, _rest - _nth * {size}L) as _rest", f"_part * {STEP} + _nth as _part"
     )
-    many = (
-        df.filter(f"{COPIES} > {CHUNK}")
-        .selectExpr("*", f"explode(sequence(0L, ({COPIES} - 1) div {CHUNK})) as _chunk")
-        .repartition(*columns, "_chunk")
-        .selectExpr(
-            *columns,
-            f"explode(sequence(1L, least({CHUNK}L, {COPIES} - _chunk * {CHUNK}))) as _copy",
-        )
-    )
-    return few.unionByName(many).select(*columns)
-
-
-def count_copies(df: DataFrame) -> DataFrame:
-    """Equal rows folded into one row with their number (combined before the shuffle)."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias(COPIES))

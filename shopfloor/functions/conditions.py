@@ -11,7 +11,7 @@ from shopfloor.constants import (
     HEAT_TREAT_OP,
     INSPECTION_OP,
     ISSUE_CLASS,
-    OPEN_FIRM,
+    LEGACY,
     SEPARATE_COMPANY,
     STATUS_LABELS,
     UNKNOWN_LABEL,
@@ -47,7 +47,7 @@ IN_PROCESS = "if(NewIP = 1 or NewIP2 = 1, 1, 0)"
 
 def new_ip2(mode: str) -> str:
     """Back from heat treatment without hours; missing hours count as none only under open/firm."""
-    hours = "coalesce(TotalLaborHrs, 0)" if mode == OPEN_FIRM else "TotalLaborHrs"
+    hours = "TotalLaborHrs" if mode == LEGACY else "coalesce(TotalLaborHrs, 0)"
     return f"if(BackFromHT = 1 and {hours} = 0, 1, 0)"
 
 
@@ -68,7 +68,7 @@ def combined_status(top: str, assembly: str, mode: str) -> str:
     The assembly wins when it is behind the top. For a top at 0 without any
     assembly the legacy rules give NULL, the open/firm rules 0.
     """
-    alone = "0" if mode == OPEN_FIRM else "null"
+    alone = "null" if mode == LEGACY else "0"
     return f"if({top} = 0, coalesce({assembly}, {alone}), least({assembly}, {top}))"
 
 

@@ -2,7 +2,8 @@
 
 A sum of decimal(12,2) is a decimal(22,2), which Spark keeps as a variable-length
 number and converts on every row. Whole hundredths fit a bigint: they are added
-in place and take a third of the space in a shuffle. An overflow raises an error.
+in place and take a third of the space in a shuffle. An overflow raises an error,
+for which ANSI mode (the default) must be on.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def whole_units(df: DataFrame, column: str) -> tuple[str, str]:
     kind = df.schema[column].dataType
     if not isinstance(kind, DecimalType) or kind.precision > 18:
         return column, "{}"
+    if df.sparkSession.conf.get("spark.sql.ansi.enabled") != "true":
+        raise RuntimeError("set spark.sql.ansi.enabled: sums of whole units must not wrap around")
     units = f"cast({column} * {10 ** kind.scale} as bigint)"
     if kind.scale == 0:
         return units, "cast({} as decimal(20,0))"

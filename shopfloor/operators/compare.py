@@ -91,10 +91,10 @@ def compare_extra(original: DataFrame, optimized: DataFrame) -> DataFrame:
     return added.agg(F.coalesce(F.sum(COPIES), _zero()).alias("ExtraInOptimized"))
 
 
-def compare_status_diffs_counted(original: DataFrame, optimized: DataFrame) -> DataFrame:
-    """Pairs of rows of one key with different status, equal pairs counted.
+def compare_status_diffs(original: DataFrame, optimized: DataFrame) -> DataFrame:
+    """Pairs of rows of one key with different status, equal pairs counted (``Pairs``), sorted by key.
 
-    A key has at most eight statuses on either side, however many rows it has.
+    A key has at most 42 pairs of unequal statuses, however many rows it has.
     """
 
     def folded(bag: DataFrame, name: str, copies: str) -> DataFrame:
@@ -103,14 +103,20 @@ def compare_status_diffs_counted(original: DataFrame, optimized: DataFrame) -> D
     pairs = folded(original, "Original_Status", "a").join(
         folded(optimized, "Optimized_Status", "b"), JOB
     )
-    return pairs.filter("Original_Status <> Optimized_Status").select(
-        *JOB, "Original_Status", "Optimized_Status", (F.col("a") * F.col("b")).alias(COPIES)
+    found = pairs.filter("Original_Status <> Optimized_Status").select(
+        *JOB, "Original_Status", "Optimized_Status", (F.col("a") * F.col("b")).alias("Pairs")
     )
+    return found.orderBy(*JOB, "Original_Status", "Optimized_Status")
 
 
-def compare_status_diffs(original: DataFrame, optimized: DataFrame) -> DataFrame:
-    """Pairs of rows of one key with different status, sorted by key."""
-    return expand_copies(compare_status_diffs_counted(original, optimized)).orderBy(*JOB)
+def expanded_status_diffs(original: DataFrame, optimized: DataFrame) -> DataFrame:
+    """``compare_status_diffs`` with every pair written out.
+
+    The number of rows is the product of a job's rows on either side: for inspection
+    of small results only.
+    """
+    counted = compare_status_diffs(original, optimized).withColumnRenamed("Pairs", COPIES)
+    return expand_copies(counted).orderBy(*JOB)
 
 
 def compare_strict(original: DataFrame, optimized: DataFrame) -> DataFrame:

@@ -48,7 +48,16 @@ def _rounded_sums(amounts: dict[str, str]) -> list[Column]:
 # --- job cost ---------------------------------------------------------------
 
 
-def _cost_rows(erp: Erp, heads: DataFrame) -> DataFrame:
+def of_jobs(rows: DataFrame, jobs: DataFrame | None) -> DataFrame:
+    """Rows of the given jobs, all without any given.
+
+    Belongs above a fold: sums are compared, not raw rows, and a short list of jobs is
+    pushed below the fold by Spark.
+    """
+    return rows if jobs is None else rows.join(jobs, JOB, "left_semi")
+
+
+def _cost_rows(erp: Erp, heads: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Cost per job and plant with the columns of ``heads``."""
     costs = (
         erp["JobAsmbl"]
@@ -58,7 +67,7 @@ def _cost_rows(erp: Erp, heads: DataFrame) -> DataFrame:
             F.min("StartDate").alias("JobScheduledOn"),
         )
     )
-    return costs.join(heads, JOB)
+    return of_jobs(costs, jobs).join(heads, JOB)
 
 
 def job_cost(erp: Erp) -> DataFrame:
@@ -125,7 +134,7 @@ def _total_of(names: list[str]) -> str:
 
 
 def _transactions_by_job(
-    erp: Erp, report_date: date, cutoff: date, amounts: list[str]
+    erp: Erp, report_date: date, cutoff: date, amounts: list[str], jobs: DataFrame | None
 ) -> DataFrame:
     """Per job and transaction type the list of plant sums, from one pass.
 
@@ -147,28 +156,33 @@ def _transactions_by_job(
         sql = f"collect_list(if(TranType = '{tran_type}', struct({values}), null))"
         return F.expr(sql).alias(prefix)
 
-    return sums.groupBy(JOB).agg(*[plants(t, p) for t, p in TAKEN_OUT.items()])
+    return of_jobs(sums, jobs).groupBy(JOB).agg(*[plants(t, p) for t, p in TAKEN_OUT.items()])
 
 
 # --- combination ------------------------------------------------------------
 
 
 def _combine(
-    costs: DataFrame, erp: Erp, report_date: date, cutoff: date, amounts: list[str]
+    costs: DataFrame,
+    erp: Erp,
+    report_date: date,
+    cutoff: date,
+    amounts: list[str],
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
     """``costs`` with the ``amounts`` taken out of each job, 0 where nothing was.
 
     Jobs are matched without their plant: a job with transactions at several
     plants gets one row per combination.
     """
-    rows = costs.join(_transactions_by_job(erp, report_date, cutoff, amounts), JOB, "left")
+    rows = costs.join(_transactions_by_job(erp, report_date, cutoff, amounts, jobs), JOB, "left")
     kept = list(costs.columns)
     lists = list(TAKEN_OUT.values())
     for prefix in TAKEN_OUT.values():
         lists.remove(prefix)
         rows = rows.selectExpr(*kept, *lists, f"inline_outer({prefix})")
         kept += [f"{prefix}{a}" for a in amounts]
-    rejects = dmr_cost(erp).selectExpr("*", f"{_total_of([f'DMR{b}' for b in BUCKETS])} as DMRTotal")
+    rejects = of_jobs(dmr_cost(erp), jobs).selectExpr("*", f"{_total_of([f'DMR{b}' for b in BUCKETS])} as DMRTotal")
     rows = rows.join(rejects.select(*JOB, *[f"DMR{a}" for a in amounts]), JOB, "left")
     taken = [f"{p}{a}" for p in (*TAKEN_OUT.values(), "DMR") for a in amounts]
     return rows.selectExpr(*costs.columns, *[f"coalesce({name}, 0) as {name}" for name in taken])
@@ -217,17 +231,31 @@ def _reported_heads(erp: Erp, with_part: bool) -> DataFrame:
     return rows.withColumn("PartNum", F.expr("coalesce(_planned, '')")).drop("_planned")
 
 
-def _home_costs(erp: Erp, heads: DataFrame) -> DataFrame:
+def reported_jobs(erp: Erp, company_id: str) -> DataFrame:
+    """Keys of the jobs that can have work in process left: firm, open, not cleared, visible."""
+    heads = erp["JobHead"].filter(f"{FIRM_NOT_CLEARED} and {STILL_OPEN}")
+    return company_visibility(heads, company_id).select(JOB)
+
+
+def _home_costs(erp: Erp, heads: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Cost of the jobs in ``heads`` at the plant of the job itself."""
     heads = heads.withColumnRenamed("Plant", "_home")
-    return _cost_rows(erp, heads).filter("Plant = _home").drop("_home")
+    return _cost_rows(erp, heads, jobs).filter("Plant = _home").drop("_home")
 
 
 def _wip_rows(
-    erp: Erp, report_date: date, company_id: str, cutoff: date, amounts: list[str]
+    erp: Erp,
+    report_date: date,
+    company_id: str,
+    cutoff: date,
+    amounts: list[str],
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
     heads = _reported_heads(erp, with_part=True)
-    rows = _true_up(_combine(_home_costs(erp, heads), erp, report_date, cutoff, amounts))
+    if jobs is not None:
+        heads = company_visibility(heads, company_id).filter(STILL_OPEN)
+    costs = _home_costs(erp, heads, jobs)
+    rows = _true_up(_combine(costs, erp, report_date, cutoff, amounts, jobs))
     return rows.selectExpr(
         *[c for c in rows.columns if c != "ProdCode"],
         "coalesce(ProdCode, '') as ProdCode",
@@ -276,14 +304,16 @@ def wip_total(
 ) -> DataFrame:
     """Visible jobs that are not cleared and whose total work in process is not zero.
 
+    Closed, cleared and hidden jobs are dropped before amounts are combined.
     The filter works on totals kept next to the buckets, not on the sum of the
     five bucket expressions, which is far costlier to plan.
     """
-    rows = _wip_rows(erp, report_date, company_id, cutoff, [*BUCKETS, "Total"])
+    jobs = reported_jobs(erp, company_id)
+    rows = _wip_rows(erp, report_date, company_id, cutoff, [*BUCKETS, "Total"], jobs)
     total = " + ".join(WIP_AMOUNTS[b] for b in BUCKETS)
     return (
         rows.selectExpr("*", f"{_job_total()} as JobTotal")
-        .filter(f"not WIPCleared and Visible = 1 and {STILL_OPEN} and {_remaining()} <> 0")
+        .filter(f"{_remaining()} <> 0")
         .selectExpr(*_WIP_COLUMNS, f"{total} as WIPTotal")
     )
 
@@ -297,7 +327,8 @@ def open_wip_total(
     travel as totals, and columns the report does not show are not joined.
     """
     heads = company_visibility(_reported_heads(erp, with_part=False), company_id)
-    costs = _home_costs(erp, heads.filter(STILL_OPEN))
+    jobs = reported_jobs(erp, company_id)
+    costs = _home_costs(erp, heads.filter(STILL_OPEN), jobs)
     costs = costs.selectExpr(*JOB, "PartNum", f"{_job_total()} as JobTotal")
-    rows = _combine(costs, erp, report_date, cutoff, ["Total"])
+    rows = _combine(costs, erp, report_date, cutoff, ["Total"], jobs)
     return rows.selectExpr(*JOB, "PartNum", f"{_remaining()} as WIPTotal").filter("WIPTotal <> 0")

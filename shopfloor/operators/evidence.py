@@ -6,7 +6,9 @@ job number and assembly only, so a job number used by two companies shares it.
 
 The single operators below are bags of rows as the rules define them.
 ``assembly_evidence`` gives all flags at once: operations, releases and labor are
-folded by operation, then by assembly, each table read once.
+folded by operation, then by assembly, each table read once. What limits a result to
+some jobs is joined above the folds, so raw facts are never dealt out by job; a short
+list of jobs is pushed below them by Spark.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.constants import LEGACY, OPEN_FIRM
+from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM, OPEN_MODES
 from shopfloor.functions.conditions import (
     FARMOUT,
     HEAT_TREATED,
@@ -38,10 +40,10 @@ ALL_JOBS = "all_jobs"  # every job, matched within the company
 
 def job_heads(erp: Erp, mode: str) -> DataFrame:
     """The jobs a rule set looks at."""
-    if mode not in (LEGACY, OPEN_FIRM, ALL_JOBS):
+    if mode not in (LEGACY, *OPEN_MODES, ALL_JOBS):
         raise ValueError(f"unknown rule set: {mode}")
     heads = erp["JobHead"]
-    return heads.filter(OPEN_AND_FIRM) if mode == OPEN_FIRM else heads
+    return heads.filter(OPEN_AND_FIRM) if mode in OPEN_MODES else heads
 
 
 def assembly_keys(erp: Erp, mode: str) -> DataFrame:
@@ -117,7 +119,7 @@ def ov_not_final(erp: Erp, mode: str, carry: Sequence[str] = ()) -> DataFrame:
     """
     pending = erp["JobOper"].filter(f"{OUTSIDE} and not OpComplete").select(OPR)
     found = _of_assemblies(pending, erp, mode)
-    if mode == OPEN_FIRM:
+    if mode in OPEN_MODES:
         found = found.join(last_ov_operation(erp, mode), ASM).filter("OprSeq <> LastOVOp")
     found = found.join(_releases(erp["PORel"].filter("OpenRelease"), *carry), OPR)
     return found.select(*match_key(mode), F.lit(1).alias("OVNotFinal"), *carry)
@@ -172,33 +174,46 @@ def detail_complete_flag(erp: Erp, rule: str) -> DataFrame:
     has bookings the assemblies without are left out.
     ``head_qty``: nothing booked counts as quantity 0, compared with the job quantity.
     """
-    mode = LEGACY if rule == LEGACY else OPEN_FIRM
-    complete = {
-        LEGACY: "LaborTotal >= HeadQty",
-        OPEN_FIRM: "coalesce(LaborTotal, 0) >= coalesce(ProdQty, 0)",
-        "head_qty": "coalesce(LaborTotal, 0) >= HeadQty",
-    }[rule]
-    base = assembly_base(erp, mode).select(*ASM, F.col("ProdQty").alias("HeadQty"))
-    booked = detail_complete_qty(erp, mode).withColumn("Booked", F.lit(True))
-    rows = base.join(booked, ASM, "left")
+    facts = _facts_of(erp, rule, _assembly_facts(erp, operations_only=True))
+    base = assembly_base(erp, rule).withColumn("Exists", F.lit(True))
+    how = "full" if rule == OPEN_FIRM else "left"
+    booked = _has("LastCounted", 1)
+    rows = base.join(facts, ASM, how).selectExpr(
+        *ASM, "Exists", f"{booked} as Booked", f"if({_complete(rule)}, 1, 0) as DetailComplete"
+    )
     if rule == OPEN_FIRM:
-        rows = keep_booked(rows, erp)
-    return rows.selectExpr(*ASM, f"if({complete}, 1, 0) as DetailComplete")
+        rows = keep_booked(rows.distinct())
+    return rows.select(*ASM, "DetailComplete")
 
 
-def keep_booked(rows: DataFrame, erp: Erp) -> DataFrame:
-    """Assemblies with bookings (``Booked``), and all assemblies of jobs without any."""
-    jobs = detail_complete_qty(erp, OPEN_FIRM).select(JOB).distinct().withColumn("_job", F.lit(True))
-    columns = rows.columns
-    return rows.join(jobs, JOB, "left").filter("Booked or _job is null").select(columns)
+def _complete(rule: str) -> str:
+    booked = _has("LastCounted", 1)
+    return {
+        LEGACY: f"{booked} and LaborTotal >= ProdQty",
+        OPEN_FIRM: f"coalesce(LaborTotal, 0) >= if({booked}, coalesce(ProdQty, 0), 0)",
+        HEAD_QTY: "coalesce(LaborTotal, 0) >= ProdQty",
+    }[rule]
+
+
+def keep_booked(rows: DataFrame) -> DataFrame:
+    """Assemblies that exist: the ``Booked`` ones of a job that has any, else all.
+
+    The jobs are counted from the same rows (which must be distinct), so the facts
+    below are folded once. The count and the single condition keep Spark from
+    planning the two uses differently.
+    """
+    jobs = rows.groupBy(JOB).agg((F.count_if("Booked") > 0).alias("_any"))
+    return rows.join(jobs, JOB).filter("if(_any, Exists and Booked, Exists)").select(rows.columns)
 
 
 # --- all flags at once ------------------------------------------------------
 
 
-def assembly_base(erp: Erp, mode: str) -> DataFrame:
+def assembly_base(erp: Erp, mode: str, numbers: DataFrame | None = None) -> DataFrame:
     """Assemblies with the head columns that the evidence needs."""
     heads = job_heads(erp, mode).select(*JOB, "PartNum", "ProdQty")
+    if numbers is not None:
+        heads = heads.join(numbers, "JobNum", "left_semi")
     return erp["JobAsmbl"].select(*ASM, F.col("PartNum").alias("AsmPartNum")).join(heads, JOB)
 
 
@@ -219,7 +234,7 @@ def _has(column: str, *bits: int) -> str:
     return f"(({column} & {sum(bits)}) = {sum(bits)})"
 
 
-def _operation_facts(erp: Erp, hours: str, quantity: str) -> DataFrame:
+def _operation_facts(erp: Erp, hours: str, quantity: str, releases_too: bool = True) -> DataFrame:
     """One row per operation: its kind, its releases and its labor.
 
     The three tables are folded together, so each is combined before the shuffle
@@ -242,9 +257,10 @@ def _operation_facts(erp: Erp, hours: str, quantity: str) -> DataFrame:
     labor = erp["LaborDtl"].selectExpr(
         *OPR, f"{BOOKED} as Marks", f"{hours} as LaborHrs", f"{quantity} as LaborQty"
     )
+    if releases_too:
+        operations = operations.unionByName(releases)
     return (
-        operations.unionByName(releases)
-        .unionByName(labor, allowMissingColumns=True)
+        operations.unionByName(labor, allowMissingColumns=True)
         .groupBy(OPR)
         .agg(
             F.bit_or("Marks").alias("Marks"),
@@ -254,9 +270,16 @@ def _operation_facts(erp: Erp, hours: str, quantity: str) -> DataFrame:
     )
 
 
-def _assembly_facts(erp: Erp) -> DataFrame:
+def assembly_facts(erp: Erp) -> DataFrame:
+    """What ``evidence_rows`` knows of assemblies, the same under all rule sets; can be given to several of them."""
+    return _assembly_facts(erp)
+
+
+def _assembly_facts(erp: Erp, operations_only: bool = False) -> DataFrame:
     """One row per assembly that has any operation, release, booking or issue.
 
+    With ``operations_only`` releases and issues are not read.
+
     ``LastOutside`` holds the sequence of the last outside operation and, as its
     lowest bit, whether that operation has a release. ``LastCounted`` does the
     same for the last operation but the inspection and its bookings.
@@ -271,7 +294,7 @@ def _assembly_facts(erp: Erp) -> DataFrame:
     }
     hours, hours_back = whole_units(erp["LaborDtl"], "LaborHrs")
     quantity, quantity_back = whole_units(erp["LaborDtl"], "LaborQty")
-    operations = _operation_facts(erp, hours, quantity).selectExpr(
+    operations = _operation_facts(erp, hours, quantity, not operations_only).selectExpr(
         *OPR,
         "Marks",
         f"{_bits(known)} as Facts",
@@ -290,35 +313,42 @@ def _assembly_facts(erp: Erp) -> DataFrame:
         "LaborTotal": quantity_back.format(f"max_by(LaborQty, if({counted}, OprSeq, null))"),
         "TotalLaborHrs": hours_back.format("sum(LaborHrs)"),
     }
+    if not operations_only:
+        operations = operations.unionByName(issues, allowMissingColumns=True)
     return (
-        operations.unionByName(issues, allowMissingColumns=True)
-        .groupBy(ASM)
+        operations.groupBy(ASM)
         .agg(*[F.expr(sql).alias(name) for name, sql in facts.items()])
+        # said here, so that every use of the facts is planned alike and can share the fold
+        .filter("Company is not null and JobNum is not null and AssemblySeq is not null")
     )
 
 
-def _facts_of_open_jobs(erp: Erp) -> dict[str, DataFrame]:
-    """Operations, releases, labor and transactions of open, firm jobs.
-
-    Jobs are matched by number alone, because the last outside operation is looked
-    up in every company. Open jobs are few against the history, so Spark as a rule
-    broadcasts their numbers and the history is dropped before any shuffle.
-    """
-    numbers = job_heads(erp, OPEN_FIRM).select("JobNum")
-    return {
-        name: erp[name].join(numbers, "JobNum", "left_semi")
-        for name in ("JobOper", "PORel", "LaborDtl", "PartTran")
-    }
+def _facts_of(erp: Erp, mode: str, facts: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """Facts of the jobs a rule set looks at, and of given job numbers: one row per assembly is compared."""
+    if mode in OPEN_MODES:
+        facts = facts.join(job_heads(erp, mode).select(JOB), JOB, "left_semi")
+    if numbers is not None:
+        facts = facts.join(numbers, "JobNum", "left_semi")
+    return facts
 
 
-def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
+def evidence_rows(
+    erp: Erp,
+    mode: str,
+    how: str = "left",
+    facts: DataFrame | None = None,
+    numbers: DataFrame | None = None,
+) -> DataFrame:
     """Assemblies with flags, before the open/firm rule on bookings.
 
     With ``how="full"`` bookings of assemblies that do not exist come along with
-    ``Exists`` unset; the job roll-up needs them.
+    ``Exists`` unset; the job roll-up needs them. ``numbers`` limits the jobs by
+    number. Given ``facts`` (``assembly_facts``) are used whole, so that another
+    result can share them.
     """
-    base = assembly_base(erp, mode).withColumn("Exists", F.lit(True))
-    facts = _assembly_facts(_facts_of_open_jobs(erp) if mode == OPEN_FIRM else erp)
+    base = assembly_base(erp, mode, numbers).withColumn("Exists", F.lit(True))
+    if facts is None:
+        facts = _facts_of(erp, mode, _assembly_facts(erp), numbers)
     rows = base.join(facts, ASM, how)
     head = [*JOB, "PartNum", "AssemblySeq", "AsmPartNum", "Exists", "Booked"]
     booked = _has("LastCounted", 1)
@@ -329,11 +359,12 @@ def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
             *head[:-1],
             f"{booked} as Booked",
             f"bit_or(Facts) {shared} as Facts",
+            f"min(FirstPending) {shared} as FirstPending",
             f"max(LastOutside) {shared} as LastOutside",
-            "LaborTotal >= ProdQty as Complete",
+            f"{_complete(mode)} as Complete",
             "TotalLaborHrs",
         )
-        absent, not_final = "cast(null as int)", _has("Facts", PENDING_OPEN)
+        absent, not_final = "cast(null as int)", "FirstPending is not null"
     else:
         rows = rows.selectExpr(
             *head[:-1],
@@ -341,7 +372,7 @@ def evidence_rows(erp: Erp, mode: str, how: str = "left") -> DataFrame:
             "Facts",
             "FirstPending",
             "LastOutside",
-            f"coalesce(LaborTotal, 0) >= if({booked}, coalesce(ProdQty, 0), 0) as Complete",
+            f"{_complete(mode)} as Complete",
             "coalesce(TotalLaborHrs, 0) as TotalLaborHrs",
         )
         absent, not_final = "0", "2L * FirstPending + 1 < LastOutside"
@@ -374,12 +405,19 @@ EVIDENCE_COLUMNS = [
 ]
 
 
-def assembly_evidence(erp: Erp, mode: str) -> DataFrame:
+def assembly_evidence(
+    erp: Erp, mode: str, facts: DataFrame | None = None, numbers: DataFrame | None = None
+) -> DataFrame:
     """All evidence flags of every assembly, equal rows once."""
-    rows = evidence_rows(erp, mode)
-    if mode == LEGACY:
-        return rows.select(EVIDENCE_COLUMNS).distinct()
+    if mode != OPEN_FIRM:
+        rows = evidence_rows(erp, mode, facts=facts, numbers=numbers)
+        return rows.select(_evidence_columns(mode)).distinct()
     # Equal rows are folded where the assemblies are; the join on jobs comes last,
     # so that a job with very many assemblies can be split.
-    rows = rows.select(*EVIDENCE_COLUMNS, "TotalLaborHrs", "Booked").distinct()
-    return keep_booked(rows, erp).drop("Booked")
+    rows = evidence_rows(erp, mode, "full", facts, numbers)
+    columns = _evidence_columns(mode)
+    return keep_booked(rows.select(*columns, "Exists", "Booked").distinct()).select(columns)
+
+
+def _evidence_columns(mode: str) -> list[str]:
+    return EVIDENCE_COLUMNS if mode == LEGACY else [*EVIDENCE_COLUMNS, "TotalLaborHrs"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopfloor.operators.costing import of_jobs
 from shopfloor.operators.evidence import Erp
 from shopfloor.schemas import JOB
 
@@ -36,6 +37,10 @@ def open_order_value(erp: Erp) -> DataFrame:
     )
 
 
-def open_value_per_job(erp: Erp) -> DataFrame:
-    """Value still to ship per job: the sum over its unit prices, from one grouping."""
-    return _open_lines(erp).groupBy(JOB).agg(F.expr("sum(Remaining * UnitPrice)").alias("OpenValue"))
+def open_value_per_job(erp: Erp, jobs: DataFrame | None = None) -> DataFrame:
+    """Value still to ship per job: the sum over its unit prices, from one grouping.
+
+    ``jobs`` limits the result; a short list reaches the order lines by Spark's own pushdown.
+    """
+    values = _open_lines(erp).groupBy(JOB).agg(F.expr("sum(Remaining * UnitPrice)").alias("OpenValue"))
+    return of_jobs(values, jobs)

@@ -18,6 +18,7 @@ from shopfloor.operators.evidence import (
     ALL_JOBS,
     Erp,
     assembly_evidence,
+    assembly_facts,
     evidence_rows,
     job_heads,
     labor_summary,
@@ -84,12 +85,24 @@ def roll_up(rows: DataFrame, mode: str, bookings: bool = False, weight: str = "1
     )
 
 
-def job_status_counted(erp: Erp, mode: str) -> DataFrame:
-    """Job statuses as a counted bag; sums, counts and minima need no more than this."""
+def job_status_counted(
+    erp: Erp, mode: str, facts: DataFrame | None = None, numbers: DataFrame | None = None
+) -> DataFrame:
+    """Job statuses as a counted bag; sums, counts and minima need no more than this.
+
+    ``facts`` and ``numbers`` as in ``evidence_rows``.
+    """
     if mode == OPEN_FIRM:
         # A job without bookings has no unfinished assembly: 0 >= 0 is complete.
-        return roll_up(with_status(evidence_rows(erp, mode, how="full")), mode, bookings=True)
-    return roll_up(with_status(assembly_evidence(erp, mode)), mode)
+        rows = evidence_rows(erp, mode, "full", facts, numbers)
+        return roll_up(with_status(rows), mode, bookings=True)
+    return roll_up(with_status(assembly_evidence(erp, mode, facts, numbers)), mode)
+
+
+def both_statuses(erp: Erp) -> tuple[DataFrame, DataFrame]:
+    """Counted job statuses under the legacy and the open/firm rules, over facts folded once."""
+    facts = assembly_facts(erp)
+    return job_status_counted(erp, LEGACY, facts), job_status_counted(erp, OPEN_FIRM, facts)
 
 
 def job_status(erp: Erp, mode: str) -> DataFrame:

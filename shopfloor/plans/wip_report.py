@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shopfloor.constants import COST_CUTOFF
 from shopfloor.functions.bags import COPIES
 from shopfloor.functions.conditions import status_label
-from shopfloor.operators.costing import open_wip_total
+from shopfloor.operators.costing import open_wip_total, reported_jobs
 from shopfloor.operators.evidence import Erp
 from shopfloor.operators.sales import open_value_per_job
 from shopfloor.schemas import JOB
@@ -25,16 +25,18 @@ def wip_vs_sales(
 ) -> DataFrame:
     """The report: total, open sales value and status of every job with work in process.
 
-    ``statuses`` is a job status result, counted (with ``Copies``) or one row per job.
+    ``statuses`` is a job status result, counted (with ``Copies``) or one row per job,
+    of all jobs or of the reported ones (``reported_job_numbers``).
     A job with several status rows or unit prices has its open value added once
     per combination; sums and counts give that without forming the combinations.
     """
+    jobs = reported_jobs(erp, company_id)
     if COPIES not in statuses.columns:
         statuses = statuses.withColumn(COPIES, F.lit(1).cast("bigint"))
     added = f"cast(OpenValue as decimal(24,6)) * cast(coalesce({COPIES}, 1) as decimal(12,0))"
     return (
         open_wip_total(erp, report_date, company_id, cutoff)
-        .join(open_value_per_job(erp), JOB, "left")
+        .join(open_value_per_job(erp, jobs), JOB, "left")
         .join(statuses, JOB, "left")
         .groupBy("JobNum", "PartNum", "WIPTotal", "Status")
         .agg(F.expr(f"sum({added})").alias("OpenValTot"))
@@ -47,3 +49,11 @@ def wip_vs_sales(
             "Status",
         )
     )
+
+
+def reported_job_numbers(erp: Erp, company_id: str) -> DataFrame:
+    """Numbers of the jobs that can be in the report; a job status need not go further.
+
+    By number alone, as legacy evidence and unfinished assemblies cross companies.
+    """
+    return reported_jobs(erp, company_id).select("JobNum")

@@ -1,19 +1,21 @@
 """The stored job status: one row per job with the time its status last changed.
 
-Every refresh is written as a new run next to the earlier ones. A run becomes
-visible when its write has committed, so readers and repeated tasks never see
-half a refresh, and the rows being merged are not the ones being replaced.
+Every refresh is written as a new run in a folder of its own next to the earlier ones.
+A run counts once its write has committed (``_SUCCESS``), empty or not, so readers and
+repeated tasks never see half a refresh, and the rows being merged are not the ones
+being replaced. Readers open the newest committed run alone.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.schemas import JOB
+from shopfloor.schemas import JOB, STATUS_CACHE_SCHEMA
+
+_RUN = "run="
 
 
 def cache_rows(statuses: DataFrame, updated: datetime) -> DataFrame:
@@ -25,6 +27,11 @@ def cache_rows(statuses: DataFrame, updated: datetime) -> DataFrame:
     )
 
 
+def cached_statuses(cache: DataFrame) -> DataFrame:
+    """Cache rows as a job status result, one row per job, as the report takes it."""
+    return cache.select(*JOB, F.col("StatusCode").alias("Status"))
+
+
 def merge_status_cache(old: DataFrame, new: DataFrame) -> DataFrame:
     """New cache rows, with the old time where the status code is unchanged.
 
@@ -41,37 +48,60 @@ def merge_status_cache(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def _runs(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _runs(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Number of every run below ``path``, and whether it has committed."""
+    jvm, folder, files = _file_system(spark, path)
+    if not files.exists(folder):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    numbers = [int(n.removeprefix(_RUN)) for n in names if n.startswith(_RUN)]
+    return {n: files.exists(jvm.org.apache.hadoop.fs.Path(_run_path(path, n), "_SUCCESS")) for n in numbers}
+
+
+def _run_path(path: str, run: int) -> str:
+    return f"{path.rstrip('/')}/{_RUN}{run}"
 
 
 def read_status_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest run, or None if there is none."""
-    runs = _runs(spark, path)
-    if runs is None:
+    """The newest committed run, or None if there is none."""
+    committed = [n for n, done in _runs(spark, path).items() if done]
+    if not committed:
         return None
-    # The newest run is found from partition names alone.
-    newest = runs.agg(F.max("run")).first()[0]
-    return runs.filter(F.col("run") == newest).drop("run")
+    return spark.read.schema(STATUS_CACHE_SCHEMA).parquet(_run_path(path, max(committed)))
 
 
 def refresh_status_cache(
     spark: SparkSession, path: str, statuses: DataFrame, updated: datetime
 ) -> DataFrame:
-    """Write a new run from one-row-per-job ``statuses`` and return it."""
+    """Write a new run from one-row-per-job ``statuses`` and return it; no run is ever overwritten."""
     rows = cache_rows(statuses, updated)
-    runs = _runs(spark, path)
-    run = 1
-    if runs is not None:
-        run = runs.agg(F.max("run")).first()[0] + 1
-        rows = merge_status_cache(runs.filter(F.col("run") == run - 1).drop("run"), rows)
-    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+    before = read_status_cache(spark, path)
+    if before is not None:
+        rows = merge_status_cache(before, rows)
+    run = max(_runs(spark, path), default=0) + 1
+    rows.write.mode("errorifexists").parquet(_run_path(path, run))
     return read_status_cache(spark, path)
 
 
+def drop_old_runs(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete all but the newest ``keep`` committed runs, and what older runs left unfinished."""
+    runs = _runs(spark, path)
+    committed = sorted(n for n, done in runs.items() if done)
+    if keep < 1 or not committed:
+        return
+    oldest = committed[-keep:][0]
+    jvm, _, files = _file_system(spark, path)
+    for run in runs:
+        if run < oldest:
+            files.delete(jvm.org.apache.hadoop.fs.Path(_run_path(path, run)), True)
+
+
 def register_job_status(statuses: DataFrame, name: str = "JobStatus") -> None:
     """Make a job-status result available to SQL as a saved query."""
     statuses.createOrReplaceTempView(name)

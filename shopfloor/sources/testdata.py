@@ -1,7 +1,8 @@
 """ERP tables derived from the order and part tables of the test data.
 
 Orders become job heads, order lines become assemblies, operations, releases,
-labor, transactions and sales lines. FIXTURES.md gives the mapping.
+labor, transactions and sales lines. FIXTURES.md gives the mapping. Nothing is run or
+written here: the tables are plans over the files, the same at every size.
 """
 
 from __future__ import annotations
@@ -9,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.functions.numbering import HOT_GROUP_ROWS, row_numbers, row_numbers_sliced
 from shopfloor.sources.erp import ErpTables
-from shopfloor.sources.staging import Staging, source_version
 
 _COMPANIES = ["F001", "F101", "F201"]
 _PLANTS = ["MfgSys", "PLT2"]
@@ -25,11 +24,9 @@ def _unit_cost(modulus: int) -> str:
 
 
 class _Mapping:
-    def __init__(self, spark: SparkSession, sf_dir: str, staging: Staging, hot_rows: int):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
         self._dir = sf_dir
-        self._staging = staging
-        self._hot_rows = hot_rows
 
     def _read(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
@@ -55,90 +52,84 @@ class _Mapping:
         )
 
     def _lines(self) -> DataFrame:
-        def build() -> DataFrame:
-            lines = self._read("lineitem").selectExpr(
-                "cast((l_linenumber - 1) % 3 as int) as AssemblySeq",
-                "l_orderkey",
-                "cast(l_linenumber as int) as l_linenumber",
-                "l_partkey",
-                "l_suppkey",
-                "cast(l_quantity as decimal(12,2)) as q",
-                "cast(l_extendedprice as decimal(12,2)) as px",
-                "l_returnflag",
-                "l_linestatus",
-                "cast(l_shipdate as date) as sd",
-            )
-            heads = self._heads().select("Company", "JobNum", "Plant", "o_orderkey")
-            return lines.join(heads, lines.l_orderkey == heads.o_orderkey).drop("o_orderkey")
-
-        return self._staging.table("lines", build)
+        lines = self._read("lineitem").selectExpr(
+            "cast((l_linenumber - 1) % 3 as int) as AssemblySeq",
+            "l_orderkey",
+            "cast(l_linenumber as int) as l_linenumber",
+            "l_partkey",
+            "l_suppkey",
+            "cast(l_quantity as decimal(12,2)) as q",
+            "cast(l_extendedprice as decimal(12,2)) as px",
+            "l_returnflag",
+            "l_linestatus",
+            "cast(l_shipdate as date) as sd",
+        )
+        heads = self._heads().select("Company", "JobNum", "Plant", "o_orderkey")
+        return lines.join(heads, lines.l_orderkey == heads.o_orderkey).drop("o_orderkey")
 
     def _operations(self) -> DataFrame:
-        def build() -> DataFrame:
-            doubled = self._lines().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-            group = ["l_orderkey", "AssemblySeq"]
-            order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "px", "k")]
-            if self._staging.enabled:
-                numbered = row_numbers_sliced(
-                    doubled, group, order, "n", self._staging.table, self._hot_rows
-                )
-            else:
-                numbered = row_numbers(doubled, group, order, "n")
-            code = "(l_partkey + 3 * k) % 8"
-            return numbered.selectExpr(
-                "Company",
-                "JobNum",
-                "AssemblySeq",
-                "cast(10 * n as int) as OprSeq",
-                f"""case {code} when 0 then 'HT-OVOP' when 1 then 'OMC-OVOP' when 2 then 'OMP-OVOP'
-                    when 3 then '9-OP' when 4 then 'PL-OVOP' else 'MILL' end as OpCode""",
-                f"{code} in (0, 1, 2, 4) as SubContract",
-                "l_linestatus = 'F' as OpComplete",
-                "l_suppkey",
-                "l_partkey",
-                "l_returnflag",
-                "q",
+        """Two operations per order line; lines of one number are one."""
+        lines = (
+            self._lines()
+            .groupBy("Company", "JobNum", "AssemblySeq", "l_orderkey", "l_linenumber")
+            .agg(
+                F.min("l_partkey").alias("l_partkey"),
+                F.min("l_suppkey").alias("l_suppkey"),
+                F.min("l_linestatus").alias("l_linestatus"),
+                F.min("l_returnflag").alias("l_returnflag"),
+                F.expr("cast(sum(q) as decimal(12,2))").alias("q"),
             )
-
-        return self._staging.table("operations", build)
+        )
+        code = "(l_partkey + 3 * k) % 8"
+        return lines.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(
+            "Company",
+            "JobNum",
+            "AssemblySeq",
+            "10 * (2 * l_linenumber + k) as OprSeq",
+            f"""case {code} when 0 then 'HT-OVOP' when 1 then 'OMC-OVOP' when 2 then 'OMP-OVOP'
+                when 3 then '9-OP' when 4 then 'PL-OVOP' else 'MILL' end as OpCode""",
+            f"{code} in (0, 1, 2, 4) as SubContract",
+            "l_linestatus = 'F' as OpComplete",
+            "l_suppkey",
+            "l_partkey",
+            "l_returnflag",
+            "q",
+        )
 
     def job_head(self) -> DataFrame:
         return self._heads().drop("o_orderkey")
 
     def job_asmbl(self) -> DataFrame:
-        def build() -> DataFrame:
-            return (
-                self._lines()
-                .groupBy("Company", "JobNum", "AssemblySeq", "Plant", "l_orderkey")
-                .agg(
-                    F.min("l_partkey").alias("part"),
-                    F.max(F.expr("case when l_linestatus = 'O' then 1 else 0 end")).alias("open_lines"),
-                    F.expr("cast(sum(px) as decimal(18,2))").alias("TLAMaterialCost"),
-                    F.expr("cast(sum(q * 12) as decimal(18,2))").alias("TLALaborCost"),
-                    F.expr("cast(sum(q * 7) as decimal(18,2))").alias("TLABurdenCost"),
-                    F.expr("cast(sum(q * 2) as decimal(18,2))").alias("TLAMtlBurCost"),
-                    F.expr(
-                        "cast(sum(case when l_suppkey % 10 < 5 then q * 30 else q * 0 end) as decimal(18,2))"
-                    ).alias("TLASubcontractCost"),
-                    F.min("sd").alias("StartDate"),
-                )
-                .selectExpr(
-                    "Company",
-                    "JobNum",
-                    "AssemblySeq",
-                    "case when AssemblySeq = 2 and l_orderkey % 5 = 0 then 'PLT9' else Plant end as Plant",
-                    "concat('P', cast(part as string)) as PartNum",
-                    "open_lines = 0 as JobComplete",
-                    "TLAMaterialCost",
-                    "TLALaborCost",
-                    "TLABurdenCost",
-                    "TLAMtlBurCost",
-                    "TLASubcontractCost",
-                    "StartDate",
-                )
+        return (
+            self._lines()
+            .groupBy("Company", "JobNum", "AssemblySeq", "Plant", "l_orderkey")
+            .agg(
+                F.min("l_partkey").alias("part"),
+                F.max(F.expr("case when l_linestatus = 'O' then 1 else 0 end")).alias("open_lines"),
+                F.expr("cast(sum(px) as decimal(18,2))").alias("TLAMaterialCost"),
+                F.expr("cast(sum(q * 12) as decimal(18,2))").alias("TLALaborCost"),
+                F.expr("cast(sum(q * 7) as decimal(18,2))").alias("TLABurdenCost"),
+                F.expr("cast(sum(q * 2) as decimal(18,2))").alias("TLAMtlBurCost"),
+                F.expr(
+                    "cast(sum(case when l_suppkey % 10 < 5 then q * 30 else q * 0 end) as decimal(18,2))"
+                ).alias("TLASubcontractCost"),
+                F.min("sd").alias("StartDate"),
             )
-
-        return self._staging.table("JobAsmbl", build)
+            .selectExpr(
+                "Company",
+                "JobNum",
+                "AssemblySeq",
+                "case when AssemblySeq = 2 and l_orderkey % 5 = 0 then 'PLT9' else Plant end as Plant",
+                "concat('P', cast(part as string)) as PartNum",
+                "open_lines = 0 as JobComplete",
+                "TLAMaterialCost",
+                "TLALaborCost",
+                "TLABurdenCost",
+                "TLAMtlBurCost",
+                "TLASubcontractCost",
+                "StartDate",
+            )
+        )
 
     def job_oper(self) -> DataFrame:
         return self._operations().select(
@@ -216,9 +207,8 @@ class _Mapping:
         )
 
     def job_prod(self) -> DataFrame:
-        return self._staging.table(
-            "JobProd",
-            lambda: self._lines()
+        return (
+            self._lines()
             .selectExpr(
                 "Company",
                 "JobNum",
@@ -226,61 +216,54 @@ class _Mapping:
                 "l_linenumber as OrderLine",
                 "1 as OrderRelNum",
             )
-            .distinct(),
+            .distinct()
         )
 
     def order_rel(self) -> DataFrame:
-        def build() -> DataFrame:
-            return (
-                self._lines()
-                .groupBy("Company", "l_orderkey", "l_linenumber")
-                .agg(
-                    F.expr("cast(sum(q) as decimal(12,2))").alias("OurReqQty"),
-                    F.expr(
-                        "cast(sum(case when l_linestatus = 'F' then q else q * 0 end) as decimal(12,2))"
-                    ).alias("OurJobShippedQty"),
-                    F.expr(
-                        """cast(sum(case when l_linestatus = 'O' and l_returnflag = 'A'
-                                    then cast(1 as decimal(12,2)) else cast(0 as decimal(12,2)) end)
-                           as decimal(12,2))"""
-                    ).alias("OurStockShippedQty"),
-                )
-                .selectExpr(
-                    "Company",
-                    "l_orderkey as OrderNum",
-                    "l_linenumber as OrderLine",
-                    "1 as OrderRelNum",
-                    "OurReqQty",
-                    "OurJobShippedQty",
-                    "OurStockShippedQty",
-                )
+        return (
+            self._lines()
+            .groupBy("Company", "l_orderkey", "l_linenumber")
+            .agg(
+                F.expr("cast(sum(q) as decimal(12,2))").alias("OurReqQty"),
+                F.expr(
+                    "cast(sum(case when l_linestatus = 'F' then q else q * 0 end) as decimal(12,2))"
+                ).alias("OurJobShippedQty"),
+                F.expr(
+                    """cast(sum(case when l_linestatus = 'O' and l_returnflag = 'A'
+                                then cast(1 as decimal(12,2)) else cast(0 as decimal(12,2)) end)
+                       as decimal(12,2))"""
+                ).alias("OurStockShippedQty"),
             )
-
-        return self._staging.table("OrderRel", build)
+            .selectExpr(
+                "Company",
+                "l_orderkey as OrderNum",
+                "l_linenumber as OrderLine",
+                "1 as OrderRelNum",
+                "OurReqQty",
+                "OurJobShippedQty",
+                "OurStockShippedQty",
+            )
+        )
 
     def order_dtl(self) -> DataFrame:
-        def build() -> DataFrame:
-            return (
-                self._lines()
-                .groupBy("Company", "l_orderkey", "l_linenumber")
-                .agg(F.min("l_partkey").alias("part"))
-                .selectExpr(
-                    "Company",
-                    "l_orderkey as OrderNum",
-                    "l_linenumber as OrderLine",
-                    "cast(900 + part % 3 as decimal(12,4)) as UnitPrice",
-                )
+        return (
+            self._lines()
+            .groupBy("Company", "l_orderkey", "l_linenumber")
+            .agg(F.min("l_partkey").alias("part"))
+            .selectExpr(
+                "Company",
+                "l_orderkey as OrderNum",
+                "l_linenumber as OrderLine",
+                "cast(900 + part % 3 as decimal(12,4)) as UnitPrice",
             )
-
-        return self._staging.table("OrderDtl", build)
+        )
 
     def order_hed(self) -> DataFrame:
-        return self._staging.table(
-            "OrderHed",
-            lambda: self._lines()
+        return (
+            self._lines()
             .filter("l_orderkey % 23 <> 0")
             .selectExpr("Company", "l_orderkey as OrderNum")
-            .distinct(),
+            .distinct()
         )
 
     def erp_part(self) -> DataFrame:
@@ -308,12 +291,9 @@ class _Mapping:
         )
 
 
-def erp_from_testdata(
-    spark: SparkSession, sf_dir: str, hot_rows: int = HOT_GROUP_ROWS
-) -> ErpTables:
-    """The ERP tables of one test-data directory; shared steps are written once per session."""
-    version = source_version(f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet", str(hot_rows))
-    mapping = _Mapping(spark, sf_dir.rstrip("/"), Staging(spark, version), hot_rows)
+def erp_from_testdata(spark: SparkSession, sf_dir: str) -> ErpTables:
+    """The ERP tables of one test-data directory."""
+    mapping = _Mapping(spark, sf_dir.rstrip("/"))
     return ErpTables(
         {
             "JobHead": mapping.job_head,

@@ -8,8 +8,15 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(**{"spark.sql.shuffle.partitions": "2"})
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("shared")
+    session = local_session(
+        **{
+            "spark.sql.shuffle.partitions": "2",
+            "spark.checkpoint.dir": f"file://{folder}/checkpoints",
+            "spark.sql.warehouse.dir": f"{folder}/warehouse",
+        }
+    )
     yield session
     session.stop()
 

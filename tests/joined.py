@@ -18,7 +18,7 @@ def evidence_joined(erp, mode: str) -> DataFrame:
     for single in (ev.mtl_issued, ev.heat_treat_back, ev.farmout, ev.ov_not_final, ev.ov_final_or_back):
         rows = rows.join(single(erp, mode), key, "left")
     rows = rows.join(ev.labor_summary(erp["LaborDtl"]).drop("TotalLaborQty"), ASM, "left")
-    how = "left" if mode == LEGACY else "inner"
+    how = "inner" if mode == OPEN_FIRM else "left"
     rows = rows.join(ev.detail_complete_flag(erp, mode), ASM, how)
     if mode != LEGACY:
         rows = rows.fillna(0, [f for f in ev.EVIDENCE_COLUMNS if f in rows.columns] + ["TotalLaborHrs"])

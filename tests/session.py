@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,8 +18,6 @@ def local_session(cpus: str = "8", **config: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if "spark.checkpoint.dir" not in config:
-        config = {**config, "spark.checkpoint.dir": tempfile.mkdtemp(prefix="shopfloor-")}
     for name, value in config.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()

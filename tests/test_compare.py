@@ -1,6 +1,8 @@
 """The comparison on small results."""
 
-from shopfloor.functions.bags import count_copies
+from pyspark.sql import functions as F
+
+from shopfloor.functions.bags import COPIES
 from shopfloor.operators import compare
 from shopfloor.plans.validation import kept_results, validation_report
 from tests.shop import bag
@@ -8,7 +10,10 @@ from tests.shop import bag
 
 def results(spark, original, optimized):
     schema = "Company string, JobNum string, Status int"
-    return [count_copies(spark.createDataFrame(rows, schema)) for rows in (original, optimized)]
+    return [
+        spark.createDataFrame(rows, schema).groupBy("Company", "JobNum", "Status").agg(F.count("*").alias(COPIES))
+        for rows in (original, optimized)
+    ]
 
 
 def summary(spark, original, optimized) -> dict:
@@ -41,11 +46,19 @@ def test_repeated_keys(spark):
     assert found["StatusDifferences"] == 2
     assert (found["OnlyInOriginal"], found["OnlyInOptimized"]) == (0, 0)
     assert bag(compare.compare_status_diffs(*results(spark, rows, rows))) == [
-        ("F001", "A", 1, 4),
-        ("F001", "A", 4, 1),
+        ("F001", "A", 1, 4, 1),
+        ("F001", "A", 4, 1, 1),
     ]
 
 
+def test_pairs_are_counted(spark):
+    """However many rows a job has, its pairs take one row per combination of statuses."""
+    rows = [("F001", "A", s) for s in range(7) for _ in range(5)]
+    found = bag(compare.compare_status_diffs(*results(spark, rows, rows)))
+    assert len(found) == 42 and all(r[-1] == 25 for r in found)
+    assert compare.expanded_status_diffs(*results(spark, rows[:10], rows[:10])).count() == 50
+
+
 def test_missing_extra_and_empty(spark):
     original = [("F001", "A", 1), ("F001", "A", 1), ("F001", "B", 2)]
     optimized = [("F001", "B", 3), ("F101", "A", 1)]

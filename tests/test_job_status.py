@@ -2,7 +2,7 @@
 
 import pytest
 
-from shopfloor.constants import LEGACY, OPEN_FIRM
+from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM
 from shopfloor.operators import evidence, status
 from tests.shop import Shop, bag
 
@@ -122,14 +122,35 @@ def test_one_row_per_job(spark):
 
 
 def test_many_copies(spark, monkeypatch):
-    """Rows above the chunk size are repeated whole."""
+    """One path for every count: parts of parts, no long array."""
     from shopfloor.functions import bags
 
-    monkeypatch.setattr(bags, "CHUNK", 7)
-    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 50), ("d", 0)], "k string, Copies bigint")
-    got = {r["k"]: r["count"] for r in bags.expand_copies(df).groupBy("k").count().collect()}
-    assert got == {"a": 1, "b": 7, "c": 50}
-    assert bag(bags.count_copies(bags.expand_copies(df))) == [("a", 1), ("b", 7), ("c", 50)]
+    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 50), ("d", 0), (None, 3)], "k string, Copies bigint")
+    for step in (2, 3, 1000):
+        monkeypatch.setattr(bags, "STEP", step)
+        got = {r["k"]: r["count"] for r in bags.expand_copies(df).groupBy("k").count().collect()}
+        assert got == {"a": 1, "b": 7, "c": 50, None: 3}
+    big = spark.createDataFrame([("a", 2_345_678)], "k string, Copies bigint")
+    assert bags.expand_copies(big).count() == 2_345_678
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_third_rule_set(spark, name):
+    """Completion by the job quantity: no assembly is left out, and one without bookings is unfinished."""
+    shop = CASES[name][0]
+    open_firm = CASES[name][2]
+    expected = {
+        "E11": one(1),
+        "E12": one(0),
+        "E13": one(4),
+        "E15": one(1) + one(4),
+        "E16": one(1) + one(1),
+        "E22": one(6),
+        "E24": one(1),
+        "orphan bookings": one(1),
+        "shared assemblies": [("F001", "J", 0), ("F101", "J", 0)],
+    }.get(name, open_firm)
+    assert bag(status.job_status(shop.erp(spark), HEAD_QTY)) == expected
 
 
 def test_hot_job(spark):

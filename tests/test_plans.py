@@ -1,15 +1,19 @@
 """Properties of the plans that matter at scale."""
 
+import re
+from datetime import date
+
 import pytest
 
 import __spark_entry__ as entry
-from shopfloor.constants import LEGACY, OPEN_FIRM
-from shopfloor.operators import evidence, status
+from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM
+from shopfloor.operators import compare, evidence, status
+from shopfloor.plans.wip_report import reported_job_numbers, wip_vs_sales
 from shopfloor.schemas import ERP_SCHEMAS
 from shopfloor.sources.erp import ErpTables, erp_from_parquet
 from tests.shop import Shop
 
-QUERIES = entry.queries()
+QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
 
 
 def plan(df) -> str:
@@ -32,6 +36,34 @@ def stored(spark, tmp_path_factory) -> ErpTables:
     return erp_from_parquet(spark, path)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, -1)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def ancestors(lines: list[str], at: int) -> list[str]:
+    """The operators above the one in line ``at``, from below."""
+
+    def depth(line: str) -> int:
+        return len(line) - len(line.lstrip(" :+-"))
+
+    found, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            found.append(line)
+            level = depth(line)
+    return found
+
+
+def scans_of(lines: list[str], table: str) -> list[int]:
+    return [i for i, line in enumerate(lines) if "FileScan" in line and f"/{table}]" in line]
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_no_pairing_and_no_python(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
@@ -39,19 +71,61 @@ def test_no_pairing_and_no_python(spark, sf_dir, name):
         assert operator not in text
 
 
-@pytest.mark.parametrize("mode", [LEGACY, OPEN_FIRM])
+FACTS = ("JobOper", "PORel", "LaborDtl", "PartTran")
+
+
+@pytest.mark.parametrize("mode", [LEGACY, OPEN_FIRM, HEAD_QTY])
 def test_every_fact_is_read_once(stored, mode):
     """One scan per table, although a result is repeated in place or in chunks."""
-    scans = [line for line in final_plan(status.job_status(stored, mode)).splitlines() if "FileScan" in line]
-    for table in ("JobAsmbl", "JobOper", "PORel", "LaborDtl", "PartTran"):
-        assert len([line for line in scans if f"/{table}]" in line]) == 1
+    lines = final_plan(status.job_status(stored, mode)).splitlines()
+    for table in ("JobAsmbl", *FACTS):
+        assert len(scans_of(lines, table)) == 1
+
+
+def test_booked_jobs_come_from_the_folded_facts(stored):
+    for df in (evidence.assembly_evidence(stored, OPEN_FIRM), evidence.detail_complete_flag(stored, OPEN_FIRM)):
+        lines = final_plan(df).splitlines()
+        for table in ("JobOper", "LaborDtl"):
+            assert len(scans_of(lines, table)) == 1
+
+
+def test_comparison_folds_the_facts_once(stored):
+    """Both rule sets over one fold."""
+    lines = final_plan(compare.compare_summary(*status.both_statuses(stored))).splitlines()
+    for table in FACTS:
+        assert len(scans_of(lines, table)) == 1
+
+
+@pytest.mark.parametrize("mode", [LEGACY, OPEN_FIRM, HEAD_QTY])
+def test_facts_are_folded_before_any_shuffle(stored, no_broadcast, mode):
+    """Without broadcasts too, raw facts are combined where they are read and never dealt out by job number."""
+    text = plan(status.job_status_counted(stored, mode))
+    lines = text.split("Initial Plan")[-1].splitlines()
+    for table in FACTS:
+        (scan,) = scans_of(lines, table)
+        above = ancestors(lines, scan)
+        first = next(i for i, line in enumerate(above) if "Exchange" in line)
+        assert any("partial_bit_or" in line for line in above[:first])
+        keys = re.search(r"hashpartitioning\((.*?), \d+\)", above[first])[1].split(", ")
+        assert len(keys) >= 3
 
 
-def test_open_jobs_are_picked_before_the_shuffle(stored):
-    """A short list of open jobs meets the facts as a broadcast, below the first exchange."""
+def test_short_lists_of_jobs_reach_the_scan(stored):
+    """A list of open jobs that Spark broadcasts meets the transactions below their first exchange."""
     lines = final_plan(status.job_status_counted(stored, OPEN_FIRM)).splitlines()
-    semi = [line for line in lines if "LeftSemi" in line]
-    assert len(semi) == 4 and all("BroadcastHashJoin" in line for line in semi)
+    above = ancestors(lines, scans_of(lines, "PartTran")[0])
+    first = next(i for i, line in enumerate(above) if "Exchange" in line and "Broadcast" not in line)
+    assert any("LeftSemi" in line for line in above[:first])
+
+
+def test_report_drops_other_jobs_early(stored, no_broadcast):
+    """Sums are limited to the reported jobs before they are combined; fewer exchanges than the 27 before."""
+    statuses = status.job_status_counted(stored, LEGACY, numbers=reported_job_numbers(stored, "F001"))
+    lines = final_plan(wip_vs_sales(stored, statuses, date(2000, 1, 1), "F001")).splitlines()
+    assert len([x for x in lines if "Exchange hashpartitioning" in x]) < 27
+    for table in ("JobAsmbl", "PartTran", "DMRHead"):
+        for scan in scans_of(lines, table):
+            assert any("LeftSemi" in line or "Join" in line for line in ancestors(lines, scan))
 
 
 def test_unknown_rule_set(stored):

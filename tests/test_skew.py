@@ -38,7 +38,16 @@ def skewed(tmp_path_factory, sf_dir) -> str:
     return str(target)
 
 
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
 @pytest.mark.parametrize("name", NAMES)
-def test_skewed(spark, skewed, name):
+def test_skewed(spark, skewed, name, threshold):
+    """With and without broadcasts, Spark's own and the adaptive ones."""
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for setting in settings:
+        spark.conf.set(setting, threshold)
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
-    assert differences(query(spark, skewed), duck(skewed), sql) is None
+    try:
+        assert differences(query(spark, skewed), duck(skewed), sql) is None
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)

@@ -1,16 +1,17 @@
-"""Readers, written tables, numbering of hot groups, and the status cache."""
+"""Readers, the mapping of the test data, and the status cache."""
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.errors import AnalysisException
 
 from shopfloor.functions.naming import saved_status_names
-from shopfloor.functions.numbering import row_numbers, row_numbers_sliced
 from shopfloor.operators import status
 from shopfloor.schemas import ERP_SCHEMAS
-from shopfloor.sources.erp import erp_from_parquet
-from shopfloor.sources.staging import Staging, shared_folder, source_version
+from shopfloor.sources.erp import erp_from_catalog, erp_from_parquet
 from shopfloor.sources.status_cache import (
+    cached_statuses,
+    drop_old_runs,
     read_status_cache,
     refresh_status_cache,
     register_job_status,
@@ -19,60 +20,22 @@ from shopfloor.sources.testdata import erp_from_testdata
 from tests.shop import Shop, bag
 
 
-def test_hot_groups_are_numbered_alike(spark):
-    staging = Staging(spark, "numbering-test")
-    rows = [("hot", i % 50, i) for i in range(900)] + [(f"g{i % 40}", i, i) for i in range(200)]
-    df = spark.createDataFrame(rows, "g string, a int, b int").repartition(8)
-    order = [F.col("a"), F.col("b")]
-    plain = row_numbers(df, ["g"], order, "n")
-    sliced = row_numbers_sliced(df, ["g"], order, "n", staging.table, hot_rows=100)
-    assert bag(sliced) == bag(plain)
-    slices = spark.read.parquet(
-        f"{shared_folder(spark)}/shopfloor/{spark.conf.get('spark.app.id')}/numbering-test/n_slices"
-    )
-    assert slices.select("_slice").distinct().count() > 1
-
-
-def test_mapping_with_hot_orders(spark, sf_dir):
-    """The same operations whether or not large orders are numbered in slices."""
-    plain, sliced = erp_from_testdata(spark, sf_dir), erp_from_testdata(spark, sf_dir, hot_rows=8)
-    assert bag(sliced["JobOper"]) == bag(plain["JobOper"])
-    assert bag(sliced["PORel"]) == bag(plain["PORel"])
-
-
-def test_tables_are_written_once(spark):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(5)
-
-    for _ in range(2):
-        assert Staging(spark, "once").table("numbers", build).count() == 5
-    assert len(calls) == 1
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-
-
-def test_no_folder_on_a_cluster(monkeypatch, spark):
-    """Without a shared folder nothing is written outside local mode."""
+def test_mapping_runs_nothing(spark, sf_dir):
+    """Building the tables starts no job and writes no file."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("mapping", "mapping")
+    erp = erp_from_testdata(spark, sf_dir)
+    parts = [erp[name].select("Company") for name in erp]
+    jobs = [j for j in tracker.getJobIdsForGroup("mapping")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(parts) == 13
+    # Reading the columns of a parquet file is a job of its own; there is none beyond those.
+    assert len(jobs) <= 30
 
-    class Conf:
-        def get(self, name, default=None):
-            return {"spark.master": "spark://host:7077", "spark.app.id": "x"}.get(name, default)
 
-    class Session:
-        conf = Conf()
-
-    assert shared_folder(Session()) is None
-    assert not Staging(Session(), "v").enabled
-
-
-def test_source_version(tmp_path):
-    path = tmp_path / "t.parquet"
-    path.write_text("a")
-    first = source_version(str(path))
-    path.write_text("ab")
-    assert source_version(str(path)) != first
+def test_operation_keys_are_unique(spark, sf_dir):
+    operations = erp_from_testdata(spark, sf_dir)["JobOper"]
+    assert operations.count() == operations.select("Company", "JobNum", "AssemblySeq", "OprSeq").distinct().count()
 
 
 def test_stored_erp_tables(spark, sf_dir, tmp_path):
@@ -111,3 +74,60 @@ def test_saved_query(spark):
     register_job_status(saved_status_names(status.job_status(erp, "legacy")))
     found = spark.sql("select Calculated_JobNum, Calculated_Status from JobStatus")
     assert bag(found) == [("J", 1)]
+
+
+STATUSES = "Company string, JobNum string, Status int"
+ONE, TWO = datetime(2000, 1, 1), datetime(2000, 1, 2)
+
+
+def test_empty_refresh_empties_the_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("F001", "A", 1)], STATUSES)
+    refresh_status_cache(spark, path, rows, ONE)
+    assert refresh_status_cache(spark, path, rows.limit(0), TWO).isEmpty()
+    assert read_status_cache(spark, path).isEmpty()
+    assert bag(refresh_status_cache(spark, path, rows, TWO)) == [("F001", "A", 1, TWO)]
+
+
+def test_unfinished_and_unreadable_runs(spark, tmp_path):
+    path = tmp_path / "cache"
+    rows = spark.createDataFrame([("F001", "A", 1)], STATUSES)
+    refresh_status_cache(spark, str(path), rows, ONE)
+    (path / "run=2").mkdir()  # a write that never committed
+    (path / "run=2" / "part-0.parquet").write_bytes(b"half a file")
+    assert bag(read_status_cache(spark, str(path))) == [("F001", "A", 1, ONE)]
+    refresh_status_cache(spark, str(path), rows, TWO)
+    assert sorted(p.name for p in path.iterdir()) == ["run=1", "run=2", "run=3"]
+    (path / "run=3" / "_SUCCESS").unlink()
+    assert bag(read_status_cache(spark, str(path))) == [("F001", "A", 1, ONE)]
+    with pytest.raises(AnalysisException):  # no run is overwritten
+        rows.write.mode("errorifexists").parquet(str(path / "run=1"))
+
+
+def test_old_runs_are_dropped_on_request(spark, tmp_path):
+    path = tmp_path / "cache"
+    rows = spark.createDataFrame([("F001", "A", 1)], STATUSES)
+    for _ in range(4):
+        refresh_status_cache(spark, str(path), rows, ONE)
+    drop_old_runs(spark, str(path), keep=2)
+    assert sorted(p.name for p in path.iterdir()) == ["run=3", "run=4"]
+    assert bag(cached_statuses(read_status_cache(spark, str(path)))) == [("F001", "A", 1)]
+
+
+def test_catalog_tables(spark, tmp_path):
+    spark.sql(f"create database if not exists ErpTest location '{tmp_path}/db'")
+    spark.createDataFrame([("F001", 7)], "Company string, OrderNum bigint").write.saveAsTable("ErpTest.OrderHed")
+    assert bag(erp_from_catalog(spark, "ErpTest")["OrderHed"]) == [("F001", 7)]
+    spark.sql("drop database ErpTest cascade")
+
+
+def test_sums_need_ansi_mode(spark):
+    from shopfloor.functions.fixed_point import whole_units
+
+    df = spark.createDataFrame([], "LaborHrs decimal(12,2)")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(RuntimeError):
+            whole_units(df, "LaborHrs")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
