@@ -1,39 +1,16 @@
-"""Helpers shared by the operators: Arrow mapping, row keys, shared-folder steps."""
+"""Helpers shared by the operators: texts of Arrow batches, row keys, written steps."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows put into one Arrow batch on the way back to the JVM.
-OUT_ROWS = 4096
 
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; it yields dicts of equally long columns named as in ``schema``."""
-    arrow = _arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in fn(batch):
-                yield record_batch(columns, arrow)
-
-    return df.mapInArrow(run, schema)
-
-
-def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [
-        v if isinstance(v := columns[f.name], pa.Array) and v.type == f.type else pa.array(v, f.type)
-        for f in schema
-    ]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
-def _arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of columns given as in ``CREATE TABLE``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import bytes_of
+from shopfloor.llm.common import arrow_schema, bytes_of
 
 _GAP = rb"[^0-9a-z\x80-\xff]"
 
@@ -377,9 +377,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     words, empty labels, null places); a null ``doc_id`` stays null; repeated rows stay;
     an empty table gives no rows; other columns are not read. No shuffle.
     """
-    from shopfloor.llm.common import _arrow_schema
-
-    schema = _arrow_schema(SCHEMA)
+    schema = arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
