@@ -11,7 +11,10 @@ from heapq import heapify, heappop, heappush
 import regex
 
 #: Longest piece kept in a cache, and the most entries of a cache.
-CACHED_CHARS, CACHED_ENTRIES = 64, 300_000
+CACHED_CHARS, CACHED_ENTRIES = 64, 600_000
+
+#: Marks that are a pre-token of their own after letters at the end of a piece.
+_MARKS = frozenset(".,;:!?")
 
 #: A space between two characters that are no white space: a pre-token ends before it.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -41,6 +44,10 @@ class PieceMap:
         self._known = _Known(self._of_inner)
 
     def _of_inner(self, piece: str):
+        if piece.isalpha():  # letters alone are one pre-token with their space
+            return self._value([" " + piece])
+        if piece[-1] in _MARKS and piece[:-1].isalpha():
+            return self._value([" " + piece[:-1], piece[-1]])
         return self._value(self._find(" " + piece))
 
     def of(self, text: str) -> list:
@@ -150,36 +157,3 @@ class JsonVocabulary:
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file: base64 and a number on each line."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-
-
-def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: neighbours whose joined bytes have the lowest rank are joined first, leftmost among equals."""
-    if (whole := ranks.get(word)) is not None:
-        return [whole]
-    size = len(word)
-    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    rank_of = ranks.get
-    heap = []
-    for i in range(size - 1):
-        if (rank := rank_of(word[i : i + 2])) is not None:
-            heap.append((rank, i, i + 2))
-    heapify(heap)
-    gone = bytearray(size)
-    while heap:
-        _, i, end = heappop(heap)
-        j = after[i]
-        if gone[i] or j >= size or after[j] != end:
-            continue
-        gone[j] = 1
-        after[i] = end
-        if end < size:
-            before[end] = i
-            if (rank := rank_of(word[i : after[end]])) is not None:
-                heappush(heap, (rank, i, after[end]))
-        if (h := before[i]) >= 0 and (rank := rank_of(word[h:end])) is not None:
-            heappush(heap, (rank, h, end))
-    ids, i = [], 0
-    while i < size:
-        ids.append(ranks[word[i : after[i]]])
-        i = after[i]
-    return ids

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,116 +13,150 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.bpe import PieceMap, encode_word, read_ranks
+from shopfloor.llm.bpe import PieceMap, read_ranks
 from shopfloor.llm.common import texts_of
 
-#: A block ends with the Arrow batch in which it passes so many characters or distinct words.
+#: A block ends after the document with which it passes so many characters or distinct words.
 BLOCK_CHARS, BLOCK_WORDS = 24_000_000, 400_000
 
-_BLOCK = "block long, doc_id long, code int, payload binary"
-_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("code", pa.int32()), ("payload", pa.binary())])
+_TEXTS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("order", pa.bool_()), ("codes", pa.binary())])
+_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+_IDS = "block long, bucket int, ids binary"
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers in byte planes, compressed: the high bytes of most are zero."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(planes.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def packed_list(items: list[bytes]) -> bytes:
+    """Byte strings one after another behind their lengths, compressed."""
+    lengths = np.array([len(x) for x in items], "<u4")
+    head = np.array([len(items)], "<u4").tobytes() + lengths.tobytes()
+    return zlib.compress(head + b"".join(items), 3)
+
+
+def unpacked_list(data: bytes) -> list[bytes]:
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
 class _Block:
     """A run of one partition's documents: distinct words with their numbers, numbers by position."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, buckets: int, keep: bool):
         self.codes: dict[str, int] = {}
         self.rows: list[tuple[int | None, bytes]] = []
         self.chars = 0
+        self._buckets, self._keep = buckets, keep
         self._content = xxhash.xxh64()
         self._pieces = PieceMap(pattern, self._of_words)
 
     def _of_words(self, words: list[str]) -> bytes:
         codes = self.codes
-        return np.array([codes.setdefault(w, len(codes)) for w in words], np.uint32).tobytes()
+        found = [codes.setdefault(w, len(codes)) for w in words]
+        return struct.pack(f"<{len(found)}I", *found)
 
-    def add(self, doc_id: int | None, text: str, keep: bool) -> None:
+    def add(self, doc_id: int | None, text: str) -> None:
         self.chars += len(text)
         self._content.update(f"{len(text)} ".encode())
         self._content.update(text.encode())
-        row = b"".join(self._pieces.of(text))
-        if keep:
-            self.rows.append((doc_id, _packed(row)))
+        found = self._pieces.of(text)
+        if self._keep:
+            self.rows.append((doc_id, packed(np.frombuffer(b"".join(found), "<u4"))))
 
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.codes) >= BLOCK_WORDS
 
-    def id(self) -> int:
+    def _id(self) -> int:
         """From the texts of the block, so that a block read twice has one id, or else no partner."""
         return self._content.intdigest() - 2**63
 
-    def words(self) -> Iterator[pa.RecordBatch]:
-        words, block = [w.encode() for w in self.codes], self.id()
-        for i in range(0, len(words), 65_536):
-            part = words[i : i + 65_536]
-            yield _block_batch(block, [None] * len(part), range(i, i + len(part)), part)
-
-    def documents(self) -> Iterator[pa.RecordBatch]:
-        block = self.id()
-        for i in range(0, len(self.rows), 1024):
-            ids, payloads = zip(*self.rows[i : i + 1024])
-            yield _block_batch(block, ids, [None] * len(ids), payloads)
-
-
-def _block_batch(block: int, ids, codes, payloads) -> pa.RecordBatch:
-    columns = ([block] * len(ids), list(ids), list(codes), list(payloads))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK_ARROW)], schema=_BLOCK_ARROW)
-
-
-def _blocks(pattern: str, words: bool):
-    """Rows (block, code, word) of the distinct words of every block, or (block, doc_id, codes) of its documents."""
+    def _sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words, their buckets, and their numbers by bucket and spelling."""
+        words = [w.encode() for w in self.codes]
+        bucket = np.fromiter((zlib.crc32(w) % self._buckets for w in words), np.int64, len(words))
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        return words, bucket, by_word[np.argsort(bucket[by_word], kind="stable")]
+
+    def finished(self) -> Iterator[pa.RecordBatch]:
+        if not self._keep:
+            yield from self._word_rows()
+        elif self.rows:
+            _, _, order = self._sorted()
+            rows = [(None, True, packed(order)), *((i, False, c) for i, c in self.rows)]
+            for low in range(0, len(rows), 1024):
+                ids, orders, codes = map(list, zip(*rows[low : low + 1024]))
+                yield _batch(_TEXTS, [self._id()] * len(ids), ids, orders, codes)
+
+    def _word_rows(self) -> Iterator[pa.RecordBatch]:
+        """The distinct words of each bucket in one row: a word meets all its blocks in one bucket."""
+        words, bucket, order = self._sorted()
+        edges = np.searchsorted(bucket[order], np.arange(self._buckets + 1)).tolist()
+        rows = [
+            (k, self._id(), packed_list([words[i] for i in order[a:b]]))
+            for k, (a, b) in enumerate(zip(edges, edges[1:]))
+            if b > a
+        ]
+        if rows:
+            yield _batch(_WORDS, *map(list, zip(*rows)))
+
+
+def _batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _blocks(pattern: str, buckets: int, keep: bool):
+    """Rows of the documents of every block (``keep``), or of its distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(pattern)
+        block = _Block(pattern, buckets, keep)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                block.add(doc_id, text, not words)
+                block.add(doc_id, text)
                 if block.full():
-                    yield from block.words() if words else block.documents()
-                    block = _Block(pattern)
-        yield from block.words() if words else block.documents()
+                    yield from block.finished()
+                    block = _Block(pattern, buckets, keep)
+        yield from block.finished()
 
     return run
 
 
-def _packed(codes: bytes) -> bytes:
-    """Codes as a bit width and their bytes in planes, compressed: the high bytes of most codes are zero."""
-    import zlib
-
-    planes = np.frombuffer(codes, np.uint8).reshape(-1, 4).T.tobytes()
-    return zlib.compress(planes, 1)
-
+def encoded_words(words: DataFrame, ranks_content: bytes, pattern: str) -> DataFrame:
+    """Ids of the words of every (bucket, block), each distinct word encoded once.
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    import zlib
-
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
-
-
-def encoded_words(words: DataFrame, ranks_content: bytes) -> DataFrame:
-    """Ids of every word of (block, code, payload), each distinct word encoded once.
-
-    The rows of a word meet in one task, next to each other. A word has one row per
-    block at most, so no group outgrows the number of blocks.
+    All blocks' rows of a bucket meet in one group. A word has one entry per block at
+    most and buckets split words evenly, so a group is as large as the number of
+    buckets, which follows ``spark.sql.shuffle.partitions``, lets it be.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_content)
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for word in batch.column("payload").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode_word(word, ranks), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("code"), pa.array(out, pa.binary())], names=["block", "code", "ids"]
-            )
+    def encode_bucket(rows: pa.Table) -> pa.Table:
+        import tiktoken
 
-    met = words.repartition("payload").sortWithinPartitions("payload")
-    return met.mapInArrow(run, "block long, code int, ids binary")
+        ranks = read_ranks(ranks_content)
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        known: dict[bytes, bytes] = {}
+        out = []
+        for data in rows.column("words").to_pylist():
+            found = unpacked_list(data)
+            for word in found:
+                if word not in known:
+                    ids = encode(word.decode())
+                    known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            ids = [known[w] for w in found]
+            lengths = np.array([len(x) // 4 for x in ids], "<u4")
+            out.append(packed(np.concatenate([[len(ids)], lengths, np.frombuffer(b"".join(ids), "<u4")])))
+        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
+
+    return words.groupBy("bucket").applyInArrow(encode_bucket, _IDS)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_digests: bool = False) -> DataFrame:
@@ -129,16 +165,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_digests: bool =
     Pre-tokens are numbered per block of documents; the distinct ones are shuffled
     by word, encoded once, and sent back to their blocks, where each document is put
     together by position. With ``with_digests`` the rows carry the count and the
-    SHA-256 of ids and decoded bytes instead of the ids. Null text is empty; a null
-    ``doc_id`` stays null; repeated rows stay; an empty table gives no rows; other
-    columns are not read.
+    SHA-256 of ids and decoded bytes instead of the ids. ``docs`` is read twice and must
+    split into the same partitions both times, as files do; if it does not, the
+    operator fails. Null text is empty; a null ``doc_id`` stays null; repeated rows stay;
+    an empty table gives no rows; other columns are not read.
     """
     with open(ranks_path, "rb") as f:
         content = f.read()
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = read.mapInArrow(_blocks(pattern, True), _BLOCK).select("block", "code", "payload")
-    texts = read.mapInArrow(_blocks(pattern, False), _BLOCK).select("block", "doc_id", "payload")
-    known = encoded_words(words, content)
+    words = read.mapInArrow(_blocks(pattern, buckets, False), "bucket int, block long, words binary")
+    texts = read.mapInArrow(_blocks(pattern, buckets, True), "block long, doc_id long, order boolean, codes binary")
+    known = encoded_words(words, content, pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if with_digests else "doc_id long, ids binary"
 
     def join(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -147,36 +185,59 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_digests: bool =
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(join, schema)
 
 
+def _ids_by_code(orders: list[bytes], known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of a block, one after another by number, and how many each has."""
+    order = unpacked(orders[0]).astype(np.int64)  # files with equal texts are one block; their orders are equal
+    lengths, ids, seen = [], [], set()
+    rows = sorted(zip(known.column("bucket").to_pylist(), known.column("ids").to_pylist()), key=lambda r: r[0])
+    for bucket, data in rows:
+        if bucket not in seen:
+            seen.add(bucket)
+            numbers = unpacked(data)
+            n = int(numbers[0])
+            lengths.append(numbers[1 : n + 1])
+            ids.append(numbers[n + 1 :])
+    lengths = np.concatenate(lengths or [np.zeros(0, "<u4")]).astype(np.int64)
+    if len(lengths) != len(order):
+        raise RuntimeError("a block of documents did not split the same way twice")
+    starts = np.cumsum(lengths) - lengths
+    by_code = np.empty(len(order), np.int64)
+    by_code[order] = np.arange(len(order))
+    size = lengths[by_code]
+    flat = np.concatenate(ids or [np.zeros(0, "<u4")])
+    return flat[_places(starts[by_code], size)], size
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of the given starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def _reassembled(texts: pa.Table, known: pa.Table, content: bytes | None) -> pa.Table:
     """Documents of one block by position: the ids of every pre-token put in place of its number."""
-    codes = known.column("code").to_numpy()
-    words = int(codes.max()) + 1 if len(codes) else 0
-    if len(codes) < words:
+    rows = list(zip(*(texts.column(n).to_pylist() for n in ("doc_id", "order", "codes"))))
+    orders = [codes for _, order, codes in rows if order]
+    if not orders:
         raise RuntimeError("a block of documents did not split the same way twice")
-    ids = np.full(words, b"", object)
-    ids[codes] = known.column("ids").to_pylist()
-    lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, words)
-    flat = np.frombuffer(b"".join(ids), np.uint32)
+    flat, lengths = _ids_by_code(orders, known)
     starts = np.cumsum(lengths) - lengths
     tokens = None if content is None else TokenBytes(content)
-    rows = []
-    for packed in texts.column("payload").to_pylist():
-        own_codes = _unpacked(packed)
-        if len(own_codes) and own_codes.max() >= words:
-            raise RuntimeError("a block of documents did not split the same way twice")
-        size = lengths[own_codes]
-        ends = np.cumsum(size)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[own_codes] - (ends - size), size)
-        own = flat[places]
+    out = []
+    for doc_id, order, data in rows:
+        if order:
+            continue
+        codes = unpacked(data)
+        own = flat[_places(starts[codes], lengths[codes])]
         if tokens is None:
-            rows.append((own.tobytes(),))
+            out.append((doc_id, own.tobytes()))
         else:
-            rows.append((len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(tokens.join(own)).hexdigest()))
-    doc_ids = texts.column("doc_id").combine_chunks()
-    names = ["ids"] if tokens is None else ["n_tokens", "ids_sha256", "decoded_sha256"]
-    columns = zip(*rows) if rows else [[] for _ in names]
-    kinds = [pa.binary()] if tokens is None else [pa.int64(), pa.string(), pa.string()]
-    return pa.table([doc_ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["doc_id", *names])
+            digest = hashlib.sha256(own.tobytes()).hexdigest()
+            out.append((doc_id, len(own), digest, hashlib.sha256(tokens.join(own)).hexdigest()))
+    names = ["doc_id", "ids"] if tokens is None else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kinds = [pa.int64(), pa.binary()] if tokens is None else [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    columns = zip(*out) if out else [[] for _ in names]
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
 class TokenBytes:

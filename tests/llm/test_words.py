@@ -192,7 +192,7 @@ def test_token_counts_and_pieces(spark):
     assert read(token_counts.token_counts(documents(spark, []), JSON, PATTERN, 10)) == []
 
 
-def test_encoding_round_trip(spark):
+def test_encoding_round_trip(spark, monkeypatch):
     import base64
 
     import tiktoken
@@ -200,6 +200,8 @@ def test_encoding_round_trip(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = [*ROWS, *((50 + i, t) for i, t in enumerate(TEXTS))]
+    for name, size in (("BLOCK_CHARS", 9000), ("BLOCK_WORDS", 200)):
+        monkeypatch.setattr(encoding, name, size)
     docs = documents(spark, rows).repartition(3).persist()  # one split for all reads
     want = Counter((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in rows)
     encoded = encoding.encode(docs, RANKS, PATTERN)
