@@ -9,6 +9,7 @@ the places of their length by rank.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,18 +43,18 @@ class Encoder:
         self._pieces = PieceMap(pattern, self._of_words)
 
     def _of_words(self, words: list[str]) -> bytes:
-        out = []
-        for word in words:
-            ids = self._words.get(word)
-            if ids is None:
-                letters = word.encode().decode("latin-1").translate(self._letters)
-                ids = np.array([t.id for t in self._model.tokenize(letters)], "<u4").tobytes()
-                if len(word) <= CACHED_CHARS:
-                    if len(self._words) >= CACHED_ENTRIES:
-                        self._words.clear()
-                    self._words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        known = self._words
+        return b"".join([known.get(w) or self._of_word(w) for w in words])
+
+    def _of_word(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._letters)
+        ids = [t.id for t in self._model.tokenize(letters)]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= CACHED_CHARS:
+            if len(self._words) >= CACHED_ENTRIES:
+                self._words.clear()
+            self._words[word] = packed
+        return packed
 
     def ids(self, text: str) -> np.ndarray:
         parts = self._cut(text)
