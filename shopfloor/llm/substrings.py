@@ -302,7 +302,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     known = spark.createDataFrame([(*k, v[0], v[2]) for k, v in firsts.items()], ends + "real_doc_id long, real_start int")
     whole = (
         found.where(F.col("kind") == _REPEAT)
-        .join(known, ["seed", "segment"], "left")
+        .join(F.broadcast(known), ["seed", "segment"], "left")  # two rows at most per sorted partition
         .select(
             *_OCCURRENCE,
             "windows",
