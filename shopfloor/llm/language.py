@@ -41,8 +41,8 @@ def training_sample(docs: DataFrame, held_out: str) -> dict[str, str]:
     labelled = labelled.where(f"lang is not null and text is not null and not ({held_out})").withColumn("_hash", F.xxhash64("doc_id"))
     bucket = F.pmod(F.col("_hash"), F.lit(SAMPLE_DOCS))
     picked = labelled.groupBy("lang", bucket.alias("_bucket")).agg(F.min("_hash").alias("_hash")).select("lang", "_hash")
-    text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
-    sample = labelled.join(picked, ["lang", "_hash"], "left_semi").groupBy("lang", "_hash").agg(F.min(text).alias("text"))
+    starts = labelled.select("lang", "_hash", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sample = starts.join(picked, ["lang", "_hash"], "left_semi").groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     found: dict[str, list[str]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["_hash"])):
         found.setdefault(row["lang"], []).append(row["text"])
