@@ -21,8 +21,9 @@ from shopfloor.llm.common import texts_of
 
 #: Bounds of the training sample: documents per language (one per hash bucket), characters of each, and of each language.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 256, 1000, 24_000
-#: Letters that get a symbol of their own; the rest share one.
-SYMBOLS = 62
+#: Symbols below this one have a column in the dense transitions: space, unknown letters and the most frequent letters.
+#: The symbols of all other letters are looked up among sorted transitions; the results are the same.
+DENSE = 64
 #: Documents are parsed in segments of so many symbols, side by side.
 SEGMENT = 512
 
@@ -54,17 +55,26 @@ def is_letter_table() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
 
+def _lower(c: str) -> str:
+    """The lower-case letter of one letter, whatever stands around it."""
+    return c.lower()[0]
+
+
 class Alphabet:
-    """Turns text into symbols: letters without case, runs of anything else as one space."""
+    """Turns text into symbols: letters without case, runs of anything else as one space.
+
+    Every letter of the samples has a symbol of its own, the most frequent the lowest;
+    only letters that no sample holds share one.
+    """
 
     def __init__(self, samples: dict[str, str], letters: np.ndarray):
-        counts = Counter(c for text in samples.values() for c in text.lower() if letters[ord(c)])
-        common = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
-        self.table = np.where(letters, _OTHER, _SPACE).astype(np.uint8)
-        for i, c in enumerate(common):
-            self.table[ord(c)] = i + 2
-            if len(up := c.upper()) == 1:
-                self.table[ord(up)] = i + 2
+        counts = Counter(_lower(c) for text in samples.values() for c in text if letters[ord(c)])
+        ordered = sorted(counts, key=lambda c: (-counts[c], c))
+        symbol = {c: i + 2 for i, c in enumerate(ordered)}
+        self.table = np.where(letters, _OTHER, _SPACE).astype(np.min_scalar_type(len(ordered) + 1))
+        for point in np.flatnonzero(letters).tolist():
+            if (c := _lower(chr(point))) in symbol:
+                self.table[point] = symbol[c]
 
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -120,24 +130,55 @@ class Model:
         dense = []
         for edges in self.edges:
             states = int(edges.max(initial=0, where=[True, False, True])) + 1
-            table = np.zeros(states * 64, np.int32)
-            table[edges[:, 0] * 64 + edges[:, 1]] = edges[:, 2] * 64
+            table = np.zeros(states * DENSE, np.int32)
+            edges = edges[edges[:, 1] < DENSE]
+            table[edges[:, 0] * DENSE + edges[:, 1]] = edges[:, 2] * DENSE
             dense.append(table)
         return dense
 
+    def rare(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per language the transitions by all other symbols: sorted keys of state and symbol, and the targets."""
+        found = []
+        for edges in self.edges:
+            edges = edges[edges[:, 1] >= DENSE].astype(np.int64)
+            keys = _key(edges[:, 0] * DENSE, edges[:, 1])
+            order = np.argsort(keys)
+            # the last key is none that a text can ask for
+            found.append((np.append(keys[order], np.iinfo(np.int64).max), np.append(edges[order, 2] * DENSE, 0)))
+        return found
+
+
+def _key(state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """One number for a state and a symbol; there are fewer symbols than code points."""
+    return (state << 21) + symbols
+
+
+def _after(state: np.ndarray, symbols: np.ndarray, table: np.ndarray, rare: tuple | None) -> np.ndarray:
+    """The states that ``symbols`` lead to, 0 for none."""
+    wide = np.flatnonzero(symbols >= DENSE) if rare else ()
+    if not len(wide):
+        return table[state + symbols]
+    after = table[state + np.where(symbols < DENSE, symbols, 0)]
+    keys, targets = rare
+    wanted = _key(state[wide], symbols[wide].astype(np.int64))
+    at = np.searchsorted(keys, wanted)
+    after[wide] = np.where(keys[at] == wanted, targets[at], 0)
+    return after
+
 
-def phrase_counts(lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrase_counts(lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray, rare: tuple | None = None) -> np.ndarray:
     """Phrases of every lane (column) of symbols, all lanes stepped side by side; lanes are sorted from long to short."""
     width = lanes.shape[1]
     state, phrases = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    rare = rare if lanes.max(initial=0) >= DENSE else None
     for i in range(lanes.shape[0]):
         width = int(np.searchsorted(-lengths, -i, "left"))
         if not width:
             break
         symbols = lanes[i, :width]
-        after = table[state[:width] + symbols]
+        after = _after(state[:width], symbols, table, rare)
         stuck = np.flatnonzero(after == 0)
-        again = table[symbols[stuck]]
+        again = _after(np.zeros(len(stuck), np.int64), symbols[stuck], table, rare)
         # the phrase before ends; a symbol that the sample lacks is a phrase of its own
         phrases[stuck] += (state[stuck] != 0).astype(np.int64) + (again == 0)
         after[stuck] = again
@@ -145,8 +186,9 @@ def phrase_counts(lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray) ->
     return phrases + (state != 0)
 
 
-def parse(symbols: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+def parse(symbols: list[np.ndarray], tables: list[np.ndarray], rare: list[tuple] | None = None) -> np.ndarray:
     """Phrases that each document needs in each language: documents are cut into segments of fixed size."""
+    rare = rare or [None] * len(tables)
     sizes = np.array([len(s) for s in symbols], np.int64)
     flat = np.concatenate(symbols) if symbols else np.zeros(0, np.uint8)
     parts = -(-sizes // SEGMENT)
@@ -159,12 +201,12 @@ def parse(symbols: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     counts = np.zeros((len(sizes), len(tables)), np.int64)
     for low in range(0, len(owner), 8192):
         own, at, size = owner[low : low + 8192], starts[low : low + 8192], lengths[low : low + 8192]
-        lanes = np.zeros((int(size[0]), len(own)), np.uint8)
+        lanes = np.zeros((int(size[0]), len(own)), flat.dtype)
         for i in range(lanes.shape[0]):
             width = int(np.searchsorted(-size, -i, "left"))
             lanes[i, :width] = flat[at[:width] + i]
         for k, table in enumerate(tables):
-            np.add.at(counts[:, k], own, phrase_counts(lanes, size, table))
+            np.add.at(counts[:, k], own, phrase_counts(lanes, size, table, rare[k]))
     return counts
 
 
@@ -181,13 +223,13 @@ def predict(docs: DataFrame, model: Model, keep: list | None = None) -> DataFram
     out = read.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.tables()
+        tables, rare = model.tables(), model.rare()
         for batch in batches:
             symbols = [model.alphabet.symbols(t) for t in texts_of(batch)]
             letters = np.array([int(np.count_nonzero(s)) for s in symbols], np.int64)
             named, scores = np.full(len(symbols), "und", object), np.zeros(len(symbols))
             if tables and len(symbols):
-                cost = parse(symbols, tables) * model.bits / np.maximum(letters, 1)[:, None]
+                cost = parse(symbols, tables, rare) * model.bits / np.maximum(letters, 1)[:, None]
                 best = cost.argmin(1)
                 ordered = np.sort(cost, 1)
                 second = ordered[:, 1] if len(tables) > 1 else np.full(len(cost), np.inf)

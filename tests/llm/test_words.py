@@ -123,6 +123,47 @@ def test_language(spark):
     assert read(language.predict(docs.limit(0), model)) == []
 
 
+def many_scripts(rng):
+    """A sampler of sentences per language; Han, kana and Hangul beside five alphabets."""
+    pools = {
+        "en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρσςτυφχψω",
+        "he": "אבגדהוזחטיךכלםמןנסעףפץצקרשת", "th": "กขคงจฉชซดตถทธนบปผฝพฟภมยรลวสหอ",
+        "zh": "".join(map(chr, range(0x4E00, 0x5200))), "ja": "".join(map(chr, range(0x3041, 0x3097))) + "".join(map(chr, range(0x4F00, 0x5000))),
+        "ko": "".join(map(chr, range(0xAC00, 0xB000))),
+    }
+    words = {x: ["".join(rng.choice(list(p), rng.integers(2, 6))) for _ in range(300)] for x, p in pools.items()}
+    return lambda lang, n: " ".join(rng.choice(words[lang], n)), list(pools)
+
+
+def test_language_of_many_scripts(spark):
+    sentence, langs = many_scripts(np.random.default_rng(17))
+    # Latin and Cyrillic hold most letters of the samples
+    rows = [(x, sentence(x, 150 if x in ("en", "ru") else 60)) for x in langs for _ in range(20)]
+    train = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language.Model(language.training_sample(train, "false"))
+    asked = [(i, x, sentence(x, 12)) for i, x in enumerate(langs * 10)]
+    got = read(language.predict(spark.createDataFrame(asked, "doc_id long, lang string, text string"), model))
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: x for i, x, _ in asked}
+
+
+def test_every_letter_of_the_samples_has_a_symbol():
+    sentence, langs = many_scripts(np.random.default_rng(18))
+    samples = {x: sentence(x, 400) for x in langs} | {"tr": "ılık İzmir Iğdır", "de": "GROẞ groß"}
+    model = language.Model(samples)
+    letters = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
+    symbols = [int(model.alphabet.symbols(c)[0]) for c in letters]
+    assert len(letters) > 1000 and len(set(symbols)) == len(letters) and min(symbols) > 1
+    assert [model.alphabet.symbols(a).tolist() for a in ("I", "ẞ", "Σ", "Ж")] == [model.alphabet.symbols(a).tolist() for a in ("i", "ß", "σ", "ж")]
+    assert model.alphabet.symbols("ሀ").tolist() == [1]
+    texts = [sentence(x, n) + " ሀ " + sentence("zh", 2) for x in langs for n in (1, 20)]
+    coded = [model.alphabet.symbols(t) for t in texts]
+    got = language.parse(coded, model.tables(), model.rare())
+    say = lambda s: "".join(chr(0x10000 + int(c)) for c in s)
+    for k, lang in enumerate(model.langs):
+        whole = say(model.alphabet.symbols(samples[lang]))
+        assert got[:, k].tolist() == [naive_phrases(say(s), whole) for s in coded]
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = read(queries.language_id(spark, sf_dir))
     lang = {r["doc_id"]: r["lang"] for r in read(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"))}
