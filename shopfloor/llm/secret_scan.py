@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 
 from shopfloor.llm.common import texts_of, written
 
+#: Characters that are looked at before a candidate, and at its start.
+CONTEXT, LOOKED_AT = 48, 512
+
 #: Rules by priority: name, text that must occur, pattern; the last group, else the whole match, is the secret.
 RULES = (
-    ("private-key", ("PRIVATE KEY",), r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----)?"),
+    ("private-key", ("PRIVATE KEY",), r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----)?"),
     ("cloud-key", ("AKIA", "ASIA"), r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("forge-token", ("gh",), r"\bgh[pousr]_[0-9A-Za-z]{36,}"),
     ("chat-token", ("xox",), r"\bxox[abpr]-[0-9A-Za-z-]{10,}"),
     ("payment-key", ("k_live_", "k_test_"), r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("web-token", ("eyJ",), r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}"),
-    ("url-password", ("://",), r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{4,128})@"),
+    ("url-password", ("://",), r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:([^\s:/@]{4,})@"),
     ("assigned", ("=", ":"), r"(?i:\b(?:\w{0,20}(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|credential)|pwd|auth)s?[\"']?\s{0,4}[:=]\s{0,4}[\"']?)([^\s\"']{8,512})"),
-    ("long-run", (), r"(?<![\w+/=-])[A-Za-z0-9_+/=-]{24,512}(?![\w+/=-])"),
+    ("long-run", (), r"(?<![\w+/=-])(?=[A-Za-z0-9_+/=-]{24,}+(?![\w+/=-]))[A-Za-z0-9_+/=-]{24,512}"),
 )
 
+#: The candidates of these rules are the ``LOOKED_AT`` characters that the forest sees; a secret goes on to the end of its run.
+REST = {"assigned": r"[^\s\"']*", "long-run": r"[A-Za-z0-9_+/=-]*"}
+
 #: Words that a person writes rather than a generator; for the dictionary coverage of a candidate.
 DICTIONARY = (
     "access account address admin api app auth base begin bucket build cache change check class client cloud code config "
@@ -67,29 +73,27 @@ FEATURES = (
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abpr]-|[sr]k_(?:live|test)_|eyJ|-----BEGIN")
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
-#: Characters that are looked at before and after a candidate.
-CONTEXT = 48
 
 
 def features(value: str, before: str, path: str) -> list[float]:
-    """The numbers that the forest sees, in the order of ``FEATURES``."""
+    """The numbers that the forest sees, in the order of ``FEATURES``; of a long value its start."""
+    value = value[:LOOKED_AT]
     size = len(value)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value[:512]]
-    counts = Counter(value[:512])
-    seen = len(kinds)
-    vowels = [c in "aeiouAEIOU" for c in value[:512]]
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
+    counts = Counter(value)
+    vowels = [c in "aeiouAEIOU" for c in value]
     letters = [k in "ul" for k in kinds]
     odd = sum(a and b and va == vb for a, b, va, vb in zip(letters, letters[1:], vowels, vowels[1:]))
-    known = sum(len(m) for m in _WORDS.findall(value[:512].lower()))
+    known = sum(len(m) for m in _WORDS.findall(value.lower()))
     words = re.findall(r"[a-z0-9]+", before.lower())[-5:]
     return [
-        float(min(size, 512)),
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, seen - 1),
-        len(counts) / max(1, seen),
-        -sum(n / seen * math.log2(n / seen) for n in counts.values()) if seen else 0.0,
-        kinds.count("d") / max(1, seen),
-        odd / max(1, seen - 1),
-        known / max(1, seen),
+        float(size),
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, size - 1),
+        len(counts) / max(1, size),
+        -sum(n / size * math.log2(n / size) for n in counts.values()) if size else 0.0,
+        kinds.count("d") / max(1, size),
+        odd / max(1, size - 1),
+        known / max(1, size),
         float(any(x in path.lower() for x in PATH_AGAINST)),
         float(sum(w in FOR for w in words)),
         float(sum(w in AGAINST for w in words)),
@@ -227,6 +231,7 @@ class Finder:
     def __init__(self, forest: Forest, threshold: float):
         self._forest, self._threshold = forest, threshold
         self._rules = [(name, need, re.compile(pattern)) for name, need, pattern in RULES]
+        self._rest = {name: re.compile(pattern) for name, pattern in REST.items()}
 
     def candidates(self, text: str) -> list[tuple[int, int, str]]:
         """Start, end and rule; of overlapping candidates the one of the earlier rule stays."""
@@ -244,11 +249,17 @@ class Finder:
         return sorted(stay)
 
     def secrets(self, text: str, path: str) -> list[tuple[int, int, str, float]]:
-        found = []
+        """Start, end, rule and score; whole values, however long, that do not overlap."""
+        found, last = [], 0
         for start, end, name in self.candidates(text):
+            if end <= last:  # inside the rest of the secret before
+                continue
             score = self._forest.score(features(text[start:end], text[max(0, start - CONTEXT) : start], path))
             if score > self._threshold:
-                found.append((start, end, name, score))
+                if start < last:
+                    found[-1] = (found[-1][0], start, *found[-1][2:])
+                last = self._rest[name].match(text, end).end() if name in self._rest else end
+                found.append((start, last, name, score))
         return found
 
 
