@@ -74,7 +74,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(_documents(spark, sf_dir)).drop("text_key")
+    return substrings.repeated_passages(_documents(spark, sf_dir), null_ids=True).drop("text_key")
 
 
 def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

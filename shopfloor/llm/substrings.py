@@ -26,7 +26,9 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
 _INVERSE = pow(_STEP, -1, 1 << 64)
 _POWERS = 4096
-_OCCURRENCE = ["doc_id", "text_key", "start"]
+#: What tells texts apart, in their order; a text without an id comes after all others and has its hash for an id.
+_TEXT = ["no_id", "doc_id", "text_key"]
+_OCCURRENCE = [*_TEXT, "start"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -113,16 +115,21 @@ def segments(words: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
     return seeds[place].view(np.int64), whole.view(np.int64), begin.astype(np.int32), count.astype(np.int32)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text").where(
-        "doc_id is not null and text is not null"
-    )
+def _text_key() -> list:
+    """The columns of ``_TEXT``; without an id 96 bits of two hashes name the text."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull().cast("int"), F.coalesce(doc_id, F.xxhash64("text")), F.hash("text")]
+
+
+def _keyed(docs: DataFrame, null_ids: bool) -> DataFrame:
+    own = docs.select(*(c.alias(n) for c, n in zip(_text_key(), _TEXT)), "text").where("text is not null")
+    return own if null_ids else own.where("no_id = 0")
 
 
-_ROWS = "seed long, segment long, doc_id long, text_key int, start int, windows int"
+_ROWS = "seed long, segment long, no_id int, doc_id long, text_key int, start int, windows int"
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
+def suffixes(docs: DataFrame, null_ids: bool = False) -> DataFrame:
     """The selected suffixes of all texts, about two in every ``_WINDOW + 1`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,20 +145,19 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 [
                     pa.array(seed),
                     pa.array(segment),
-                    batch.column("doc_id").take(pa.array(owner, pa.int64())),
-                    batch.column("text_key").take(pa.array(owner, pa.int64())),
+                    *(batch.column(n).take(pa.array(owner, pa.int64())) for n in _TEXT),
                     pa.array(start),
                     pa.array(count),
                 ],
-                names=["seed", "segment", "doc_id", "text_key", "start", "windows"],
+                names=["seed", "segment", *_OCCURRENCE, "windows"],
             )
 
-    return _keyed(docs).mapInArrow(run, _ROWS)
+    return _keyed(docs, null_ids).mapInArrow(run, _ROWS)
 
 
 #: Kinds of rows that the comparison of neighbours gives.
 _REPEAT, _UNEQUAL, _FIRST_RUN, _LAST_RUN = 0, 1, 2, 3
-_FOUND = _ROWS + ", kind int, part int, runs int, first_doc_id long, first_key int, first_start int"
+_FOUND = _ROWS + ", kind int, part int, runs int, first_no_id int, first_doc_id long, first_key int, first_start int"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +197,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs[at],
         *(columns[n][own] for n in _OCCURRENCE),
     ]
-    names = ["seed", "segment", *_OCCURRENCE, "windows", "kind", "part", "runs", "first_doc_id", "first_key", "first_start"]
+    names = ["seed", "segment", *_OCCURRENCE, "windows", "kind", "part", "runs", "first_no_id", "first_doc_id", "first_key", "first_start"]
     for low in range(0, len(at), 65_536):
         yield pa.RecordBatch.from_arrays([pa.array(a[low : low + 65_536]) for a in arrays], names=names)
 
@@ -207,10 +213,10 @@ def _across(borders: list) -> tuple[list[tuple], list[tuple], dict[tuple, tuple]
     many: set[int] = set()
     repeats: dict[tuple, None] = {}
     for row in sorted(borders, key=lambda r: (r["part"], r["kind"])):
-        run, own = (row["seed"], row["segment"]), (row["doc_id"], row["text_key"], row["start"], row["windows"])
+        run, own = (row["seed"], row["segment"]), tuple(row[n] for n in (*_OCCURRENCE, "windows"))
         known = by_seed.setdefault(row["seed"], {})
         if run in firsts and firsts[run] != own:
-            repeats[(*run, *own, *firsts[run][:3])] = None
+            repeats[(*run, *own, *firsts[run][:4])] = None
         firsts.setdefault(run, own)
         known.setdefault(row["segment"], own)
         if row["runs"] > 1:
@@ -224,13 +230,14 @@ def _across(borders: list) -> tuple[list[tuple], list[tuple], dict[tuple, tuple]
     return list(repeats), unequal, firsts
 
 
-_SPAN = "doc_id long, text_key int, start int, windows int, first_doc_id long, first_start int"
+_PLACE = "no_id int, doc_id long, text_key int, start int, windows int"
+_SPAN = _PLACE + ", first_no_id int, first_doc_id long, first_start int"
 
 
-def _extended(docs: DataFrame, unequal: DataFrame) -> DataFrame:
+def _extended(docs: DataFrame, unequal: DataFrame, null_ids: bool) -> DataFrame:
     """Windows of the given segments that stand earlier in another one: the left and right reach of what they share."""
-    wanted = unequal.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "windows")).alias("parts"))
-    texts = _keyed(docs).join(wanted, ["doc_id", "text_key"])
+    wanted = unequal.groupBy(*_TEXT).agg(F.collect_set(F.struct("start", "windows")).alias("parts"))
+    texts = _keyed(docs, null_ids).join(wanted, _TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -246,111 +253,120 @@ def _extended(docs: DataFrame, unequal: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(hashes)),
-                        batch.column("doc_id").take(owner),
-                        batch.column("text_key").take(owner),
+                        *(batch.column(n).take(owner) for n in _TEXT),
                         pa.array(np.concatenate(starts)),
                     ],
                     names=["window", *_OCCURRENCE],
                 )
 
-    windows = texts.mapInArrow(run, "window long, doc_id long, text_key int, start int")
+    windows = texts.mapInArrow(run, "window long, no_id int, doc_id long, text_key int, start int")
     windows = written(windows, "windows")
     earliest = windows.groupBy("window").agg(F.min(F.struct(*_OCCURRENCE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         windows.join(earliest, "window")
         .where(F.struct(*_OCCURRENCE) != F.col("first"))
-        .select(*_OCCURRENCE, F.lit(1).alias("windows"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+        .select(*_OCCURRENCE, F.lit(1).alias("windows"), *(F.col(f"first.{n}").alias(f"first_{n}") for n in ("no_id", "doc_id", "start")))
     )
 
 
-def _joined(rows: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Spans (start, end, first document, its start) of windows that repeat one document without a break."""
+def _joined(rows: list[dict]) -> list[tuple[int, int, int, int, int]]:
+    """Spans (start, end, whether the first document has no id, the document, its start) of windows that repeat one document without a break."""
     spans: list[list] = []
-    lines: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["start"], r["first_doc_id"], r["first_start"])):
+    lines: dict[tuple[int, int], list] = {}
+    for r in sorted(rows, key=lambda r: (r["start"], r["first_no_id"], r["first_doc_id"], r["first_start"])):
         end = r["start"] + r["windows"] - 1 + PASSAGE
-        line = r["first_doc_id"]
+        line = (r["first_no_id"], r["first_doc_id"])
         span = lines.get(line)
         if span and r["start"] <= span[1] - PASSAGE + 1:
             span[1] = max(span[1], end)
         else:
-            lines[line] = span = [r["start"], end, r["first_doc_id"], r["first_start"]]
+            lines[line] = span = [r["start"], end, *line, r["first_start"]]
             spans.append(span)
     return [tuple(s) for s in spans]
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, null_ids: bool = False) -> DataFrame:
     """Passages of ``PASSAGE`` words or more that stand earlier in the corpus, one row per passage and place.
 
     Columns ``doc_id``, ``text_key``, ``start_word``, ``n_words``, ``first_doc_id``,
     ``first_start_word``. Words are what white space separates; "earlier" goes by
     ``doc_id``, then position, so the first place of a passage is never listed (a longer
-    passage may name an earlier, not the first place). Rows with a null text or id take
-    no part, fully repeated rows count as one document, an empty table gives no rows,
-    other columns are not read. What is returned is exact but for collisions of 64-bit
-    hashes.
+    passage may name an earlier, not the first place). Rows with a null text take no
+    part, and those with a null id only if ``null_ids``: they come last, in the order of
+    the 64-bit hash of the text, and are listed with a null ``doc_id``. Fully repeated
+    rows count as one document, an empty table gives no rows, other columns are not read.
+    What is returned is exact but for collisions of 64-bit hashes.
     """
+    shown = lambda no_id, doc_id: F.when(F.col(no_id) == 0, F.col(doc_id)).alias(doc_id)
+    ids = {"doc_id": shown("no_id", "doc_id"), "first_doc_id": shown("first_no_id", "first_doc_id")}
+    return _passages(docs, null_ids).select(*(ids.get(n, n) for n in _PASSAGE if not n.endswith("no_id")))
+
+
+def _passages(docs: DataFrame, null_ids: bool) -> DataFrame:
+    """The columns of ``_PASSAGE``, texts and firsts as in ``_TEXT``."""
     spark = docs.sparkSession
     order = ["seed", "segment", *_OCCURRENCE]
-    kept = written(suffixes(docs), "suffixes")
+    kept = written(suffixes(docs, null_ids), "suffixes")
     sorted_rows = kept.repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(sorted_rows.mapInArrow(_neighbours, _FOUND), "neighbours")
     borders = found.where(F.col("kind") >= _FIRST_RUN).collect()
     repeats, unequal, firsts = _across(borders)
 
     ends = "seed long, segment long, "
-    known = spark.createDataFrame([(*k, v[0], v[2]) for k, v in firsts.items()], ends + "real_doc_id long, real_start int")
+    known = spark.createDataFrame([(*k, v[0], v[1], v[3]) for k, v in firsts.items()], ends + "real_no_id int, real_doc_id long, real_start int")
     whole = (
         found.where(F.col("kind") == _REPEAT)
         .join(F.broadcast(known), ["seed", "segment"], "left")  # two rows at most per sorted partition
         .select(
             *_OCCURRENCE,
             "windows",
+            F.coalesce("real_no_id", "first_no_id").alias("first_no_id"),
             F.coalesce("real_doc_id", "first_doc_id").alias("first_doc_id"),
             F.coalesce("real_start", "first_start").alias("first_start"),
         )
     )
-    more = spark.createDataFrame([(*r[2:6], r[6], r[8]) for r in repeats], _SPAN)
-    reps = spark.createDataFrame([u[2:] for u in unequal], "doc_id long, text_key int, start int, windows int")
+    more = spark.createDataFrame([(*r[2:9], r[10]) for r in repeats], _SPAN)
+    reps = spark.createDataFrame([u[2:] for u in unequal], _PLACE)
     extend = found.where(F.col("kind") == _UNEQUAL).select(*_OCCURRENCE, "windows").unionByName(reps)
-    spans = whole.unionByName(more).unionByName(_extended(docs, extend))
-    per_text = spans.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "windows", "first_doc_id", "first_start")).alias("rows")
+    spans = whole.unionByName(more).unionByName(_extended(docs, extend, null_ids))
+    per_text = spans.groupBy(*_TEXT).agg(
+        F.collect_list(F.struct("start", "windows", "first_no_id", "first_doc_id", "first_start")).alias("rows")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (doc_id, key, s, e - s, d, f)
-                for doc_id, key, rows in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text_key", "rows")))
-                for s, e, d, f in _joined(rows)
+                (*text, s, e - s, *first)
+                for *text, rows in zip(*(batch.column(n).to_pylist() for n in (*_TEXT, "rows")))
+                for s, e, *first in _joined(rows)
             ]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=_PASSAGE
+                [pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=_PASSAGE
             )
 
-    schema = "doc_id long, text_key int, start_word int, n_words int, first_doc_id long, first_start_word int"
+    schema = "no_id int, doc_id long, text_key int, start_word int, n_words int, first_no_id int, first_doc_id long, first_start_word int"
     return per_text.mapInArrow(run, schema)
 
 
-_PASSAGE = ["doc_id", "text_key", "start_word", "n_words", "first_doc_id", "first_start_word"]
+_PASSAGE = [*_TEXT, "start_word", "n_words", "first_no_id", "first_doc_id", "first_start_word"]
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
+def without_passages(docs: DataFrame, null_ids: bool = False) -> DataFrame:
     """``docs`` without the repeated passages; same columns, ``n_chars`` counted anew where it exists.
 
     Words of a passage go with the white space after them. A document of which nothing
     is left goes; documents without repeats stay as they are, whatever is null in them.
+    Rows with a null id are cut only if ``null_ids``.
     """
-    by_id, by_text, cut_name = (unused(docs, n) for n in ("_by_id", "_by_text", "_cuts"))
+    *by, cut_name = (unused(docs, n) for n in ("_by_null", "_by_id", "_by_text", "_cuts"))
     cuts = (
-        repeated_passages(docs)
-        .groupBy(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_text))
+        _passages(docs, null_ids)
+        .groupBy(*(F.col(n).alias(b) for n, b in zip(_TEXT, by)))
         .agg(F.collect_list(F.struct("start_word", "n_words")).alias(cut_name))
     )
-    tagged = docs.select("*", F.col("doc_id").cast("long").alias(by_id), F.hash("text").alias(by_text))
-    joined = tagged.join(cuts, [by_id, by_text], "left")
+    tagged = docs.select("*", *(c.alias(b) for c, b in zip(_text_key(), by)))
+    joined = tagged.join(cuts, by, "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

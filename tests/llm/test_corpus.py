@@ -295,6 +295,46 @@ def test_without_passages(spark):
     assert substrings.without_passages(documents(spark, [])).count() == 0
 
 
+def without_some_ids():
+    """Passages of which two in three rows have no id, and the numbers by which those stand behind the others."""
+    import xxhash
+
+    rows = [(None if i % 3 else i, t) for i, t in passages()]
+    late = sorted((xxhash.xxh64(t.encode(), 42).intdigest() + 2**63) % 2**64 for i, t in rows if i is None)
+    place = lambda t: 1000 + late.index((xxhash.xxh64(t.encode(), 42).intdigest() + 2**63) % 2**64)
+    return rows, [(place(t) if i is None else i, t) for i, t in rows]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_passages_of_rows_without_id(spark, partitions):
+    rows, numbered = without_some_ids()
+    want = plain_repeats(numbered)
+    docs = documents(spark, rows)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    listed = read(substrings.repeated_passages(docs, null_ids=True))
+    cut = Counter((r["doc_id"], *r["text"].split()) for r in read(substrings.without_passages(docs, null_ids=True)))
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = {(r["doc_id"], r["k"]): r["text"] for r in read(docs.select("doc_id", "text", F.hash("text").alias("k")))}
+    number = {row: n for row, (n, _) in zip(rows, numbered)}
+    got = defaultdict(set)
+    for r in listed:
+        got[number[r["doc_id"], keys[r["doc_id"], r["text_key"]]]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    assert dict(got) == want and any(n >= 1000 for n in want)
+    assert any(r["first_doc_id"] is None for r in listed)
+    left = [(i, t.split(), [w for k, w in enumerate(t.split()) if k not in want.get(n, ())]) for (i, t), (n, _) in zip(rows, numbered)]
+    assert cut == Counter((i, *rest) for i, words, rest in left if rest or not words)
+
+
+def test_registered_passages_take_rows_without_id(spark, tmp_path):
+    docs = documents(spark, [(1, f"A first. {PASSAGE} tail"), (None, f"head {PASSAGE} kept"), (None, PASSAGE), (None, None)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(r["doc_id"] for r in read(queries.suffix_dedup(spark, str(tmp_path)))) == {None: 2}
+    got = read(corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, f"A first. {PASSAGE} tail"): 1, (None, "head kept"): 1, (None, None): 1}
+
+
 # --- pipeline --------------------------------------------------------------
 
 
