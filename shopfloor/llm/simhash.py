@@ -15,6 +15,8 @@ from shopfloor.llm.common import bytes_of, row_key, unused, written
 
 #: Fingerprints of the sample that builds the tree, at most about so many; sample points in a shard.
 MOST_SAMPLED, SHARD_SAMPLE, SAMPLE_SHARE = 1_000_000, 32, 64
+#: The sample is at most one in so many fingerprints, however few there are; one shard serves where it is too small to split.
+LEAST_EVERY = 2
 #: Points that are compared all with all; a larger shard is split further.
 LEAF = 512
 
@@ -177,7 +179,7 @@ def _probed(points: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def links(distinct: DataFrame, bits: int) -> DataFrame:
     """``u``, ``v`` (u > v): links between distinct fingerprints ``fp`` that span all their components."""
     total = distinct.count()
-    every = max(1, total // min(MOST_SAMPLED, max(2048, total // SAMPLE_SHARE)))
+    every = max(LEAST_EVERY, total // min(MOST_SAMPLED, max(2048, total // SAMPLE_SHARE)))
     picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").collect()
     tree = Tree(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), bits)
 

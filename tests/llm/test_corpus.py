@@ -187,6 +187,20 @@ def test_tree_brings_linked_points_together():
             assert homes[p] & homes[q]
 
 
+def test_vantage_points_are_a_share_at_all_sizes(spark, monkeypatch):
+    sizes, tree = [], simhash.Tree
+    monkeypatch.setattr(simhash, "Tree", lambda sample, bits: sizes.append(len(sample)) or tree(sample, bits))
+    for n in (1, 40, 3000):
+        points = clustered(random.Random(n), n, 1)
+        distinct = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in points], "fp long")
+        got = {(r["u"] % 2**64, r["v"] % 2**64) for r in read(simhash.links(distinct, 2))}
+        assert sizes.pop() <= max(1, 0.6 * n)
+        assert not got
+    links = read(simhash.links(spark.createDataFrame([(5,), (4,), (6,), (-1,)], "fp long"), 2))
+    of = {4: {5, 6}, 5: {4, 6}, 6: {4, 5}}
+    assert len(links) == 2 and all(r["v"] in of[r["u"]] for r in links)
+
+
 def test_connected_follows_long_chains(spark):
     rng = random.Random(1)
     chain = [(i + 1, i) for i in range(100)] + [(200 + i, 200) for i in range(1, 50)] + [(301, 300)]
