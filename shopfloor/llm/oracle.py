@@ -68,3 +68,63 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and 100 * (n_words - n_words_left) <= 50 * n_words as kept, n_failed_lines, n_words_left
 from verdict
 """
+
+AUDIT_SQL = r"""
+with docs as (
+  select d.doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+    coalesce(l.quality, 0) = 1 as good, coalesce(l.toxic, 0) = 1 as toxic
+  from documents d left join (
+    select doc_id, max(case when quality = 1 then 1 else 0 end) as quality, max(case when toxic = 1 then 1 else 0 end) as toxic
+    from labels group by doc_id
+  ) l using (doc_id)
+), split as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as least from docs
+), failed as (
+  select part, good, toxic,
+    case when len(w) < 200 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when doc_id > least then 'E' else '' end as f
+  from split
+), counted as (
+  select part, f, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failed group by part, f
+), letter(x) as (
+  values ('A'), ('B'), ('C'), ('D'), ('E')
+), orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order
+  from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps as (
+  select filter_order, step::int as step, substr(filter_order, step, 1) as x, left(filter_order, step - 1) as earlier
+  from orders, generate_series(1, 5) g(step)
+), met as (
+  select part, filter_order, step, x, n, good, toxic, f, contains(f, x) as fails,
+    len(list_filter(string_split(earlier, ''), lambda y: y <> '' and contains(f, y))) > 0 as gone
+  from counted, steps
+), report as (
+  select part, filter_order, step, x,
+    coalesce(sum(n) filter (not gone and not fails), 0) as kept,
+    coalesce(sum(n) filter (not gone and fails), 0) as removed,
+    coalesce(sum(n) filter (gone and fails), 0) as redundant,
+    coalesce(sum(n) filter (f = x), 0) as unique_fails,
+    coalesce(sum(good) filter (not gone and fails), 0) as good_lost,
+    coalesce(sum(toxic) filter (not gone and fails), 0) as toxic_lost
+  from met group by part, filter_order, step, x
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, x))::bigint as shapley
+from report
+"""
+
+DEDUP_SQL = r"""
+with docs as (
+  select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents
+), ranked as (
+  select doc_id, body, row_number() over same as place, first_value(doc_id) over same as keep_id,
+    count(*) over (partition by body) as group_size
+  from docs window same as (partition by body order by length(t) desc, doc_id nulls last, t)
+)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) as text_sha256 from ranked
+"""

@@ -9,8 +9,22 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.llm import encoding, language, licenses, packing, quality, secret_scan, simhash, substrings, token_counts, topk
-from shopfloor.llm.oracle import QUALITY_SQL, TOPK_SQL
+from shopfloor.llm import (
+    encoding,
+    exact_dedup,
+    filter_audit,
+    language,
+    licenses,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    spelling,
+    substrings,
+    token_counts,
+    topk,
+)
+from shopfloor.llm.oracle import AUDIT_SQL, DEDUP_SQL, QUALITY_SQL, TOPK_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +109,19 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), SHINGLE_WORDS, MAX_BITS)
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_documents(spark, sf_dir)))
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    return filter_audit.filter_audit(_documents(spark, sf_dir), labels, F.col("source"))
+
+
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_documents(spark, sf_dir)).drop("text_key")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": license_scan,
@@ -107,9 +134,17 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": token_count,
         "op9_secret_scan": secret_findings,
         "op10_simhash": simhash_components,
+        "op11_spelling_variants": spelling_variants,
+        "op12_filter_audit": filter_interactions,
+        "op13_exact_dedup": exact_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say the same; the tests hold the others against brute force or the libraries."""
-    return {"op5_quality_rules": QUALITY_SQL, "op7_top_k": TOPK_SQL}
+    return {
+        "op5_quality_rules": QUALITY_SQL,
+        "op7_top_k": TOPK_SQL,
+        "op12_filter_audit": AUDIT_SQL,
+        "op13_exact_dedup": DEDUP_SQL,
+    }

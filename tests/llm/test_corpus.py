@@ -26,7 +26,7 @@ def test_registered():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names if n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n[2].isdigit()} == set(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
