@@ -37,6 +37,8 @@ PLANT_JOB = ["Company", "Plant", "JobNum"]
 
 
 HAS_JOB = "JobNum <> ''"
+# Rejects without a purchase or material line.
+REJECTED = "PONum = 0 and MtlSeq = 0"
 # The true-up leaves nothing in a closed job.
 STILL_OPEN = "not coalesce(JobClosed, false)"
 
@@ -48,16 +50,7 @@ def _rounded_sums(amounts: dict[str, str]) -> list[Column]:
 # --- job cost ---------------------------------------------------------------
 
 
-def of_jobs(rows: DataFrame, jobs: DataFrame | None) -> DataFrame:
-    """Rows of the given jobs, all without any given.
-
-    Belongs above a fold: sums are compared, not raw rows, and a short list of jobs is
-    pushed below the fold by Spark.
-    """
-    return rows if jobs is None else rows.join(jobs, JOB, "left_semi")
-
-
-def _cost_rows(erp: Erp, heads: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+def _cost_rows(erp: Erp, heads: DataFrame) -> DataFrame:
     """Cost per job and plant with the columns of ``heads``."""
     costs = (
         erp["JobAsmbl"]
@@ -67,7 +60,7 @@ def _cost_rows(erp: Erp, heads: DataFrame, jobs: DataFrame | None = None) -> Dat
             F.min("StartDate").alias("JobScheduledOn"),
         )
     )
-    return of_jobs(costs, jobs).join(heads, JOB)
+    return costs.join(heads, JOB)
 
 
 def job_cost(erp: Erp) -> DataFrame:
@@ -85,7 +78,7 @@ def _amounts(quantity: str, prefix: str, cost: str) -> list[Column]:
     return _rounded_sums({f"{prefix}{b}": f"{quantity} * {cost.format(b)}" for b in BUCKETS})
 
 
-def _until(day: date) -> str:
+def until(day: date) -> str:
     return f"TranDate <= date '{day.isoformat()}'"
 
 
@@ -96,22 +89,22 @@ def _transaction_cost(erp: Erp, tran_type: str, condition: str) -> DataFrame:
 
 def inventory_cost(erp: Erp, report_date: date) -> DataFrame:
     """Cost moved to stock until the report date."""
-    return _transaction_cost(erp, TO_STOCK, f"{HAS_JOB} and {_until(report_date)}")
+    return _transaction_cost(erp, TO_STOCK, f"{HAS_JOB} and {until(report_date)}")
 
 
 def cogs_cost(erp: Erp, cutoff: date = COST_CUTOFF) -> DataFrame:
     """Cost of goods sold until the cut-off date."""
-    return _transaction_cost(erp, TO_CUSTOMER, _until(cutoff))
+    return _transaction_cost(erp, TO_CUSTOMER, until(cutoff))
 
 
 def mfg_variance(erp: Erp, cutoff: date = COST_CUTOFF) -> DataFrame:
     """Manufacturing variance until the cut-off date."""
-    return _transaction_cost(erp, TO_VARIANCE, _until(cutoff))
+    return _transaction_cost(erp, TO_VARIANCE, until(cutoff))
 
 
 def dmr_cost(erp: Erp) -> DataFrame:
     """Cost of rejected material, for reports without a purchase or material line."""
-    rows = erp["DMRHead"].filter("PONum = 0 and MtlSeq = 0")
+    rows = erp["DMRHead"].filter(REJECTED)
     rejected = "(TotDiscrepantQty - TotAcceptedQty)"
     return rows.groupBy(PLANT_JOB).agg(*_amounts(rejected, "DMR", "Avg{}UnitCost"))
 
@@ -119,7 +112,7 @@ def dmr_cost(erp: Erp) -> DataFrame:
 def part_tran_consolidated(erp: Erp, report_date: date) -> DataFrame:
     """The three transaction sums side by side from one pass; no transaction gives 0."""
     rows = erp["PartTran"].filter(
-        f"{HAS_JOB} and TranType in {tuple(TAKEN_OUT)} and {_until(report_date)}"
+        f"{HAS_JOB} and TranType in {tuple(TAKEN_OUT)} and {until(report_date)}"
     )
     sums = {
         f"{prefix}{b}": f"if(TranType = '{tran_type}', TranQty * {b}UnitCost, 0)"
@@ -129,68 +122,54 @@ def part_tran_consolidated(erp: Erp, report_date: date) -> DataFrame:
     return rows.groupBy(PLANT_JOB).agg(*_rounded_sums(sums))
 
 
-def _total_of(names: list[str]) -> str:
-    return " + ".join(f"coalesce({name}, 0)" for name in names)
-
-
-def _transactions_by_job(
-    erp: Erp, report_date: date, cutoff: date, amounts: list[str], jobs: DataFrame | None
-) -> DataFrame:
+def _transactions_by_job(erp: Erp, report_date: date, cutoff: date) -> DataFrame:
     """Per job and transaction type the list of plant sums, from one pass.
 
     The lists are built from sums per plant, so their length is the number of
     plants at which a job has transactions.
     """
-    to_stock = f"TranType = '{TO_STOCK}' and {HAS_JOB} and {_until(report_date)}"
-    other = f"TranType in {(TO_CUSTOMER, TO_VARIANCE)} and {_until(cutoff)}"
+    to_stock = f"TranType = '{TO_STOCK}' and {HAS_JOB} and {until(report_date)}"
+    other = f"TranType in {(TO_CUSTOMER, TO_VARIANCE)} and {until(cutoff)}"
     sums = (
         erp["PartTran"]
         .filter(f"({to_stock}) or ({other})")
         .groupBy(*PLANT_JOB, "TranType")
         .agg(*_amounts("TranQty", "", "{}UnitCost"))
-        .selectExpr("*", f"{_total_of(BUCKETS)} as Total")
     )
 
     def plants(tran_type: str, prefix: str) -> Column:
-        values = ", ".join(f"{a} as {prefix}{a}" for a in amounts)
+        values = ", ".join(f"{a} as {prefix}{a}" for a in BUCKETS)
         sql = f"collect_list(if(TranType = '{tran_type}', struct({values}), null))"
         return F.expr(sql).alias(prefix)
 
-    return of_jobs(sums, jobs).groupBy(JOB).agg(*[plants(t, p) for t, p in TAKEN_OUT.items()])
+    return sums.groupBy(JOB).agg(*[plants(t, p) for t, p in TAKEN_OUT.items()])
 
 
 # --- combination ------------------------------------------------------------
 
 
-def _combine(
-    costs: DataFrame,
-    erp: Erp,
-    report_date: date,
-    cutoff: date,
-    amounts: list[str],
-    jobs: DataFrame | None = None,
-) -> DataFrame:
-    """``costs`` with the ``amounts`` taken out of each job, 0 where nothing was.
+def _combine(costs: DataFrame, erp: Erp, report_date: date, cutoff: date) -> DataFrame:
+    """``costs`` with the amounts taken out of each job, 0 where nothing was.
 
     Jobs are matched without their plant: a job with transactions at several
     plants gets one row per combination.
     """
-    rows = costs.join(_transactions_by_job(erp, report_date, cutoff, amounts, jobs), JOB, "left")
+    rows = costs.join(_transactions_by_job(erp, report_date, cutoff), JOB, "left")
     kept = list(costs.columns)
     lists = list(TAKEN_OUT.values())
     for prefix in TAKEN_OUT.values():
         lists.remove(prefix)
         rows = rows.selectExpr(*kept, *lists, f"inline_outer({prefix})")
-        kept += [f"{prefix}{a}" for a in amounts]
-    rejects = of_jobs(dmr_cost(erp), jobs).selectExpr("*", f"{_total_of([f'DMR{b}' for b in BUCKETS])} as DMRTotal")
-    rows = rows.join(rejects.select(*JOB, *[f"DMR{a}" for a in amounts]), JOB, "left")
-    taken = [f"{p}{a}" for p in (*TAKEN_OUT.values(), "DMR") for a in amounts]
+        kept += [f"{prefix}{b}" for b in BUCKETS]
+    rejects = dmr_cost(erp)
+    rows = rows.join(rejects.select(*JOB, *[f"DMR{b}" for b in BUCKETS]), JOB, "left")
+    taken = [f"{p}{b}" for p in (*TAKEN_OUT.values(), "DMR") for b in BUCKETS]
     return rows.selectExpr(*costs.columns, *[f"coalesce({name}, 0) as {name}" for name in taken])
 
 
 def cost_combine(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) -> DataFrame:
     """Job cost next to inventory, sales, variance and reject cost."""
-    return _combine(job_cost(erp), erp, report_date, cutoff, BUCKETS)
+    return _combine(job_cost(erp), erp, report_date, cutoff)
 
 
 def _left_over(bucket: str) -> str:
@@ -210,7 +189,7 @@ def variance_true_up(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) ->
     return _true_up(cost_combine(erp, report_date, cutoff)).drop("JobClosed")
 
 
-def _reported_heads(erp: Erp, with_part: bool) -> DataFrame:
+def reported_heads(erp: Erp) -> DataFrame:
     """Firm jobs that are not cleared, with the part and planner of their own plant."""
     heads = erp["JobHead"].filter(FIRM_NOT_CLEARED).selectExpr(
         *JOB,
@@ -224,47 +203,22 @@ def _reported_heads(erp: Erp, with_part: bool) -> DataFrame:
     planned = erp["PartPlant"].selectExpr(
         "Company", "PartNum", "Plant", "PersonID as Planner", "PartNum as _planned"
     )
+    parts = erp["ErpPart"].withColumnRenamed("PartNum", "_planned")
     rows = heads.join(planned, ["Company", "PartNum", "Plant"], "left")
-    if with_part:
-        parts = erp["ErpPart"].withColumnRenamed("PartNum", "_planned")
-        rows = rows.join(parts, ["Company", "_planned"], "left")
+    rows = rows.join(parts, ["Company", "_planned"], "left")
     return rows.withColumn("PartNum", F.expr("coalesce(_planned, '')")).drop("_planned")
 
 
-def reported_jobs(erp: Erp, company_id: str) -> DataFrame:
-    """Keys of the jobs that can have work in process left: firm, open, not cleared, visible."""
-    heads = erp["JobHead"].filter(f"{FIRM_NOT_CLEARED} and {STILL_OPEN}")
-    return company_visibility(heads, company_id).select(JOB)
-
-
-def _home_costs(erp: Erp, heads: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Cost of the jobs in ``heads`` at the plant of the job itself."""
-    heads = heads.withColumnRenamed("Plant", "_home")
-    return _cost_rows(erp, heads, jobs).filter("Plant = _home").drop("_home")
+# What a job needs for work in process to be reported, but for the session that asks.
+REPORTED = f"{FIRM_NOT_CLEARED} and {STILL_OPEN}"
 
 
-def _wip_rows(
-    erp: Erp,
-    report_date: date,
-    company_id: str,
-    cutoff: date,
-    amounts: list[str],
-    jobs: DataFrame | None = None,
-) -> DataFrame:
-    heads = _reported_heads(erp, with_part=True)
-    if jobs is not None:
-        heads = company_visibility(heads, company_id).filter(STILL_OPEN)
-    costs = _home_costs(erp, heads, jobs)
-    rows = _true_up(_combine(costs, erp, report_date, cutoff, amounts, jobs))
-    return rows.selectExpr(
-        *[c for c in rows.columns if c != "ProdCode"],
-        "coalesce(ProdCode, '') as ProdCode",
-        f"if({company_visible(company_id)}, 1, 0) as Visible",
-        *[f"round({_left_over(b)}, 2) as {WIP_AMOUNTS[b]}" for b in BUCKETS],
-    )
+def reported_jobs(erp: Erp, company_id: str) -> DataFrame:
+    """Keys of the jobs that can have work in process left: firm, open, not cleared, visible."""
+    return company_visibility(erp["JobHead"].filter(REPORTED), company_id).select(JOB)
 
 
-_WIP_COLUMNS = [
+WIP_COLUMNS = [
     *PLANT_JOB,
     "JobClosed",
     "ClosedDate",
@@ -281,54 +235,17 @@ def wip_buckets(
     erp: Erp, report_date: date, company_id: str, cutoff: date = COST_CUTOFF
 ) -> DataFrame:
     """Work in process per job in five buckets, with part, planner and visibility."""
-    rows = _wip_rows(erp, report_date, company_id, cutoff, BUCKETS)
-    return rows.select(*_WIP_COLUMNS, "WIPCleared", "Visible")
+    heads = reported_heads(erp).withColumnRenamed("Plant", "_home")
+    costs = _cost_rows(erp, heads).filter("Plant = _home").drop("_home")
+    rows = _true_up(_combine(costs, erp, report_date, cutoff))
+    return rows.selectExpr(
+        *[c for c in rows.columns if c != "ProdCode"],
+        "coalesce(ProdCode, '') as ProdCode",
+        f"if({company_visible(company_id)}, 1, 0) as Visible",
+        *[f"round({_left_over(b)}, 2) as {WIP_AMOUNTS[b]}" for b in BUCKETS],
+    ).select(*WIP_COLUMNS, "WIPCleared", "Visible")
 
 
 def company_visibility(rows: DataFrame, company_id: str) -> DataFrame:
     """The rows a session of ``company_id`` may see."""
     return rows.filter(company_visible(company_id))
-
-
-def _job_total() -> str:
-    return " + ".join(name for _, name in JOB_AMOUNTS.values())
-
-
-def _remaining() -> str:
-    """What is left in a job over all buckets, before the true-up."""
-    return " - ".join(["JobTotal", *[f"{p}Total" for p in (*TAKEN_OUT.values(), "DMR")]])
-
-
-def wip_total(
-    erp: Erp, report_date: date, company_id: str, cutoff: date = COST_CUTOFF
-) -> DataFrame:
-    """Visible jobs that are not cleared and whose total work in process is not zero.
-
-    Closed, cleared and hidden jobs are dropped before amounts are combined.
-    The filter works on totals kept next to the buckets, not on the sum of the
-    five bucket expressions, which is far costlier to plan.
-    """
-    jobs = reported_jobs(erp, company_id)
-    rows = _wip_rows(erp, report_date, company_id, cutoff, [*BUCKETS, "Total"], jobs)
-    total = " + ".join(WIP_AMOUNTS[b] for b in BUCKETS)
-    return (
-        rows.selectExpr("*", f"{_job_total()} as JobTotal")
-        .filter(f"{_remaining()} <> 0")
-        .selectExpr(*_WIP_COLUMNS, f"{total} as WIPTotal")
-    )
-
-
-def open_wip_total(
-    erp: Erp, report_date: date, company_id: str, cutoff: date = COST_CUTOFF
-) -> DataFrame:
-    """``wip_total`` for the report: company, job, part and total only.
-
-    Closed and hidden jobs are dropped before their costs are looked up, amounts
-    travel as totals, and columns the report does not show are not joined.
-    """
-    heads = company_visibility(_reported_heads(erp, with_part=False), company_id)
-    jobs = reported_jobs(erp, company_id)
-    costs = _home_costs(erp, heads.filter(STILL_OPEN), jobs)
-    costs = costs.selectExpr(*JOB, "PartNum", f"{_job_total()} as JobTotal")
-    rows = _combine(costs, erp, report_date, cutoff, ["Total"], jobs)
-    return rows.selectExpr(*JOB, "PartNum", f"{_remaining()} as WIPTotal").filter("WIPTotal <> 0")

@@ -338,15 +338,20 @@ def evidence_rows(
     how: str = "left",
     facts: DataFrame | None = None,
     numbers: DataFrame | None = None,
+    base: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Assemblies with flags, before the open/firm rule on bookings.
 
     With ``how="full"`` bookings of assemblies that do not exist come along with
     ``Exists`` unset; the job roll-up needs them. ``numbers`` limits the jobs by
     number. Given ``facts`` (``assembly_facts``) are used whole, so that another
-    result can share them.
+    result can share them. A ``base`` given in place of ``assembly_base`` has its columns
+    and those of ``carry``, which are passed on.
     """
-    base = assembly_base(erp, mode, numbers).withColumn("Exists", F.lit(True))
+    if base is None:
+        base = assembly_base(erp, mode, numbers)
+    base = base.withColumn("Exists", F.lit(True))
     if facts is None:
         facts = _facts_of(erp, mode, _assembly_facts(erp), numbers)
     rows = base.join(facts, ASM, how)
@@ -363,6 +368,7 @@ def evidence_rows(
             f"max(LastOutside) {shared} as LastOutside",
             f"{_complete(mode)} as Complete",
             "TotalLaborHrs",
+            *carry,
         )
         absent, not_final = "cast(null as int)", "FirstPending is not null"
     else:
@@ -374,6 +380,7 @@ def evidence_rows(
             "LastOutside",
             f"{_complete(mode)} as Complete",
             "coalesce(TotalLaborHrs, 0) as TotalLaborHrs",
+            *carry,
         )
         absent, not_final = "0", "2L * FirstPending + 1 < LastOutside"
     return rows.selectExpr(
@@ -385,6 +392,7 @@ def evidence_rows(
         f"if({not_final}, 1, {absent}) as OVNotFinal",
         f"if({_has('LastOutside', 1)}, 1, {absent}) as OVFinalOrBack",
         "if(Complete, 1, 0) as DetailComplete",
+        *carry,
     ).selectExpr("*", f"{NEW_IP} as NewIP", f"{new_ip2(mode)} as NewIP2", f"{IN_PROCESS} as InProcess")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.operators.costing import of_jobs
 from shopfloor.operators.evidence import Erp
 from shopfloor.schemas import JOB
 
@@ -14,7 +13,7 @@ LINE = [*ORDER, "OrderLine"]
 RELEASE = [*LINE, "OrderRelNum"]
 
 
-def _open_lines(erp: Erp) -> DataFrame:
+def open_lines(erp: Erp) -> DataFrame:
     """Quantity still to ship and unit price of every order release behind a job.
 
     The order tables are joined first, from the head down, so that the long list
@@ -30,17 +29,8 @@ def _open_lines(erp: Erp) -> DataFrame:
 def open_order_value(erp: Erp) -> DataFrame:
     """Quantity still to ship and its value, per job and unit price."""
     return (
-        _open_lines(erp)
+        open_lines(erp)
         .groupBy(*JOB, "UnitPrice")
         .agg(F.sum("Remaining").alias("RemainQty"))
         .selectExpr(*JOB, "UnitPrice", "RemainQty", "RemainQty * UnitPrice as OpenValue")
     )
-
-
-def open_value_per_job(erp: Erp, jobs: DataFrame | None = None) -> DataFrame:
-    """Value still to ship per job: the sum over its unit prices, from one grouping.
-
-    ``jobs`` limits the result; a short list reaches the order lines by Spark's own pushdown.
-    """
-    values = _open_lines(erp).groupBy(JOB).agg(F.expr("sum(Remaining * UnitPrice)").alias("OpenValue"))
-    return of_jobs(values, jobs)

@@ -8,7 +8,7 @@ and a result row carries the number of equal rows it stands for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.constants import LEGACY, OPEN_FIRM
@@ -44,6 +44,40 @@ def asm_status(statuses: DataFrame) -> DataFrame:
     return statuses.filter("AssemblySeq <> 0 and DetailComplete = 0").select("JobNum", "Status")
 
 
+def level_sums(bookings: bool = False, weight: str = "1L") -> dict[str, str]:
+    """What ``roll_up`` knows of a job from rows of its assemblies, as SQL aggregates."""
+    here, booked = ("Exists", "Booked") if bookings else ("true", "true")
+    unfinished = f"{here} and {booked} and AssemblySeq <> 0 and DetailComplete = 0"
+
+    def number(condition: str) -> str:
+        return f"sum(if({condition}, {weight}, 0L))"
+
+    return {
+        "TopStatus": f"max(if({here} and AssemblySeq = 0, Status, null))",
+        "Tops": number(f"{here} and AssemblySeq = 0"),
+        "BookedTops": number(f"{here} and {booked} and AssemblySeq = 0"),
+        "AnyBooked": f"max({booked})",
+        **{f"n{s}": number(f"{unfinished} and Status = {s}") for s in LEVELS},
+    }
+
+
+def shared_levels() -> list[str]:
+    """Unfinished assemblies by level, shared by the companies that use a job number: one row per company in each window."""
+    return [f"sum(n{s}) over (partition by JobNum) as n{s}" for s in LEVELS]
+
+
+def statuses_of_levels(mode: str) -> str:
+    """The statuses of a job with their copies, as a SQL array over ``TopStatus``, ``Tops`` and the levels."""
+    levels = ", ".join(f"struct({s} as level, n{s} as n)" for s in LEVELS)
+    alone = "array(struct(cast(null as int) as level, 1L as n))"
+    found = f"filter(array({levels}), x -> x.n > 0)"
+    status = f"cast({combined_status('TopStatus', 'x.level', mode)} as int)"
+    return (
+        f"transform(if(exists(array({levels}), x -> x.n > 0), {found}, {alone}),"
+        f" x -> struct({status} as Status, Tops * x.n as {COPIES}))"
+    )
+
+
 def roll_up(rows: DataFrame, mode: str, bookings: bool = False, weight: str = "1L") -> DataFrame:
     """Job statuses as a counted bag: Company, JobNum, Status, Copies.
 
@@ -52,37 +86,12 @@ def roll_up(rows: DataFrame, mode: str, bookings: bool = False, weight: str = "1
     number of assemblies a row stands for. A job number shared by companies shares
     its unfinished assemblies.
     """
-    here, booked = ("Exists", "Booked") if bookings else ("true", "true")
-    unfinished = f"{here} and {booked} and AssemblySeq <> 0 and DetailComplete = 0"
-
-    def number(condition: str, name: str) -> Column:
-        return F.expr(f"sum(if({condition}, {weight}, 0L))").alias(name)
-
-    per_job = rows.groupBy(JOB).agg(
-        F.expr(f"max(if({here} and AssemblySeq = 0, Status, null))").alias("TopStatus"),
-        number(f"{here} and AssemblySeq = 0", "Tops"),
-        number(f"{here} and {booked} and AssemblySeq = 0", "BookedTops"),
-        F.expr(f"max({booked})").alias("AnyBooked"),
-        *[number(f"{unfinished} and Status = {s}", f"n{s}") for s in LEVELS],
-    )
-    # One row per company in each window.
+    sums = level_sums(bookings, weight)
+    per_job = rows.groupBy(JOB).agg(*[F.expr(sql).alias(name) for name, sql in sums.items()])
     found = per_job.selectExpr(
-        *JOB,
-        "TopStatus",
-        "if(AnyBooked, BookedTops, Tops) as Tops",
-        *[f"sum(n{s}) over (partition by JobNum) as n{s}" for s in LEVELS],
+        *JOB, "TopStatus", "if(AnyBooked, BookedTops, Tops) as Tops", *shared_levels()
     ).filter("Tops > 0")
-    levels = ", ".join(f"struct({s} as level, n{s} as n)" for s in LEVELS)
-    alone = "array(struct(cast(null as int) as level, 1L as n))"
-    return (
-        found.selectExpr(*JOB, "TopStatus", "Tops", f"filter(array({levels}), x -> x.n > 0) as found")
-        .selectExpr(*JOB, "TopStatus", "Tops", f"inline(if(size(found) > 0, found, {alone}))")
-        .selectExpr(
-            *JOB,
-            f"cast({combined_status('TopStatus', 'level', mode)} as int) as Status",
-            f"Tops * n as {COPIES}",
-        )
-    )
+    return found.selectExpr(*JOB, f"inline({statuses_of_levels(mode)})")
 
 
 def job_status_counted(

@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM
 from shopfloor.operators import compare, evidence, status
-from shopfloor.plans.wip_report import reported_job_numbers, wip_vs_sales
+from shopfloor.functions.key_filter import may_hold
+from shopfloor.plans.wip_report import wip_total, wip_vs_job_status
 from shopfloor.schemas import ERP_SCHEMAS
 from shopfloor.sources.erp import ErpTables, erp_from_parquet
 from tests.shop import Shop
@@ -118,14 +119,65 @@ def test_short_lists_of_jobs_reach_the_scan(stored):
     assert any("LeftSemi" in line for line in above[:first])
 
 
-def test_report_drops_other_jobs_early(stored, no_broadcast):
-    """Sums are limited to the reported jobs before they are combined; fewer exchanges than the 27 before."""
-    statuses = status.job_status_counted(stored, LEGACY, numbers=reported_job_numbers(stored, "F001"))
-    lines = final_plan(wip_vs_sales(stored, statuses, date(2000, 1, 1), "F001")).splitlines()
-    assert len([x for x in lines if "Exchange hashpartitioning" in x]) < 27
-    for table in ("JobAsmbl", "PartTran", "DMRHead"):
-        for scan in scans_of(lines, table):
-            assert any("LeftSemi" in line or "Join" in line for line in ancestors(lines, scan))
+@pytest.fixture
+def fixed_plans(spark, no_broadcast):
+    """Plans as they are before any figure of the data is known."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+REPORT = (date(2000, 1, 1), "F001")
+
+
+def without_subqueries(lines: list[str]) -> list[str]:
+    """The lines of a tree that do not hang below a subquery."""
+    found, below = [], None
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if below is not None and depth > below:
+            continue
+        below = depth if re.search(r"[+:]- (Reused)?Subquery ", line) else None
+        if below is None:
+            found.append(line)
+    return found
+
+
+def test_report_reads_and_moves_little(stored, fixed_plans):
+    """Heads and facts are read once (transactions for issues and for cost), the open jobs once more for the filter."""
+    lines = plan(wip_vs_job_status(stored, *REPORT)).splitlines()
+    report = without_subqueries(lines)
+    assert len(scans_of(report, "JobHead")) == 1 and len(scans_of(lines, "JobHead")) == 2
+    for table in ("JobAsmbl", "JobOper", "PORel", "LaborDtl", "DMRHead", "JobProd"):
+        assert len(scans_of(report, table)) == 1
+    assert len(scans_of(report, "PartTran")) == 2
+    assert len([x for x in report if re.search(r"(?<!Reused)Exchange ", x)]) < 20
+    assert not any("CartesianProduct" in x or "NestedLoop" in x for x in lines)
+
+
+@pytest.mark.parametrize("build", [wip_vs_job_status, wip_total])
+def test_long_lists_of_jobs_reach_the_scans(stored, fixed_plans, build):
+    """Where the list of jobs cannot be broadcast, a filter of its bits stands where facts are read, below any exchange."""
+    lines = plan(build(stored, *REPORT)).splitlines()
+    report = without_subqueries(lines)
+    tables = ("PartTran", "JobAsmbl", "DMRHead", *(("LaborDtl", "JobOper", "JobProd") if build is wip_vs_job_status else ()))
+    for table in tables:
+        for scan in scans_of(report, table):
+            above = ancestors(report, scan)
+            first = next(i for i, line in enumerate(above) if "Exchange" in line)
+            assert any("getbit" in line for line in above[:first])
+    # what the filter lets through beyond the list is dropped by the flag of the exact job heads
+    assert any("Filter" in x and ("Reported" in x or "Head" in x) for x in report)
+
+
+def test_filter_never_drops_a_key(spark):
+    keys = spark.range(3000).selectExpr("concat('J', id) as JobNum", "1 as more")
+    rows = spark.range(60_000).selectExpr("concat('J', id) as JobNum").union(spark.createDataFrame([(None,)], "JobNum string"))
+    for bits in (64, 1 << 16, 1 << 20):
+        found = rows.where(may_hold(keys, "JobNum", bits))
+        assert found.join(keys, "JobNum").count() == 3000
+        assert bits == 64 or found.count() < 0.07 * 60_000
+    assert rows.where(may_hold(keys.limit(0), "JobNum")).isEmpty()
 
 
 def test_unknown_rule_set(stored):
