@@ -80,7 +80,38 @@ def _status() -> dict[str, str]:
     legacy = job_status(LEGACY)
     one_row = "select Company, JobNum, min(Status) as Status from {}_job group by Company, JobNum"
     both = {**legacy, **job_status(OPEN_FIRM)}
+    cache = {"cache_old": one_row.format("o"), "cache_new": one_row.format("l")}
     return {
+        "status_cache_delta": query(
+            """select coalesce(o.Company, n.Company) as Company, coalesce(o.JobNum, n.JobNum) as JobNum,
+            case when o.JobNum is null then 'new' when n.JobNum is null then 'gone'
+                when o.Status is not distinct from n.Status then 'unchanged' else 'changed' end as Change,
+            o.Status as OldCode, n.Status as NewCode
+            from cache_old o full join cache_new n on n.Company = o.Company and n.JobNum = o.JobNum""",
+            both,
+            cache,
+        ),
+        "status_row_number": query(
+            """select Company, JobNum, Status,
+            row_number() over (order by Company, JobNum, Status nulls first) as RowNum from l_job""",
+            legacy,
+        ),
+        "job_status_case": query(
+            """select j.Company, j.JobNum, coalesce((select max(s.Status) from l_status s
+                where s.Company = j.Company and s.JobNum = j.JobNum), 0) as JobStatus
+            from JobHead j where j.JobFirm and not j.WIPCleared""",
+            legacy,
+        ),
+        "last_ov_lookup_legacy": query(
+            """select o.Company, o.JobNum, o.AssemblySeq, o.OprSeq, l.LastOVOp, r.PONum, r.POLine, r.PORelNum,
+            true as OpenRelease
+            from l_ops o left join l_last l on l.JobNum = o.JobNum and l.AssemblySeq = o.AssemblySeq
+                and o.OprSeq <> l.LastOVOp
+            join open_rel r on r.Company = o.Company and r.JobNum = o.JobNum
+                and r.AssemblySeq = o.AssemblySeq and r.OprSeq = o.OprSeq
+            where o.SubContract and not o.OpComplete and o.OpCode not in ('OMC-OVOP', 'OMP-OVOP')""",
+            legacy,
+        ),
         "labor_summary": query(
             f"""select Company, JobNum, AssemblySeq, cast(sum(LaborHrs) as {MONEY}) as TotalLaborHrs,
             cast(sum(LaborQty) as {MONEY}) as TotalLaborQty from LaborDtl group by all"""
@@ -165,9 +196,9 @@ def _costing() -> dict[str, str]:
             f"select {keys}, {_money(*taken['Inv'], *taken['COGS'], *taken['VAR'])} from consolidated",
             sums,
         ),
-        "cost_combine": query(
+        **dict.fromkeys(["cost_combine", "cost_combine_clustered"], query(
             f"select {keys}, JobClosed, {dates}, {_money(*everything)} from combined", sums
-        ),
+        )),
         "variance_true_up": query(f"select {keys}, {dates}, {_money(*everything)} from trued_up", sums),
         "wip_buckets": query(f"select {keys}, WIPCleared, {part}, {_money(*wips)}, Visible from buckets", final),
         "company_visibility": query(
@@ -177,12 +208,12 @@ def _costing() -> dict[str, str]:
             "select Company, JobNum, Plant from JobHead where Company = 'F201'"
         ),
         "wip_total": query(f"select {keys}, {part}, {_money(*wips, 'WIPTotal')} from totals", final),
-        "open_order_value": query(
+        **dict.fromkeys(["open_order_value", "open_order_value_clustered"], query(
             f"""select Company, JobNum, cast(UnitPrice as decimal(18,4)) as UnitPrice,
             {_money("RemainQty", "OpenValue")} from open_value""",
             final,
-        ),
-        "wip_vs_sales": query(shown, legacy, final, report("l_job")),
+        )),
+        **dict.fromkeys(["wip_vs_sales", "wip_vs_sales_sql"], query(shown, legacy, final, report("l_job"))),
         "wip_vs_sales_one_status": query(shown, legacy, one, final, report("one_row")),
         "wip_vs_sales_from_cache": query(shown, legacy, one, final, report("one_row")),
         "wip_vs_sales_fixed_cutoff": query(shown, legacy, literal, report("l_job")),
@@ -254,6 +285,31 @@ def _comparison() -> dict[str, str]:
             union all select 'Optimized', Status, count(*) from o_job group by Status""",
             both,
         ),
+        "validation_flow": query(
+            """select 'row counts' as Test, cast(0 as int) as LineNum, 'OriginalCount: ' || OriginalCount as Line from summary
+            union all select 'row counts', 1, 'OptimizedCount: ' || OptimizedCount from summary
+            union all select 'row counts', 2, 'Match: ' || case RowCountMatch when 'PASS' then 'YES' else 'NO' end from summary
+            union all select 'missing', 0, cast(MissingRows as varchar) from summary
+            union all select 'extra', 0, cast(ExtraRows as varchar) from summary
+            union all select 'status differences', 0, cast(StatusDifferences as varchar) from summary
+            union all select 'distribution',
+                cast(row_number() over (order by Source, Status nulls first) - 1 as int),
+                Source || ' ' || coalesce(cast(Status as varchar), 'NULL') || ': ' || n
+            from (select 'Original' as Source, Status, count(*) as n from l_job group by Status
+                union all select 'Optimized', Status, count(*) from o_job group by Status) d
+            union all select 'sample',
+                cast(row_number() over (order by Source, Company, JobNum, Status nulls first) - 1 as int),
+                Source || ' ' || Company || ' ' || JobNum || ' ' || coalesce(cast(Status as varchar), 'NULL')
+            from (""" + first.format("Original", "l_job") + " union all " + first.format("Optimized", "o_job") + """) s
+            union all select 'summary', 0, 'Row Count Match: ' || RowCountMatch from summary
+            union all select 'summary', 1, 'Missing Rows: ' || MissingRows from summary
+            union all select 'summary', 2, 'Extra Rows: ' || ExtraRows from summary
+            union all select 'summary', 3, 'Status Differences: ' || StatusDifferences from summary
+            union all select 'summary', 4, 'OVERALL RESULT: ' || OverallResult from summary""",
+            both,
+            counts,
+            summary,
+        ),
         "compare_sample": query(
             first.format("Original", "l_job") + " union all " + first.format("Optimized", "o_job"), both
         ),

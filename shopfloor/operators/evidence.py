@@ -14,6 +14,8 @@ list of jobs is pushed below them by Spark.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,6 +127,21 @@ def ov_not_final(erp: Erp, mode: str, carry: Sequence[str] = ()) -> DataFrame:
     return found.select(*match_key(mode), F.lit(1).alias("OVNotFinal"), *carry)
 
 
+def last_ov_lookup(erp: Erp, mode: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Incomplete outside operations with an open release, next to the last outside operation if they are not it.
+
+    The inequality is part of a left join: the last operation itself stays, without ``LastOVOp``, which is
+    why the legacy rules count it as not final (``ov_not_final``).
+    """
+    pending = erp["JobOper"].filter(f"{OUTSIDE} and not OpComplete").select(OPR)
+    pending = _of_assemblies(pending, erp, mode).alias("o")
+    last = last_ov_operation(erp, mode).alias("l")
+    another = reduce(and_, [F.col(f"o.{c}") == F.col(f"l.{c}") for c in match_key(mode)])
+    another &= F.col("o.OprSeq") != F.col("l.LastOVOp")
+    found = pending.join(last, another, "left").select("o.*", "LastOVOp")
+    return found.join(_releases(erp["PORel"].filter("OpenRelease"), *carry), OPR)
+
+
 def ov_final_or_back(erp: Erp, mode: str, carry: Sequence[str] = ()) -> DataFrame:
     """One row per release, open or not, of an assembly's last outside operation.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.constants import LEGACY, OPEN_FIRM
 from shopfloor.functions.bags import COPIES, expand_copies
-from shopfloor.functions.conditions import FIRM_NOT_CLEARED, combined_status, status_code
+from shopfloor.functions.conditions import FIRM_NOT_CLEARED, STATUS_FLAGS, combined_status, status_code
 from shopfloor.operators.evidence import (
     ALL_JOBS,
     Erp,
@@ -25,6 +25,7 @@ from shopfloor.operators.evidence import (
     last_ov_operation,
 )
 from shopfloor.schemas import ASM, JOB
+from shopfloor.sources.shared import kept
 
 LEVELS = range(7)
 
@@ -180,3 +181,19 @@ def job_status_exists(erp: Erp) -> DataFrame:
     )
     jobs = erp["JobHead"].filter(FIRM_NOT_CLEARED).select(JOB)
     return jobs.join(reached, JOB, "left").selectExpr(*JOB, "coalesce(Status, 0) as JobStatus")
+
+
+def job_status_case(erp: Erp) -> DataFrame:
+    """``job_status_exists`` as a CASE of EXISTS subqueries, one level a branch, in SQL over the levels reached.
+
+    The distinct levels of the assemblies are stored in the shared folder first, so the facts are folded once.
+    """
+    reached = kept(with_status(assembly_evidence(erp, LEGACY)).select(*JOB, "Status").distinct())
+    branches = "\n".join(
+        f"when exists (select 1 from {{reached}} s where s.Company = j.Company and s.JobNum = j.JobNum and s.Status = {level})"
+        f" then {level}"
+        for level in STATUS_FLAGS
+    )
+    text = f"""select Company, JobNum, case {branches} else 0 end as JobStatus
+        from {{heads}} j where not WIPCleared and JobFirm"""
+    return erp["JobHead"].sparkSession.sql(text, reached=reached, heads=erp["JobHead"])

@@ -61,19 +61,37 @@ def _runs(spark: SparkSession, path: str) -> dict[int, bool]:
         return {}
     names = [s.getPath().getName() for s in files.listStatus(folder)]
     numbers = [int(n.removeprefix(_RUN)) for n in names if n.startswith(_RUN)]
-    return {n: files.exists(jvm.org.apache.hadoop.fs.Path(_run_path(path, n), "_SUCCESS")) for n in numbers}
+    return {n: files.exists(jvm.org.apache.hadoop.fs.Path(run_path(path, n), "_SUCCESS")) for n in numbers}
 
 
-def _run_path(path: str, run: int) -> str:
+def run_path(path: str, run: int) -> str:
     return f"{path.rstrip('/')}/{_RUN}{run}"
 
 
+def committed_runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the runs below ``path`` that have been written to the end, in order."""
+    return sorted(n for n, done in _runs(spark, path).items() if done)
+
+
+def next_run(spark: SparkSession, path: str) -> int:
+    """A number above those of all runs, written to the end or not."""
+    return max(_runs(spark, path), default=0) + 1
+
+
+def delete_runs(spark: SparkSession, path: str, below: int) -> None:
+    """Delete the runs with smaller numbers."""
+    jvm, _, files = _file_system(spark, path)
+    for run in _runs(spark, path):
+        if run < below:
+            files.delete(jvm.org.apache.hadoop.fs.Path(run_path(path, run)), True)
+
+
 def read_status_cache(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest committed run, or None if there is none."""
-    committed = [n for n, done in _runs(spark, path).items() if done]
+    committed = committed_runs(spark, path)
     if not committed:
         return None
-    return spark.read.schema(STATUS_CACHE_SCHEMA).parquet(_run_path(path, max(committed)))
+    return spark.read.schema(STATUS_CACHE_SCHEMA).parquet(run_path(path, committed[-1]))
 
 
 def refresh_status_cache(
@@ -84,22 +102,16 @@ def refresh_status_cache(
     before = read_status_cache(spark, path)
     if before is not None:
         rows = merge_status_cache(before, rows)
-    run = max(_runs(spark, path), default=0) + 1
-    rows.write.mode("errorifexists").parquet(_run_path(path, run))
+    run = next_run(spark, path)
+    rows.write.mode("errorifexists").parquet(run_path(path, run))
     return read_status_cache(spark, path)
 
 
 def drop_old_runs(spark: SparkSession, path: str, keep: int = 1) -> None:
     """Delete all but the newest ``keep`` committed runs, and what older runs left unfinished."""
-    runs = _runs(spark, path)
-    committed = sorted(n for n, done in runs.items() if done)
-    if keep < 1 or not committed:
-        return
-    oldest = committed[-keep:][0]
-    jvm, _, files = _file_system(spark, path)
-    for run in runs:
-        if run < oldest:
-            files.delete(jvm.org.apache.hadoop.fs.Path(_run_path(path, run)), True)
+    committed = committed_runs(spark, path)
+    if keep >= 1 and committed:
+        delete_runs(spark, path, below=committed[-keep:][0])
 
 
 def register_job_status(statuses: DataFrame, name: str = "JobStatus") -> None:

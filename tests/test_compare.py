@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions.bags import COPIES
 from shopfloor.operators import compare
-from shopfloor.plans.validation import kept_results, validation_report
+from shopfloor.plans.validation import validation_flow, validation_report
+from shopfloor.sources.shared import Stage
 from tests.shop import bag
 
 
@@ -87,7 +88,8 @@ def test_sample(spark):
 def test_whole_validation(spark):
     rows = [("F001", "A", 1), ("F001", "B", 2)]
     original, optimized = results(spark, rows, rows[:1])
-    with kept_results(OriginalResults=original, OptimizedResults=optimized) as kept:
+    with Stage(spark) as stage:
+        kept = stage.keep(OriginalResults=original, OptimizedResults=optimized)
         report = validation_report(kept["OriginalResults"], kept["OptimizedResults"])
         assert report["missing"].first()[0] == 1
         assert report["status_differences"].isEmpty()
