@@ -96,6 +96,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class AddedStrings:
+    """Strings that a JSON file adds to its vocabulary, and texts cut at them."""
+
+    def __init__(self, data: dict):
+        added = data.get("added_tokens") or []
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        self.ids = {x["content"]: x["id"] for x in added}
+        self._names = sorted(self.ids, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, self._names)) + ")").split
+
+    def cut(self, text: str) -> list[str]:
+        """Ordinary text (even places) and added strings (odd places)."""
+        return self._split(text) if any(n in text for n in self._names) else [text]
+
+
 class JsonVocabulary:
     """Merges and added strings of a byte-level BPE file in JSON."""
 
@@ -110,18 +126,7 @@ class JsonVocabulary:
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             self.merges[ids[left] << 32 | ids[right]] = (rank, ids[left + right])
-        added = [x for x in data.get("added_tokens") or []]
-        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
-            raise ValueError("added tokens that look at their neighbours are not supported")
-        self.added = {x["content"]: x["id"] for x in added}
-
-    def cut_added(self) -> Callable[[str], list[str]]:
-        """Splits a text into ordinary text (even places) and added strings (odd places)."""
-        if not self.added:
-            return lambda text: [text]
-        names = sorted(self.added, key=len, reverse=True)
-        split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split
-        return lambda text: split(text) if any(n in text for n in names) else [text]
+        self.cut_added = AddedStrings(data).cut
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: its bytes less the merges, lowest rank first."""

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def process_wide(key: tuple, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives, made once in a Python worker process and found again by the tasks that it runs later.
+
+    Functions shipped by value get globals of their own with every task, so the place to keep it is among the
+    modules of the process.
+    """
+    place = sys.modules.setdefault("shopfloor_kept", ModuleType("shopfloor_kept")).__dict__
+    if key not in place:
+        place[key] = build()
+    return place[key]
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of columns given as in ``CREATE TABLE``."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,7 +8,8 @@ the places of their length by rank.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shopfloor.llm.bpe import CACHED_CHARS, CACHED_ENTRIES, JsonVocabulary, PieceMap, byte_letters
-from shopfloor.llm.common import texts_of, written
+from shopfloor.llm.bpe import CACHED_CHARS, CACHED_ENTRIES, AddedStrings, PieceMap, byte_letters
+from shopfloor.llm.common import process_wide, texts_of, unused, written
 
-#: Ranks within a length are worked out in so many slices of it.
-SLICES = 1024
+#: Ranks within a length are worked out in so many slices of it, in more if there are more than so many pieces for each.
+SLICES, SLICE_ROWS = 1024, 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -35,9 +37,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_str(content).model
-        vocabulary = JsonVocabulary(content)
-        self._added = {k: np.array([i], "<u4").tobytes() for k, i in vocabulary.added.items()}
-        self._cut = vocabulary.cut_added()
+        added = AddedStrings(json.loads(content))
+        self._added = {k: np.array([i], "<u4").tobytes() for k, i in added.ids.items()}
+        self._cut = added.cut
         self._letters = dict(enumerate(byte_letters()))
         self._words: dict[str, bytes] = {}
         self._pieces = PieceMap(pattern, self._of_words)
@@ -71,14 +73,17 @@ def cut(size: int, limit: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int, end_id: int) -> DataFrame:
     """Every document's ids and ``end_id``, cut into pieces of at most ``limit`` tokens.
 
-    A piece carries the CRC-32 of its ids (little-endian unsigned 32-bit). Null text is empty.
+    A piece carries the CRC-32 of its ids (little-endian unsigned 32-bit). Null text is empty and gives the
+    piece of ``end_id`` alone; texts may be of any length and are read whole; a null ``doc_id`` stays null; repeated rows
+    give repeated pieces; an empty table gives none. Only ``doc_id`` and ``text`` are read.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
+    key = ("encoder", hashlib.sha256(content.encode()).digest(), pattern)
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(content, pattern)
+        encoder = process_wide(key, lambda: Encoder(content, pattern))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
@@ -111,58 +116,51 @@ def best_fit(
     Among open bins the largest dot product of demand and used share (``rule="dot"``)
     or the smallest norm of what would be left (``rule="norm"``) wins, each with the
     weights, ties to the fuller bin. Bins in one state are one group with a count; a
-    group splits when only some of its bins are filled further.
+    group splits when only some of its bins are filled further. A length that fits no
+    empty bin is an error.
     """
+    tight = [x for x, n in histogram.items() if n and (x > limit or max_docs < 1 or x * x > max_cost)]
+    if tight:
+        raise ValueError(f"pieces of {min(tight)} tokens do not fit an empty sequence")
     groups: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     places, bins = [], 0
     capacity = np.array([limit, max_docs, max_cost], float)
     scale = np.array(weights) / np.array(weights).sum()
 
     for length in sorted((x for x, n in histogram.items() if n), reverse=True):
-        left, rank = histogram[length], 0
-        need = np.array([length, 1, length * length], float) / capacity
-
-        def open_states(states) -> list:
-            tried = [s for s in states if s[0] + length <= limit and s[1] < max_docs and s[2] + length * length <= max_cost]
-            if not tried:
-                return []
+        left, rank, cost = histogram[length], 0, length * length
+        need = np.array([length, 1, cost], float) / capacity
+        tried = [s for s in groups if s[0] + length <= limit and s[1] < max_docs and s[2] + cost <= max_cost]
+        if tried:
             used = np.array(tried, float) / capacity
             if rule == "dot":
                 score = -(used * need * scale).sum(1)
             else:
                 score = (((1 - used - need) ** 2) * scale).sum(1)
-            return [(float(v), -s[0], s) for v, s in zip(score, tried)]
-
-        queue = open_states(groups)
-        heapq.heapify(queue)
-        while left:
-            if queue:
-                _, _, state = heapq.heappop(queue)
-                runs = groups.get(state)
-                if not runs:
-                    continue
-            else:
-                state, runs = (0, 0, 0), [(bins, left)]
-                fit = max(1, min(limit // length, max_docs, max_cost // (length * length)))
+            tried = [s for _, _, s in sorted((float(v), -s[0], s) for v, s in zip(score, tried))]
+        # A bin that takes a piece scores better than before, so it is filled until it is closed.
+        for state in [*tried, (0, 0, 0)]:
+            if not left:
+                break
+            fit = min((limit - state[0]) // length, max_docs - state[1], (max_cost - state[2]) // cost)
+            if state == (0, 0, 0):
                 runs = [(bins, -(-left // fit))]
                 bins += runs[0][1]
-            after = (state[0] + length, state[1] + 1, state[2] + length * length)
+            else:
+                runs = groups.pop(state)
             while runs and left:
                 first, count = runs.pop()
-                taken = min(count, left)
+                whole = min(count, left // fit)
+                taken, pieces = (whole, fit) if whole else (1, left)
                 if taken < count:
                     runs.append((first + taken, count - taken))
-                places.append((length, rank, taken, first, state[0]))
-                fresh = after not in groups or not groups[after]
+                for i in range(pieces):
+                    places.append((length, rank, taken, first, state[0] + i * length))
+                    rank, left = rank + taken, left - taken
+                after = (state[0] + pieces * length, state[1] + pieces, state[2] + pieces * cost)
                 groups.setdefault(after, []).append((first, taken))
-                rank, left = rank + taken, left - taken
-                if fresh and left:
-                    for entry in open_states([after]):
-                        heapq.heappush(queue, entry)
-            if state[1] and not runs:
-                groups.pop(state, None)
-            elif runs and state == (0, 0, 0):
-                raise AssertionError("bins opened without need")
+            if runs:
+                groups[state] = runs
     return places
 
 
@@ -175,25 +173,32 @@ def pack(
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences within all three capacities.
 
-    ``max_docs`` pieces and an attention cost of ``max_cost`` fit into a sequence;
-    their defaults hold any sequence of at most ``limit`` tokens. Repeated pieces are
-    packed each; an empty table gives an empty table. Only the histogram of lengths
-    reaches the driver: at most ``limit`` rows.
+    ``pieces`` has ``doc_id``, ``piece``, ``length`` (1 to ``limit``) and ``ids_crc32``; all its columns are
+    passed on. ``max_docs`` pieces and an attention cost (sum of squared lengths) of ``max_cost`` fit into a sequence; their
+    defaults hold any sequence of at most ``limit`` tokens; a piece that no empty sequence holds is an error.
+    Repeated pieces and those of null ids are packed each, ties in the order of equal ones are free; an empty table gives an
+    empty table. Only the histogram of lengths reaches the driver: at most ``limit`` rows. Pieces of ``limit`` tokens
+    are sequences of their own, below 0, and are not dealt out.
     """
     pieces = written(pieces, "pieces")
-    slice_of = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int")
-    sliced = pieces.withColumn("slice", slice_of)
-    counts = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
+    part, nth, first, rank = (unused(pieces, name) for name in ("slice", "nth", "first", "rank"))
+    rest = pieces.where(F.col("length") < limit)
+    total = rest.count()
+    slices = max(SLICES, total // SLICE_ROWS)
+    slice_of = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int")
+    sliced = rest.withColumn(part, slice_of)
+    counts = sliced.groupBy("length", part).agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = best_fit(histogram, limit, max_docs or limit, max_cost or limit * limit, rule=rule)
+    most_docs, most_cost = limit if max_docs is None else max_docs, limit * limit if max_cost is None else max_cost
+    places = best_fit(histogram, limit, most_docs, most_cost, rule=rule)
 
-    before = W.partitionBy("length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    firsts = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = W.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
+    before = W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    firsts = counts.select("length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    order = W.partitionBy("length", part).orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
-        sliced.withColumn("nth", F.row_number().over(order) - 1)
-        .join(firsts, ["length", "slice"])
-        .select(*pieces.columns, (F.col("first") + F.col("nth")).alias("rank"))
+        sliced.withColumn(nth, F.row_number().over(order) - 1)
+        .join(firsts, ["length", part])
+        .select(*pieces.columns, (F.col(first) + F.col(nth)).alias(rank))
     )
     table = np.array(places, np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
@@ -204,7 +209,7 @@ def pack(
         from bisect import bisect_right
 
         for batch in batches:
-            lengths, ranks = batch.column("length").to_pylist(), batch.column("rank").to_pylist()
+            lengths, ranks = batch.column("length").to_pylist(), batch.column(rank).to_pylist()
             at = [bisect_right(keys, a * (width + 1) + min(b, width)) - 1 for a, b in zip(lengths, ranks)]
             own = table[np.array(at, np.int64)].reshape(-1, 5)
             sequence = own[:, 3] + np.array(ranks, np.int64) - own[:, 1]
@@ -214,4 +219,10 @@ def pack(
                 names=[*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    whole = pieces.where(F.col("length") >= limit)
+    longest = whole.agg(F.max("length").alias("n")).first()["n"]
+    if longest:
+        best_fit({longest: 1}, limit, most_docs, most_cost)  # an error if it fits no empty sequence
+    alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(run, schema).unionByName(alone)

@@ -19,7 +19,7 @@ class TokenCounter:
 
     def __init__(self, content: str, pattern: str):
         self._vocabulary = JsonVocabulary(content)
-        self._cut = self._vocabulary.cut_added()
+        self._cut = self._vocabulary.cut_added
         self._words: dict[str, int] = {}
         self._pieces = PieceMap(pattern, self._of_words)
 

@@ -64,6 +64,63 @@ def test_best_fit_constraints(rule):
             assert used <= 1.25 * -(-sum(n * c for n, c in histogram.items()) // 100) + 1
 
 
+def best_fit_by_piece(lengths, limit, max_docs, max_cost, rule, weights=(1.0, 0.05, 0.2)):
+    """Sequences as sorted lengths: the pieces one by one, long ones first."""
+    capacity, scale, bins = (limit, max_docs, max_cost), [w / sum(weights) for w in weights], []
+    for n in sorted(lengths, reverse=True):
+        need = [x / c for x, c in zip((n, 1, n * n), capacity)]
+        best = None
+        for own in bins:
+            state = (sum(own), len(own), sum(x * x for x in own))
+            if all(a + b <= c for a, b, c in zip(state, (n, 1, n * n), capacity)):
+                used = [a / c for a, c in zip(state, capacity)]
+                if rule == "dot":
+                    score = -sum(u * w * d for u, w, d in zip(used, scale, need))
+                else:
+                    score = sum((1 - u - d) ** 2 * w for u, d, w in zip(used, need, scale))
+                rank = (round(score, 12), -state[0])
+                if best is None or rank < best[0]:
+                    best = (rank, own)
+        if best:
+            best[1].append(n)
+        else:
+            bins.append([n])
+    return sorted(tuple(sorted(b)) for b in bins)
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_best_fit_piece_by_piece(rule):
+    rng = random.Random(9)
+    for trial in range(60):
+        limit = rng.choice([20, 100])
+        histogram = {n: rng.randint(1, 9) for n in rng.sample(range(1, limit + 1), rng.randint(1, 12))}
+        max_docs = rng.choice([limit, 3, 1])
+        max_cost = rng.choice([limit * limit, max(n * n for n in histogram) + rng.randint(0, 200)])
+        bins = defaultdict(list)
+        for length, _, count, first, _ in packing.best_fit(histogram, limit, max_docs, max_cost, rule=rule):
+            for i in range(count):
+                bins[first + i].append(length)
+        got = sorted(tuple(sorted(b)) for b in bins.values())
+        lengths = [n for n, c in histogram.items() for _ in range(c)]
+        assert got == best_fit_by_piece(lengths, limit, max_docs, max_cost, rule)
+
+
+def test_tight_capacities(spark):
+    assert len({p[3] + i for p in packing.best_fit({400: 6}, 2048, 2048, 2048**2) for i in range(p[2])}) == 2
+    for capacities in ((100, 5, 399), (100, 0, 10_000), (19, 5, 10_000)):
+        with pytest.raises(ValueError):
+            packing.best_fit({20: 3}, *capacities)
+    rows = [(i, 0, 0, n, i, "more", i) for i, n in enumerate([10, 10, 4, 7, 7, 3, 1, 10])] + [(None, 0, 0, 5, 5, None, 5)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, rank string, slice int")
+    got = packing.pack(pieces, 10, max_docs=2)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert Counter(r[:7] for r in map(tuple, got.collect())) == Counter(rows)
+    assert check_packing(read(got), 10, 2) == 6
+    for bad in ({"max_docs": 0}, {"max_cost": 99}):
+        with pytest.raises(ValueError):
+            packing.pack(pieces, 10, **bad)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
