@@ -2,16 +2,16 @@
 
 TOPK_SQL = """
 with whole as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from whole q join whole c on q.r <> c.r and len(q.v) = len(c.v)
   where q.vec_id % 50 = 0
 ), ranked as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as "rank", vec_id, score
+  select query_id, row_number() over (partition by r order by score desc, vec_id)::int as "rank", vec_id, score
   from scored
 )
 select * from ranked where "rank" <= 5

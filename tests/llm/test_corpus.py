@@ -157,20 +157,21 @@ def test_top_k_against_all_scores(spark):
     rows += [(300 + i, rows[0][1]) for i in range(60)]  # ties in great number
     rows += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [float("inf")] + [0.0] * 7)]
     rows += [(404, [0.5, 0.25]), (500, [1.0, -1.0]), (None, rows[1][1]), rows[2], (1000, [-3.0] * 8), (550, [])]
+    rows += [rows[0]] * 3 + [rows[50]] * 2 + [(50, rows[51][1]), (600, [1e5] * 8), (601, [3e6] + [1.0] * 7), rows[307]]
     vectors = spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<double>, key int, block int")
     got = read(topk.exact_top_k(vectors, F.col("id") % 50 == 0))
-    whole = {
-        (i, tuple(int(np.floor(256 * x)) for x in v))
+    whole = [
+        (i, [int(np.floor(256 * x)) for x in v])
         for i, v in rows
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
-    }
-    want = set()
-    for i, v in whole:
+    ]
+    want = Counter()
+    for a, (i, v) in enumerate(whole):
         if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if (j, w) != (i, v) and len(w) == len(v))
-            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
-    assert len(got) == len(want)
+            others = [(j, w) for b, (j, w) in enumerate(whole) if a != b and len(w) == len(v)]
+            scored = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, w in others)
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5]))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert read(topk.exact_top_k(vectors.limit(0), F.col("id") % 50 == 0)) == []
 
 
