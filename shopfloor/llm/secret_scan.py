@@ -20,16 +20,20 @@ from shopfloor.llm.common import texts_of, written
 #: Characters that are looked at before a candidate, and at its start.
 CONTEXT, LOOKED_AT = 48, 512
 
+#: A private key goes to its last line; without one to the end of its header fields and lines of base64.
+_KEY_HEAD = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+_KEY_LINES = r"(?:\s*+[A-Z][A-Za-z-]*+: [^\n]*+)*+(?:\s*+[A-Za-z0-9+/=]{16,}+(?!\S))*+(?:\r?\n[ \t]*+[A-Za-z0-9+/=]++[ \t]*+(?=\r?\n|\Z))?"
+
 #: Rules by priority: name, text that must occur, pattern; the last group, else the whole match, is the secret.
 RULES = (
-    ("private-key", ("PRIVATE KEY",), r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----)?"),
+    ("private-key", ("PRIVATE KEY",), _KEY_HEAD + r"(?:(?:(?!-----BEGIN)[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|" + _KEY_LINES + ")"),
     ("cloud-key", ("AKIA", "ASIA"), r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("forge-token", ("gh",), r"\bgh[pousr]_[0-9A-Za-z]{36,}"),
     ("chat-token", ("xox",), r"\bxox[abpr]-[0-9A-Za-z-]{10,}"),
     ("payment-key", ("k_live_", "k_test_"), r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
-    ("web-token", ("eyJ",), r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}"),
-    ("url-password", ("://",), r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:([^\s:/@]{4,})@"),
-    ("assigned", ("=", ":"), r"(?i:\b(?:\w{0,20}(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|credential)|pwd|auth)s?[\"']?\s{0,4}[:=]\s{0,4}[\"']?)([^\s\"']{8,512})"),
+    ("web-token", ("eyJ",), r"(?<![\w-])eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{5,}+"),
+    ("url-password", ("://",), r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s:/@]++:(?!\d{1,5}[/?#])((?:(?!://)[^\s\"'<>]){4,})@"),
+    ("assigned", ("=", ":"), r"(?i:(?<![\w.-])[\w.-]*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|credential|(?<![^\W_])pwd|(?<![^\W_])auth)s?[\"']?\s*+[:=]\s*+[\"']?)([^\s\"']{8,512})"),
     ("long-run", (), r"(?<![\w+/=-])(?=[A-Za-z0-9_+/=-]{24,}+(?![\w+/=-]))[A-Za-z0-9_+/=-]{24,512}"),
 )
 
@@ -270,8 +274,9 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> Dat
     """One row per secret: place in the text (characters), rule, score and the SHA-256 of the value.
 
     The forest's score must exceed ``threshold``. ``source`` counts as the path if there
-    is such a column. Null texts hold nothing; a null ``doc_id`` stays null; repeated rows
-    are reported each; an empty table gives no rows. Whole texts, no shuffle.
+    is such a column. Null and empty texts hold nothing; texts may be of any length, the patterns take time in
+    proportion to it; a null ``doc_id`` stays null; repeated rows are reported each; of overlapping
+    candidates the one of the earlier rule counts; an empty table gives no rows. Further columns are not read. No shuffle.
     """
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
 
@@ -293,7 +298,10 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> Dat
 
 
 def mask_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with ``mask`` in place of every secret; same rows and columns, ``n_chars`` counted anew where it changes."""
+    """``docs`` with ``mask`` in place of every secret; same rows and columns, ``n_chars`` counted anew where it changes.
+
+    Null texts stay null; repeated rows stay and are masked alike; otherwise as in ``scan_secrets``.
+    """
     has_path = "source" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
