@@ -35,18 +35,20 @@ def training_sample(docs: DataFrame, held_out: str) -> dict[str, str]:
 
     At most ``SAMPLE_DOCS`` documents per language, the ones of lowest hash in their
     bucket, and ``LANGUAGE_CHARS`` characters: a sample bounded whatever the corpus.
-    The first pass reads no text; rows per (language, bucket) are combined before the
-    shuffle.
+    The first pass reads no text, and rows per (language, bucket) are combined before its shuffle; the
+    hashes that it picks, at most ``SAMPLE_DOCS`` per language, tell the second where to read.
     """
     labelled = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(f"lang is not null and text is not null and not ({held_out})").withColumn("_hash", F.xxhash64("doc_id"))
     bucket = F.pmod(F.col("_hash"), F.lit(SAMPLE_DOCS))
     picked = labelled.groupBy("lang", bucket.alias("_bucket")).agg(F.min("_hash").alias("_hash")).select("lang", "_hash")
-    starts = labelled.select("lang", "_hash", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = starts.join(picked, ["lang", "_hash"], "left_semi").groupBy("lang", "_hash").agg(F.min("text").alias("text"))
+    chosen = {(r["lang"], r["_hash"]) for r in picked.collect()}
+    near = labelled.where(F.col("_hash").isin(sorted({h for _, h in chosen})))
+    sample = near.groupBy("lang", "_hash").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     found: dict[str, list[str]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["_hash"])):
-        found.setdefault(row["lang"], []).append(row["text"])
+        if (row["lang"], row["_hash"]) in chosen:
+            found.setdefault(row["lang"], []).append(row["text"])
     return {lang: " ".join(texts)[:LANGUAGE_CHARS] for lang, texts in found.items()}
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import bytes_of, row_key, unused, written
+from shopfloor.llm.common import bytes_of, row_key, unused, with_first, written
 
 #: Fingerprints of the sample that builds the tree, at most about so many; sample points in a shard.
 MOST_SAMPLED, SHARD_SAMPLE, SAMPLE_SHARE = 1_000_000, 32, 64
@@ -212,9 +212,10 @@ def connected(edges: DataFrame) -> DataFrame:
     state = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        # the centre of a large component has one row per member: rows of one node are sorted, not joined
+        near = with_first(both, "u", ["v"]).select("u", "v", F.least("u", "first_v").alias("m"))
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_first(large, "u", ["v"]).withColumnRenamed("first_v", "m")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         last, state = state, _digest(edges)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import bytes_of, unused, written
+from shopfloor.llm.common import bytes_of, unused, with_first, written
 
 PASSAGE, SEED = 50, 20
 _WINDOW = PASSAGE - SEED + 1
@@ -260,13 +260,9 @@ def _extended(docs: DataFrame, unequal: DataFrame, null_ids: bool) -> DataFrame:
                 )
 
     windows = texts.mapInArrow(run, "window long, no_id int, doc_id long, text_key int, start int")
-    windows = written(windows, "windows")
-    earliest = windows.groupBy("window").agg(F.min(F.struct(*_OCCURRENCE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (
-        windows.join(earliest, "window")
-        .where(F.struct(*_OCCURRENCE) != F.col("first"))
-        .select(*_OCCURRENCE, F.lit(1).alias("windows"), *(F.col(f"first.{n}").alias(f"first_{n}") for n in ("no_id", "doc_id", "start")))
-    )
+    # A passage that very many texts hold has as many rows of one window: they are compared in sort order, as suffixes are.
+    found = with_first(written(windows, "windows"), "window", _OCCURRENCE, repeats_only=True)
+    return found.select(*_OCCURRENCE, F.lit(1).alias("windows"), *(f"first_{n}" for n in ("no_id", "doc_id", "start")))
 
 
 def _joined(rows: list[dict]) -> list[tuple[int, int, int, int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from shopfloor.llm import oracle, packing, quality, queries, simhash, substrings, topk
+from shopfloor.llm import common, oracle, packing, quality, queries, simhash, substrings, topk
 from tests.check import differences
 from tests.llm.tables import PASSAGE, PROSE, ROWS, documents, read
 
@@ -461,3 +461,27 @@ def test_probing_against_all_pairs():
     ends, roots = simhash._probed(np.array(points, np.uint64), 2)
     of = plain_components(points, 2)
     assert dict(zip(ends.tolist(), roots.tolist())) == {p: r for p, r in of.items() if p != r}
+
+
+# --- rows of frequent keys ---------------------------------------------------
+
+
+@pytest.mark.parametrize("partitions", ["2", "9"])
+@pytest.mark.parametrize("repeats_only", [False, True])
+def test_with_first(spark, partitions, repeats_only):
+    rng = random.Random(7)
+    rows = [(rng.choice([3, -5, *range(40)]) if rng.random() < 0.5 else 3, rng.randint(0, 300), rng.randint(-2, 2)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k long, a int, b long").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = Counter(tuple(r) for r in common.with_first(df, "k", ["a", "b"], repeats_only).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    least = {k: min((a, b) for q, a, b in rows if q == k) for k, _, _ in rows}
+    want = Counter((k, a, b, *least[k]) for k, a, b in rows if not repeats_only or (a, b) != least[k])
+    assert got == want
+    assert common.with_first(df.limit(0), "k", ["a", "b"]).isEmpty()
