@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from shopfloor.sources.shared import shared_folder
+
 
 def process_wide(key: tuple, build: Callable[[], Any]) -> Any:
     """What ``build`` gives, made once in a Python worker process and found again by the tasks that it runs later.
@@ -50,8 +52,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not the work before it. The
-    folder is the one that the cluster shares; only where none is set (tests) the
-    session's warehouse folder serves.
+    table stays until the folder is cleared, as what is returned reads it.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -120,14 +121,6 @@ def with_first(df: DataFrame, key: str, order: list[str], repeats_only: bool = F
     return filled
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_dir.get() if set_dir.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
-
-
 def row_key() -> list:
     """Columns that tell documents apart even when ids repeat or are null."""
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")]

@@ -46,8 +46,8 @@ with docs as (
     or (len(w) >= 10 and 3 * len(list_distinct(w)) < len(w))
     or (len(string_split(lower(l), ' | ')) + len(string_split(lower(l), ' > ')) + len(string_split(lower(l), ' » '))
       + len(string_split(lower(l), ' › ')) + len(string_split(lower(l), ' · ')) - 5 >= 2)
-    or (len(w) <= 10 and regexp_matches(lower(l), 'skip to content|sign in|log in|sitemap|main menu|home page|next page|previous page|read more|click here|back to top|share this'))
-    or regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of use|terms of service|cookie|javascript|lorem ipsum|subscribe to|newsletter')
+    or (len(w) <= 10 and regexp_matches(lower(l), 'skip to content|sign in|log in|sitemap|main menu|home page|next page|previous page|read more|click here|back to top|share this|zum inhalt|weiterlesen|nach oben|ir al contenido|seguir leyendo|haz clic|aller au contenu|lire la suite|se connecter|cliquez ici'))
+    or (len(w) <= 40 and regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of use|terms of service|cookie|javascript|lorem ipsum|subscribe to|newsletter|alle rechte vorbehalten|nutzungsbedingungen|impressum|todos los derechos reservados|aviso legal|tous droits|conditions d''utilisation'))
     as bad
   from told where len(w) > 0
 ), lines as (

@@ -18,6 +18,8 @@ LEAST_WORDS, MOST_REPEATED_PCT = 50, 50
 MOST_LOST_PCT = 50
 #: A line of fewer words must end in punctuation.
 SHORT_WORDS = 20
+#: Lines of more words are text that mentions a phrase, not navigation or boilerplate.
+NAVIGATION_WORDS, BOILERPLATE_WORDS = 10, 40
 
 SYMBOLS = b"#*$%&|<>"
 ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", "…", "。", "！", "？", "»", "”"))
@@ -36,6 +38,16 @@ NAVIGATION = (
     b"click here",
     b"back to top",
     b"share this",
+    b"zum inhalt",
+    b"weiterlesen",
+    b"nach oben",
+    b"ir al contenido",
+    b"seguir leyendo",
+    b"haz clic",
+    b"aller au contenu",
+    b"lire la suite",
+    b"se connecter",
+    b"cliquez ici",
 )
 BOILERPLATE = (
     b"all rights reserved",
@@ -47,6 +59,13 @@ BOILERPLATE = (
     b"lorem ipsum",
     b"subscribe to",
     b"newsletter",
+    b"alle rechte vorbehalten",
+    b"nutzungsbedingungen",
+    b"impressum",
+    b"todos los derechos reservados",
+    b"aviso legal",
+    b"tous droits",
+    b"conditions d'utilisation",
 )
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
@@ -68,9 +87,9 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
     if size >= 10 and 3 * len(set(words)) < size:
         return True
     low = line.lower()
-    if sum(map(low.count, SEPARATORS)) >= 2 or (size <= 10 and any(x in low for x in NAVIGATION)):
+    if sum(map(low.count, SEPARATORS)) >= 2 or (size <= NAVIGATION_WORDS and any(x in low for x in NAVIGATION)):
         return True
-    return any(x in low for x in BOILERPLATE)
+    return size <= BOILERPLATE_WORDS and any(x in low for x in BOILERPLATE)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -121,7 +140,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: figures, ``base_failed``, ``kept`` and what the line rules removed.
 
     Null text has no words and fails; a null ``doc_id`` stays null; repeated rows stay;
-    an empty table gives no rows; other columns are not read. Whole texts, no shuffle.
+    an empty table gives no rows; other columns are not read. Texts may be of any length and are read whole. No shuffle.
     """
     names = [f.split()[0] for f in REPORT.split(",")]
 
@@ -137,7 +156,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The kept documents without their failing lines; same columns, ``n_chars`` counted anew where it exists.
 
-    Rejected documents go, null texts among them. Other columns are passed on as they are.
+    Rejected documents go, null and empty texts among them; null ids stay null; repeated rows are judged alike and stay;
+    an empty table gives an empty one. Other columns are passed on as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

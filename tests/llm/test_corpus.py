@@ -485,3 +485,11 @@ def test_with_first(spark, partitions, repeats_only):
     want = Counter((k, a, b, *least[k]) for k, a, b in rows if not repeats_only or (a, b) != least[k])
     assert got == want
     assert common.with_first(df.limit(0), "k", ["a", "b"]).isEmpty()
+
+
+def test_boilerplate_is_a_matter_of_short_lines():
+    long = " ".join(f"word{i}" for i in range(60)) + " mentions a cookie and a newsletter, and goes on."
+    assert quality.Judged(long.encode()).kept
+    short = long + "\nWe use a cookie.\nImpressum und mehr.\nTous droits gardés.\nAviso legal aquí."
+    judged = quality.Judged(short.encode())
+    assert judged.kept and judged.n_failed_lines == 4
