@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: cleaned, near-duplicates and repeats cut, secrets masked, packed.
 
 ``run`` applies the stages of ``STAGES`` in order, each to the Parquet table that the
-one before has written to the shared folder.
+one before has written to the shared folder. All stages read whole texts of any length, take an empty table
+to an empty one, and pass on columns that they do not know.
 """
 
 from __future__ import annotations
@@ -14,27 +15,27 @@ from shopfloor.llm.queries import MAX_BITS, SHINGLE_WORDS, pack_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Kept documents without their failing lines."""
+    """Kept documents without their failing lines; null and empty texts fail, repeated rows are judged alike."""
     return quality.clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component, the smallest id (null ids last); of fully repeated rows one."""
     return simhash.one_per_component(docs, SHINGLE_WORDS, MAX_BITS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand earlier in the corpus."""
+    """Documents without passages that stand earlier in the corpus, null ids last; those cut to nothing go."""
     return substrings.without_passages(docs, null_ids=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked."""
+    """Documents with secrets masked, the same rows; null texts stay null."""
     return secret_scan.mask_secrets(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences; null text counts as empty, repeated rows are packed each."""
     return pack_documents(docs)
 
 
