@@ -53,7 +53,7 @@ class Encoder:
         ids = [t.id for t in self._model.tokenize(letters)]
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHED_CHARS:
-            if len(self._words) >= CACHED_ENTRIES:
+            if len(self._words) >= CACHED_ENTRIES // 4:  # most words are also cached as pieces
                 self._words.clear()
             self._words[word] = packed
         return packed
