@@ -35,18 +35,22 @@ class PieceMap:
 
     A pre-token never spans a space that stands between two non-space characters,
     so the pieces between such spaces can be split and looked up one by one.
-    ``value`` turns the pre-tokens of one piece into what is kept for the piece.
+    ``value`` turns the pre-tokens of one piece into what is kept for the piece. With
+    ``adds`` the values of two pre-tokens may be added up, so that of a word before a mark is looked up.
     """
 
-    def __init__(self, pattern: str, value: Callable[[list[str]], object]):
+    def __init__(self, pattern: str, value: Callable[[list[str]], object], adds: bool = False):
         self._find = exact_pattern(pattern).findall
         self._value = value
+        self._adds = adds
         self._known = _Known(self._of_inner)
 
     def _of_inner(self, piece: str):
         if piece.isalpha():  # letters alone are one pre-token with their space
             return self._value([" " + piece])
         if piece[-1] in _MARKS and piece[:-1].isalpha():
+            if self._adds:
+                return self._known[piece[:-1]] + self._value([piece[-1]])
             return self._value([" " + piece[:-1], piece[-1]])
         return self._value(self._find(" " + piece))
 

@@ -42,18 +42,23 @@ class Encoder:
         self._cut = added.cut
         self._letters = dict(enumerate(byte_letters()))
         self._words: dict[str, bytes] = {}
-        self._pieces = PieceMap(pattern, self._of_words)
+        self._pieces = PieceMap(pattern, self._of_words, adds=True)
 
     def _of_words(self, words: list[str]) -> bytes:
+        if len(words) == 1 and words[0][1:].isalpha():  # kept as a piece
+            return self._of_word(words[0])
         known = self._words
-        return b"".join([known.get(w) or self._of_word(w) for w in words])
+        return b"".join([known.get(w) or self._kept(w) for w in words])
 
     def _of_word(self, word: str) -> bytes:
         letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._letters)
         ids = [t.id for t in self._model.tokenize(letters)]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _kept(self, word: str) -> bytes:
+        packed = self._of_word(word)
         if len(word) <= CACHED_CHARS:
-            if len(self._words) >= CACHED_ENTRIES // 4:  # most words are also cached as pieces
+            if len(self._words) >= CACHED_ENTRIES // 4:
                 self._words.clear()
             self._words[word] = packed
         return packed
