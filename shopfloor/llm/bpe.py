@@ -45,6 +45,12 @@ class PieceMap:
         self._adds = adds
         self._known = _Known(self._of_inner)
 
+    def size(self) -> int:
+        return len(self._known)
+
+    def clear(self) -> None:
+        self._known.clear()
+
     def _of_inner(self, piece: str):
         if piece.isalpha():  # letters alone are one pre-token with their space
             return self._value([" " + piece])

@@ -27,6 +27,9 @@ from shopfloor.llm.common import process_wide, texts_of, unused, written
 #: Ranks within a length are worked out in so many slices of it, in more if there are more than so many pieces for each.
 SLICES, SLICE_ROWS = 1024, 100_000
 
+#: Entries of a cache that may stay in a worker process between two tasks.
+KEPT_ENTRIES = 150_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,6 +66,12 @@ class Encoder:
             self._words[word] = packed
         return packed
 
+    def trim(self) -> None:
+        """Gives back the memory of large caches; the encoder itself stays for the next task."""
+        if self._pieces.size() > KEPT_ENTRIES:
+            self._pieces.clear()
+            self._words.clear()
+
     def ids(self, text: str) -> np.ndarray:
         parts = self._cut(text)
         found = (self._added[p] if i % 2 else b"".join(self._pieces.of(p)) for i, p in enumerate(parts))
@@ -101,6 +110,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encoder.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
