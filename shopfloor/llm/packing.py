@@ -28,7 +28,7 @@ from shopfloor.llm.common import process_wide, texts_of, unused, written
 SLICES, SLICE_ROWS = 1024, 100_000
 
 #: Entries of a cache that may stay in a worker process between two tasks.
-KEPT_ENTRIES = 150_000
+KEPT_ENTRIES = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
