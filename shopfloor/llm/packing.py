@@ -27,9 +27,6 @@ from shopfloor.llm.common import process_wide, texts_of, unused, written
 #: Ranks within a length are worked out in so many slices of it, in more if there are more than so many pieces for each.
 SLICES, SLICE_ROWS = 1024, 100_000
 
-#: Entries of a cache that may stay in a worker process between two tasks.
-KEPT_ENTRIES = 400_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,9 +63,9 @@ class Encoder:
             self._words[word] = packed
         return packed
 
-    def trim(self) -> None:
-        """Gives back the memory of large caches; the encoder itself stays for the next task."""
-        if self._pieces.size() > KEPT_ENTRIES:
+    def trim(self, kept: int) -> None:
+        """Gives back the memory of caches of more than ``kept`` entries; the encoder itself stays for the next task."""
+        if self._pieces.size() > kept:
             self._pieces.clear()
             self._words.clear()
 
@@ -84,12 +81,15 @@ def cut(size: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, limit) for at in range(first, size, limit))]
 
 
-def token_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int, end_id: int) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, vocabulary_path: str, pattern: str, limit: int, end_id: int, kept: int = CACHED_ENTRIES
+) -> DataFrame:
     """Every document's ids and ``end_id``, cut into pieces of at most ``limit`` tokens.
 
     A piece carries the CRC-32 of its ids (little-endian unsigned 32-bit). Null text is empty and gives the
     piece of ``end_id`` alone; texts may be of any length and are read whole; a null ``doc_id`` stays null; repeated rows
     give repeated pieces; an empty table gives none. Only ``doc_id`` and ``text`` are read.
+    Caches of at most ``kept`` entries stay in a worker process between tasks.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        encoder.trim()
+        encoder.trim(kept)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -74,8 +74,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), pattern(), SEQUENCE_TOKENS, 0)
+def pack_documents(docs: DataFrame, kept: int = packing.CACHED_ENTRIES) -> DataFrame:
+    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), pattern(), SEQUENCE_TOKENS, 0, kept)
     return packing.pack(pieces, SEQUENCE_TOKENS)
 
 
