@@ -13,6 +13,9 @@ from shopfloor.llm import quality, secret_scan, simhash, substrings
 from shopfloor.llm.common import written
 from shopfloor.llm.queries import MAX_BITS, SHINGLE_WORDS, pack_documents
 
+#: Cached words that packing keeps in a worker process between tasks; the other stages need the memory too.
+KEPT_ENTRIES = 150_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents without their failing lines; null and empty texts fail, repeated rows are judged alike."""
@@ -36,7 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences; null text counts as empty, repeated rows are packed each."""
-    return pack_documents(docs)
+    return pack_documents(docs, KEPT_ENTRIES)
 
 
 STAGES = [
