@@ -1,4 +1,4 @@
-"""Byte-level BPE helpers: safe cutting of texts, byte pairs from vocabulary files."""
+"""Byte-level BPE helpers: safe cutting of texts, ids by ranks, byte pairs from vocabulary files."""
 
 from __future__ import annotations
 
@@ -8,11 +8,17 @@ import re
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import regex
 
 #: Longest piece kept in a cache, and the most entries of a cache.
 CACHED_CHARS, CACHED_ENTRIES = 64, 600_000
 
+#: White space of at least so many characters is taken out of a text before ``tiktoken`` reads it: its pattern steps back
+#: over such a run, and the library stops with an error at about a million characters.
+LONG_RUN = 100_000
+_LONG_RUNS = regex.compile(r"\p{White_Space}{%d,}+" % LONG_RUN)
+
 #: Marks that are a pre-token of their own after letters at the end of a piece.
 _MARKS = frozenset(".,;:!?")
 
@@ -35,28 +41,18 @@ class PieceMap:
 
     A pre-token never spans a space that stands between two non-space characters,
     so the pieces between such spaces can be split and looked up one by one.
-    ``value`` turns the pre-tokens of one piece into what is kept for the piece. With
-    ``adds`` the values of two pre-tokens may be added up, so that of a word before a mark is looked up.
+    ``value`` turns the pre-tokens of one piece into what is kept for the piece.
     """
 
-    def __init__(self, pattern: str, value: Callable[[list[str]], object], adds: bool = False):
+    def __init__(self, pattern: str, value: Callable[[list[str]], object]):
         self._find = exact_pattern(pattern).findall
         self._value = value
-        self._adds = adds
         self._known = _Known(self._of_inner)
 
-    def size(self) -> int:
-        return len(self._known)
-
-    def clear(self) -> None:
-        self._known.clear()
-
     def _of_inner(self, piece: str):
         if piece.isalpha():  # letters alone are one pre-token with their space
             return self._value([" " + piece])
         if piece[-1] in _MARKS and piece[:-1].isalpha():
-            if self._adds:
-                return self._known[piece[:-1]] + self._value([piece[-1]])
             return self._value([" " + piece[:-1], piece[-1]])
         return self._value(self._find(" " + piece))
 
@@ -172,3 +168,50 @@ class JsonVocabulary:
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file: base64 and a number on each line."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
+
+
+class RankEncoder:
+    """Ranks of texts and words as ``tiktoken`` gives them, for texts with white space of any length too."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import tiktoken
+
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._whole = encoding.encode_ordinary
+        self.word = encoding._encode_single_piece  # of one pre-token, which the pattern need not read again
+
+    def text(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self._whole(text)
+        found, start = [], 0
+        for run in _LONG_RUNS.finditer(text):
+            # Before other text the last character of white space is not of the run's pre-token.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            found += self._whole(text[start : run.start()])
+            found += self.word(text[run.start() : end])
+            start = end
+        return found + self._whole(text[start:])
+
+
+def ranks_of_json(content: str) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """Bytes of tokens with their ranks, and ids by rank, if ranks alone tell what the merges of a JSON file do.
+
+    Merging by rank joins any two neighbours that are a token together; merging by the file only the two listed
+    for that token. They agree on all texts if every token is the result of one merge and its own bytes are merged to
+    it: neighbours that make up a token got there as its own bytes would, so they are the two listed.
+    None if not.
+    """
+    from tokenizers import Tokenizer
+
+    model = json.loads(content)["model"]
+    if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout") or model.get("byte_fallback"):
+        return None
+    letters = byte_letters()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    tokens = [*letters, *("".join(pair) for pair in pairs)]
+    merge = Tokenizer.from_str(content).model.tokenize
+    if len(set(tokens)) < len(tokens) or any(len(merge(t)) != 1 for t in tokens):
+        return None
+    byte_of = {letter: b for b, letter in enumerate(letters)}
+    ranks = {bytes(map(byte_of.__getitem__, t)): rank for rank, t in enumerate(tokens)}
+    return ranks, np.array([model["vocab"][t] for t in tokens], "<u4")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shopfloor.llm.bpe import CACHED_CHARS, CACHED_ENTRIES, AddedStrings, PieceMap, byte_letters
+from shopfloor.llm.bpe import AddedStrings, RankEncoder, ranks_of_json
 from shopfloor.llm.common import process_wide, texts_of, unused, written
 
 #: Ranks within a length are worked out in so many slices of it, in more if there are more than so many pieces for each.
@@ -31,48 +30,29 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of whole texts as the library that reads the JSON file gives them, words cached up to a fixed size."""
+    """Ids of whole texts as the library that reads the JSON file gives them.
+
+    Where ranks alone decide the merges (``ranks_of_json``) texts are encoded by rank; any other file is left to
+    its library. Nothing is kept between texts.
+    """
 
     def __init__(self, content: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_str(content).model
-        added = AddedStrings(json.loads(content))
-        self._added = {k: np.array([i], "<u4").tobytes() for k, i in added.ids.items()}
-        self._cut = added.cut
-        self._letters = dict(enumerate(byte_letters()))
-        self._words: dict[str, bytes] = {}
-        self._pieces = PieceMap(pattern, self._of_words, adds=True)
-
-    def _of_words(self, words: list[str]) -> bytes:
-        if len(words) == 1 and words[0][1:].isalpha():  # kept as a piece
-            return self._of_word(words[0])
-        known = self._words
-        return b"".join([known.get(w) or self._kept(w) for w in words])
-
-    def _of_word(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._letters)
-        ids = [t.id for t in self._model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _kept(self, word: str) -> bytes:
-        packed = self._of_word(word)
-        if len(word) <= CACHED_CHARS:
-            if len(self._words) >= CACHED_ENTRIES // 4:
-                self._words.clear()
-            self._words[word] = packed
-        return packed
-
-    def trim(self, kept: int) -> None:
-        """Gives back the memory of caches of more than ``kept`` entries; the encoder itself stays for the next task."""
-        if self._pieces.size() > kept:
-            self._pieces.clear()
-            self._words.clear()
+        if found := ranks_of_json(content):
+            ranks, self._ids = found
+            self._by_rank = RankEncoder(ranks, pattern).text
+            added = AddedStrings(json.loads(content))
+            self._added, self._cut = added.ids, added.cut
+        else:
+            self._by_rank, self._whole = None, Tokenizer.from_str(content).encode
 
     def ids(self, text: str) -> np.ndarray:
+        if not self._by_rank:
+            return np.array(self._whole(text, add_special_tokens=False).ids, "<u4")
         parts = self._cut(text)
-        found = (self._added[p] if i % 2 else b"".join(self._pieces.of(p)) for i, p in enumerate(parts))
-        return np.frombuffer(b"".join(found), "<u4")
+        found = [[self._added[p]] if i % 2 else self._ids[self._by_rank(p)] for i, p in enumerate(parts) if p]
+        return np.concatenate(found or [[]]).astype("<u4")
 
 
 def cut(size: int, limit: int) -> list[tuple[int, int]]:
@@ -81,9 +61,7 @@ def cut(size: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, limit) for at in range(first, size, limit))]
 
 
-def token_pieces(
-    docs: DataFrame, vocabulary_path: str, pattern: str, limit: int, end_id: int, kept: int = CACHED_ENTRIES
-) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int, end_id: int) -> DataFrame:
     """Every document's ids and ``end_id``, cut into pieces of at most ``limit`` tokens.
 
     A piece carries the CRC-32 of its ids (little-endian unsigned 32-bit). Null text is empty and gives the
@@ -110,7 +88,6 @@ def token_pieces(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        encoder.trim(kept)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
