@@ -10,17 +10,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.bpe import PieceMap, read_ranks
+from shopfloor.llm.bpe import PieceMap, RankEncoder, read_ranks
 from shopfloor.llm.common import texts_of
 
 #: A block ends after the document with which it passes so many characters or distinct words.
 BLOCK_CHARS, BLOCK_WORDS = 24_000_000, 400_000
 
-_TEXTS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("order", pa.bool_()), ("codes", pa.binary())])
-_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+#: Distinct words whose ids a task that encodes words remembers; beyond, it starts afresh.
+KNOWN_WORDS = 2_000_000
+
+#: What a row of a block holds: numbers of a document's words, the order of the words, the words of a bucket.
+TEXT, ORDER, WORDS = 0, 1, 2
+
+_BLOCKS = "block long, kind int, doc_id long, bucket int, data binary"
+_BLOCKS_ARROW = pa.schema(
+    [("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]
+)
 _IDS = "block long, bucket int, ids binary"
 
 
@@ -52,12 +61,12 @@ def unpacked_list(data: bytes) -> list[bytes]:
 class _Block:
     """A run of one partition's documents: distinct words with their numbers, numbers by position."""
 
-    def __init__(self, pattern: str, buckets: int, keep: bool):
+    def __init__(self, pattern: str, buckets: int, place: str):
         self.codes: dict[str, int] = {}
         self.rows: list[tuple[int | None, bytes]] = []
         self.chars = 0
-        self._buckets, self._keep = buckets, keep
-        self._content = xxhash.xxh64()
+        self._buckets = buckets
+        self._content = xxhash.xxh64(place)
         self._pieces = PieceMap(pattern, self._of_words)
 
     def _of_words(self, words: list[str]) -> bytes:
@@ -69,94 +78,85 @@ class _Block:
         self.chars += len(text)
         self._content.update(f"{len(text)} ".encode())
         self._content.update(text.encode())
-        found = self._pieces.of(text)
-        if self._keep:
-            self.rows.append((doc_id, packed(np.frombuffer(b"".join(found), "<u4"))))
+        self.rows.append((doc_id, packed(np.frombuffer(b"".join(self._pieces.of(text)), "<u4"))))
 
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.codes) >= BLOCK_WORDS
 
-    def _id(self) -> int:
-        """From the texts of the block, so that a block read twice has one id, or else no partner."""
-        return self._content.intdigest() - 2**63
-
-    def _sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words, their buckets, and their numbers by bucket and spelling."""
+    def finished(self) -> Iterator[pa.RecordBatch]:
+        """The block's rows; its number comes from its place and texts, so a rerun on other texts finds no partner."""
+        if not self.rows:
+            return
         words = [w.encode() for w in self.codes]
         bucket = np.fromiter((zlib.crc32(w) % self._buckets for w in words), np.int64, len(words))
-        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        return words, bucket, by_word[np.argsort(bucket[by_word], kind="stable")]
-
-    def finished(self) -> Iterator[pa.RecordBatch]:
-        if not self._keep:
-            yield from self._word_rows()
-        elif self.rows:
-            _, _, order = self._sorted()
-            rows = [(None, True, packed(order)), *((i, False, c) for i, c in self.rows)]
-            for low in range(0, len(rows), 1024):
-                ids, orders, codes = map(list, zip(*rows[low : low + 1024]))
-                yield _batch(_TEXTS, [self._id()] * len(ids), ids, orders, codes)
-
-    def _word_rows(self) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each bucket in one row: a word meets all its blocks in one bucket."""
-        words, bucket, order = self._sorted()
+        order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self._buckets + 1)).tolist()
-        rows = [
-            (k, self._id(), packed_list([words[i] for i in order[a:b]]))
-            for k, (a, b) in enumerate(zip(edges, edges[1:]))
-            if b > a
-        ]
-        if rows:
-            yield _batch(_WORDS, *map(list, zip(*rows)))
-
+        rows = [(TEXT, i, None, codes) for i, codes in self.rows]
+        rows.append((ORDER, None, None, packed(order)))
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                rows.append((WORDS, None, k, packed_list([words[i] for i in order[a:b]])))
+        number = self._content.intdigest() - 2**63
+        for low in range(0, len(rows), 1024):
+            part = rows[low : low + 1024]
+            columns = [[number] * len(part), *map(list, zip(*part))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS_ARROW)], schema=_BLOCKS_ARROW)
 
-def _batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-
-def _blocks(pattern: str, buckets: int, keep: bool):
-    """Rows of the documents of every block (``keep``), or of its distinct words."""
+def _blocks(pattern: str, buckets: int):
+    """Rows of every block: its documents, and its distinct words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(pattern, buckets, keep)
+        part, number = TaskContext.get().partitionId(), 0
+        block = _Block(pattern, buckets, f"{part} {number}")
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 block.add(doc_id, text)
                 if block.full():
                     yield from block.finished()
-                    block = _Block(pattern, buckets, keep)
+                    number += 1
+                    block = _Block(pattern, buckets, f"{part} {number}")
         yield from block.finished()
 
     return run
 
 
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with words; as a function, so that Spark does not cut the shuffled blocks anew for it."""
+    for batch in batches:
+        found = batch.filter(pa.array([k == WORDS for k in batch.column("kind").to_pylist()], pa.bool_()))
+        yield found.select(["block", "bucket", "data"])
+
+
 def encoded_words(words: DataFrame, ranks_content: bytes, pattern: str) -> DataFrame:
-    """Ids of the words of every (bucket, block), each distinct word encoded once.
+    """Ids of the words of every (bucket, block), a distinct word encoded once for all blocks.
 
-    All blocks' rows of a bucket meet in one group. A word has one entry per block at
-    most and buckets split words evenly, so a group is as large as the number of
-    buckets, which follows ``spark.sql.shuffle.partitions``, lets it be.
+    Rows are sent to the task of their bucket and read there in order of bucket, one Arrow batch at a
+    time. A task remembers ids of one bucket, and at most of ``KNOWN_WORDS`` words: more begin anew.
     """
 
-    def encode_bucket(rows: pa.Table) -> pa.Table:
-        import tiktoken
-
-        ranks = read_ranks(ranks_content)
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = RankEncoder(read_ranks(ranks_content), pattern).word
         known: dict[bytes, bytes] = {}
-        out = []
-        for data in rows.column("words").to_pylist():
-            found = unpacked_list(data)
-            for word in found:
-                if word not in known:
-                    ids = encode(word.decode())
-                    known[word] = struct.pack(f"<{len(ids)}I", *ids)
-            ids = [known[w] for w in found]
-            lengths = np.array([len(x) // 4 for x in ids], "<u4")
-            out.append(packed(np.concatenate([[len(ids)], lengths, np.frombuffer(b"".join(ids), "<u4")])))
-        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
-
-    return words.groupBy("bucket").applyInArrow(encode_bucket, _IDS)
+        current = None
+        for batch in batches:
+            out = []
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if bucket != current or len(known) > KNOWN_WORDS:
+                    known.clear()
+                    current = bucket
+                found = unpacked_list(data)
+                for word in found:
+                    if word not in known:
+                        ids = encode(word)
+                        known[word] = struct.pack(f"<{len(ids)}I", *ids)
+                ids = [known[w] for w in found]
+                lengths = np.array([len(x) // 4 for x in ids], "<u4")
+                out.append(packed(np.concatenate([[len(ids)], lengths, np.frombuffer(b"".join(ids), "<u4")])))
+            columns = [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "ids"])
+
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _IDS)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_digests: bool = False) -> DataFrame:
@@ -165,47 +165,40 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_digests: bool =
     Pre-tokens are numbered per block of documents; the distinct ones are shuffled
     by word, encoded once, and sent back to their blocks, where each document is put
     together by position. With ``with_digests`` the rows carry the count and the
-    SHA-256 of ids and decoded bytes instead of the ids. ``docs`` is read twice and must
-    split into the same partitions both times, as files do; if it does not, the
-    operator fails. Null text is empty; a null ``doc_id`` stays null; repeated rows stay;
+    SHA-256 of ids and decoded bytes instead of the ids. ``docs`` is read once, both uses of its blocks read
+    one shuffle. Null text is empty; texts may be of any length; a null ``doc_id`` stays null; repeated rows stay;
     an empty table gives no rows; other columns are not read.
     """
     with open(ranks_path, "rb") as f:
         content = f.read()
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = read.mapInArrow(_blocks(pattern, buckets, False), "bucket int, block long, words binary")
-    texts = read.mapInArrow(_blocks(pattern, buckets, True), "block long, doc_id long, order boolean, codes binary")
-    known = encoded_words(words, content, pattern)
+    blocks = read.mapInArrow(_blocks(pattern, buckets), _BLOCKS).repartition("block")
+    known = encoded_words(blocks.mapInArrow(_word_rows, "block long, bucket int, data binary"), content, pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if with_digests else "doc_id long, ids binary"
 
-    def join(texts: pa.Table, words: pa.Table) -> pa.Table:
-        return _reassembled(texts, words, content if with_digests else None)
+    def join(rows: pa.Table, ids: pa.Table) -> pa.Table:
+        return _reassembled(rows, ids, content if with_digests else None)
 
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(join, schema)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(join, schema)
 
 
-def _ids_by_code(orders: list[bytes], known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _ids_by_code(order: np.ndarray, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words of a block, one after another by number, and how many each has."""
-    order = unpacked(orders[0]).astype(np.int64)  # files with equal texts are one block; their orders are equal
-    lengths, ids, seen = [], [], set()
-    rows = sorted(zip(known.column("bucket").to_pylist(), known.column("ids").to_pylist()), key=lambda r: r[0])
-    for bucket, data in rows:
-        if bucket not in seen:
-            seen.add(bucket)
-            numbers = unpacked(data)
-            n = int(numbers[0])
-            lengths.append(numbers[1 : n + 1])
-            ids.append(numbers[n + 1 :])
-    lengths = np.concatenate(lengths or [np.zeros(0, "<u4")]).astype(np.int64)
+    lengths, ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
+    for _, data in sorted(zip(known.column("bucket").to_pylist(), known.column("ids").to_pylist())):
+        numbers = unpacked(data)
+        n = int(numbers[0])
+        lengths.append(numbers[1 : n + 1])
+        ids.append(numbers[n + 1 :])
+    lengths = np.concatenate(lengths).astype(np.int64)
     if len(lengths) != len(order):
-        raise RuntimeError("a block of documents did not split the same way twice")
+        raise RuntimeError("a block of documents does not have the ids of its words")
     starts = np.cumsum(lengths) - lengths
     by_code = np.empty(len(order), np.int64)
     by_code[order] = np.arange(len(order))
     size = lengths[by_code]
-    flat = np.concatenate(ids or [np.zeros(0, "<u4")])
-    return flat[_places(starts[by_code], size)], size
+    return np.concatenate(ids)[_places(starts[by_code], size)], size
 
 
 def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -216,16 +209,17 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _reassembled(texts: pa.Table, known: pa.Table, content: bytes | None) -> pa.Table:
     """Documents of one block by position: the ids of every pre-token put in place of its number."""
-    rows = list(zip(*(texts.column(n).to_pylist() for n in ("doc_id", "order", "codes"))))
-    orders = [codes for _, order, codes in rows if order]
-    if not orders:
-        raise RuntimeError("a block of documents did not split the same way twice")
-    flat, lengths = _ids_by_code(orders, known)
+    kinds = texts.column("kind").to_pylist()
+    rows = list(zip(kinds, texts.column("doc_id").to_pylist(), texts.column("data").to_pylist()))
+    orders = [data for kind, _, data in rows if kind == ORDER]
+    if len(orders) != 1:
+        raise RuntimeError("a block of documents does not have the ids of its words")
+    flat, lengths = _ids_by_code(unpacked(orders[0]).astype(np.int64), known)
     starts = np.cumsum(lengths) - lengths
     tokens = None if content is None else TokenBytes(content)
     out = []
-    for doc_id, order, data in rows:
-        if order:
+    for kind, doc_id, data in rows:
+        if kind != TEXT:
             continue
         codes = unpacked(data)
         own = flat[_places(starts[codes], lengths[codes])]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from shopfloor.llm import encoding, language, licenses, packing, quality, queries, secret_scan, token_counts
+from shopfloor.llm import bpe, encoding, language, licenses, packing, quality, queries, secret_scan, token_counts
 from tests.llm.tables import ROWS, documents, read
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -243,7 +243,7 @@ def test_encoding_round_trip(spark, monkeypatch):
     rows = [*ROWS, *((50 + i, t) for i, t in enumerate(TEXTS))]
     for name, size in (("BLOCK_CHARS", 9000), ("BLOCK_WORDS", 200)):
         monkeypatch.setattr(encoding, name, size)
-    docs = documents(spark, rows).repartition(3).persist()  # one split for all reads
+    docs = documents(spark, rows).repartition(3)
     want = Counter((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in rows)
     encoded = encoding.encode(docs, RANKS, PATTERN)
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in read(encoded)) == want
@@ -251,9 +251,72 @@ def test_encoding_round_trip(spark, monkeypatch):
     assert Counter((r["doc_id"], bytes(r["text_bytes"]).decode()) for r in read(decoded)) == Counter((i, t or "") for i, t in rows)
     digests = read(encoding.encode(docs, RANKS, PATTERN, with_digests=True))
     assert Counter((r["doc_id"], r["ids_sha256"]) for r in digests) == Counter((i, hashlib.sha256(b).hexdigest()) for i, b in want.elements())
-    assert all(len(r["decoded_sha256"]) == 64 for r in digests)
+    texts = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in digests) == texts
     assert read(encoding.encode(documents(spark, []), RANKS, PATTERN)) == []
-    docs.unpersist()
+
+
+def test_encoding_reads_documents_once_and_starts_words_anew(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "KNOWN_WORDS", 3)
+    encoded = encoding.encode(documents(spark), RANKS, PATTERN)
+    assert len(read(encoded)) == len(ROWS)
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+    decoded = encoding.decode(encoded, RANKS)
+    assert Counter((r["doc_id"], bytes(r["text_bytes"]).decode()) for r in read(decoded)) == Counter((i, t or "") for i, t in ROWS)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \u2028"])
+def test_white_space_of_over_a_million_characters(spark, space):
+    """The rank library stops with an error there; the ids follow from the run's own pre-token and the texts around it."""
+    run = space * (1_500_000 // len(space))
+    texts = [run, f"before{run}after. It", f"{run}x", f"end{run}", f"a{run}b{run} c"]
+    docs = documents(spark, list(enumerate(texts)))
+    decoded = encoding.decode(encoding.encode(docs, RANKS, PATTERN), RANKS)
+    assert {r["doc_id"]: bytes(r["text_bytes"]).decode() for r in read(decoded)} == dict(enumerate(texts))
+    encoder = packing.Encoder(open(JSON, encoding="utf-8").read(), PATTERN)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in read(encoding.encode(docs, RANKS, PATTERN))}
+    assert got == {i: encoder.ids(t).tolist() for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t \u00a0", "\r\n"])
+def test_long_runs_are_cut_as_the_library_does(space, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LONG_RUN", 5)
+    monkeypatch.setattr(bpe, "_LONG_RUNS", bpe.regex.compile(r"\p{White_Space}{5,}+"))
+    library = Tokenizer.from_file(JSON)
+    encoder = packing.Encoder(open(JSON, encoding="utf-8").read(), PATTERN)
+    run = space * 12
+    for text in [run, f"before{run}after. It", f"{run}x", f"end{run}", f"a{run}b{run} c {run}", f"<|endoftext|>{run}<|endoftext|>", *TEXTS]:
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabulary_that_ranks_do_not_decide():
+    """``abc`` is listed as a merge of ``ab`` and ``c``, but ``bc`` comes first: by rank ``a`` and ``bc`` would be joined."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    data = json.load(open(JSON, encoding="utf-8"))
+    letters = bpe.byte_letters()
+    data["model"]["vocab"] = {x: i for i, x in enumerate([*letters, "bc", "ab", "abc"])} | {"<|endoftext|>": 259}
+    data["model"]["merges"] = [["b", "c"], ["a", "b"], ["ab", "c"]]
+    data["added_tokens"][0]["id"] = 259
+    content = json.dumps(data)
+    library = Tokenizer.from_str(content)
+    assert bpe.ranks_of_json(content) is None
+    encoder = packing.Encoder(content, PATTERN)
+    for text in ["abc", "ab abc<|endoftext|>bca", ""]:
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    data["model"]["merges"] = [["b", "c"], ["a", "bc"], ["a", "b"]]
+    data["model"]["vocab"] = {x: i for i, x in enumerate(["ab", *reversed(letters), "abc", "bc"])} | {"<|endoftext|>": 259}
+    content = json.dumps(data)
+    library = Tokenizer.from_str(content)
+    assert bpe.ranks_of_json(content) is not None
+    encoder = packing.Encoder(content, PATTERN)
+    for text in ["abc", "ab abc<|endoftext|>bca", "", "aabcbcab é"]:
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
