@@ -7,8 +7,10 @@ import math
 import random
 import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopfloor.llm.common import texts_of, written
+from shopfloor.sources.shared import shared_folder
+
+if TYPE_CHECKING:
+    from pyspark.ml.classification import RandomForestClassificationModel
 
 #: Characters that are looked at before a candidate, and at its start.
 CONTEXT, LOOKED_AT = 48, 512
@@ -173,23 +179,28 @@ def labelled_findings(spark: SparkSession, rows: int = 2000, seed: int = 7) -> D
 
 
 class Forest:
-    """A trained random forest as plain nodes; its score is the share of trees that vote for a secret."""
+    """A trained random forest as plain nodes; its score is the mean share of secrets in the leaves reached."""
 
     def __init__(self, trees: list):
         self.trees = trees
 
     def score(self, row: list[float]) -> float:
-        votes = 0.0
+        shares = 0.0
         for node in self.trees:
             while isinstance(node, tuple):
                 feature, threshold, low, high = node
                 node = low if row[feature] <= threshold else high
-            votes += node
-        return votes / len(self.trees)
+            shares += node
+        return shares / len(self.trees)
 
 
 def train_forest(labelled: DataFrame, trees: int = 25, depth: int = 7, seed: int = 11) -> Forest:
     """Trains on ``value``, ``before``, ``path``, ``label`` (null as empty); the sample should be bounded by the caller."""
+    return Forest(_read_trees(_fitted(labelled, trees, depth, seed)[1], labelled.sparkSession))
+
+
+def _fitted(labelled: DataFrame, trees: int, depth: int, seed: int) -> tuple:
+    """The labelled rows with their features, and the model that they give."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -202,31 +213,27 @@ def train_forest(labelled: DataFrame, trees: int = 25, depth: int = 7, seed: int
     rows = written(labelled.mapInArrow(run, "label double, row array<double>"), "findings")
     data = rows.select("label", array_to_vector("row").alias("features"))
     classifier = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3)
-    return Forest(_read_trees(classifier.fit(data).toDebugString))
-
-
-def _read_trees(text: str) -> list:
-    """Nodes (feature, threshold, if at most, else) of the trees that a trained model prints."""
-    lines = [x.strip() for x in text.splitlines()]
-    at = 0
-
-    def node():
-        nonlocal at
-        line = lines[at]
-        at += 1
-        if line.startswith("Predict:"):
-            return float(line.split(":")[1])
-        feature, threshold = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        low = node()
-        at += 1  # the line of the other case
-        return (int(feature), float(threshold), low, node())
-
-    trees = []
-    while at < len(lines):
-        at += 1
-        if lines[at - 1].startswith("Tree "):
-            trees.append(node())
-    return trees
+    return rows, classifier.fit(data)
+
+
+def _read_trees(model: RandomForestClassificationModel, spark: SparkSession) -> list:
+    """Nodes (feature, threshold, if at most, else) of a model's trees; a leaf is the share of secrets among its findings.
+
+    They are read from the model as Spark stores it, at most two to the power of ``depth`` leaves a tree.
+    """
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes = {(r["treeID"], r["id"]): r for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()}
+
+    def node(tree: int, at: int):
+        found = nodes[tree, at]
+        if found["leftChild"] < 0:
+            return sum(found["impurityStats"][1:]) / sum(found["impurityStats"])
+        split = found["split"]
+        low, high = node(tree, found["leftChild"]), node(tree, found["rightChild"])
+        return (split["featureIndex"], split["leftCategoriesOrThreshold"][0], low, high)
+
+    return [node(tree, 0) for tree in sorted({tree for tree, _ in nodes})]
 
 
 class Finder:

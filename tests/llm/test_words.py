@@ -332,6 +332,16 @@ def test_forest_on_unseen_findings(spark, forest):
     assert right >= 0.95 * len(unseen)
 
 
+def test_forest_scores_are_the_probabilities_of_the_model(spark):
+    rows, model = secret_scan._fitted(secret_scan.labelled_findings(spark, rows=400), 7, 5, 3)
+    own = secret_scan.Forest(secret_scan._read_trees(model, spark))
+    from pyspark.ml.functions import array_to_vector
+
+    scored = model.transform(rows.withColumn("features", array_to_vector("row"))).collect()
+    assert len({round(r["probability"][1], 9) for r in scored}) > 7  # more than whole votes
+    assert all(abs(own.score(r["row"]) - r["probability"][1]) < 1e-9 for r in scored)
+
+
 def test_secrets(spark, forest):
     key = "9abc01ff77e9b2d4c5a6978812cdeffa01234567"
     rows = [*ROWS, (40, f"commit {key} of the tree, sha1 {key}"), (41, "token = your_token_here_please"), (42, f'token = "{key}" token = "{key}"')]
