@@ -190,7 +190,11 @@ def variance_true_up(erp: Erp, report_date: date, cutoff: date = COST_CUTOFF) ->
 
 
 def reported_heads(erp: Erp) -> DataFrame:
-    """Firm jobs that are not cleared, with the part and planner of their own plant."""
+    """Firm jobs that are not cleared, with the part and planner of their own plant.
+
+    The part tables are as long as the master is, and their size on disk (or before an ``explode``) says little of
+    their rows: both are matched by sorting, none is sent through the driver as a broadcast.
+    """
     heads = erp["JobHead"].filter(FIRM_NOT_CLEARED).selectExpr(
         *JOB,
         "Plant",
@@ -204,8 +208,8 @@ def reported_heads(erp: Erp) -> DataFrame:
         "Company", "PartNum", "Plant", "PersonID as Planner", "PartNum as _planned"
     )
     parts = erp["ErpPart"].withColumnRenamed("PartNum", "_planned")
-    rows = heads.join(planned, ["Company", "PartNum", "Plant"], "left")
-    rows = rows.join(parts, ["Company", "_planned"], "left")
+    rows = heads.join(planned.hint("merge"), ["Company", "PartNum", "Plant"], "left")
+    rows = rows.join(parts.hint("merge"), ["Company", "_planned"], "left")
     return rows.withColumn("PartNum", F.expr("coalesce(_planned, '')")).drop("_planned")
 
 

@@ -164,9 +164,9 @@ def wip_vs_job_status(
 
 
 def _planned(heads: DataFrame, erp: Erp) -> DataFrame:
-    """Heads with the part to report: their own if their plant plans it, else ''."""
+    """Heads with the part to report: their own if their plant plans it, else ''; matched by sorting as in ``reported_heads``."""
     planned = erp["PartPlant"].selectExpr("Company", "PartNum", "Plant", "true as _planned")
-    rows = heads.join(planned, ["Company", "PartNum", "Plant"], "left")
+    rows = heads.join(planned.hint("merge"), ["Company", "PartNum", "Plant"], "left")
     return rows.selectExpr(*heads.columns, "if(_planned, PartNum, '') as ReportedPart")
 
 

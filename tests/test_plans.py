@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM
-from shopfloor.operators import compare, evidence, status
+from shopfloor.operators import compare, costing, evidence, status
 from shopfloor.functions.key_filter import may_hold
 from shopfloor.plans.wip_report import wip_total, wip_vs_job_status
 from shopfloor.schemas import ERP_SCHEMAS
@@ -200,3 +200,13 @@ def test_flags_are_combined_before_the_shuffle(stored):
     text = plan(status.job_status_counted(stored, LEGACY))
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
     assert "partial_bit_or" in text and "partial_sum" in text
+
+
+@pytest.mark.parametrize("build", [costing.wip_buckets, wip_total, wip_vs_job_status])
+def test_part_tables_are_not_broadcast(stored, build):
+    """Their size on disk says little of their rows, so they are matched by sorting at any size."""
+    lines = plan(build(stored, *REPORT)).splitlines()
+    found = [scan for table in ("PartPlant", "ErpPart") for scan in scans_of(lines, table)]
+    assert found
+    for scan in found:
+        assert "BroadcastExchange" not in next(x for x in ancestors(lines, scan) if "Exchange" in x)
