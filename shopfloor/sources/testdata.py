@@ -2,7 +2,8 @@
 
 Orders become job heads, order lines become assemblies, operations, releases,
 labor, transactions and sales lines. FIXTURES.md gives the mapping. Nothing is run or
-written here: the tables are plans over the files, the same at every size.
+written here: the tables are plans over the files. Tables that sum order lines deal large files
+out to as many tasks as their size asks for.
 """
 
 from __future__ import annotations
@@ -11,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopfloor.sources.erp import ErpTables
+from shopfloor.sources.shared import input_bytes
 
 _COMPANIES = ["F001", "F101", "F201"]
 _PLANTS = ["MfgSys", "PLT2"]
+#: Bytes of stored order lines that one task joins and sums, some half a million lines.
+_TASK_BYTES = 8 << 20
+#: Files of fewer tasks than these are left to Spark's own number.
+_FEW_TASKS = 8
 
 
 def _unit_cost(modulus: int) -> str:
@@ -51,7 +57,10 @@ class _Mapping:
             "o_orderkey",
         )
 
-    def _lines(self) -> DataFrame:
+    def _lines(self, summed: bool = False) -> DataFrame:
+        """Order lines with their job. If they are ``summed`` by order, sorts and sums share the tasks of the join,
+        whose number then follows the size of the files, not the session's.
+        """
         lines = self._read("lineitem").selectExpr(
             "cast((l_linenumber - 1) % 3 as int) as AssemblySeq",
             "l_orderkey",
@@ -65,12 +74,15 @@ class _Mapping:
             "cast(l_shipdate as date) as sd",
         )
         heads = self._heads().select("Company", "JobNum", "Plant", "o_orderkey")
+        tasks = -(-input_bytes(lines) // _TASK_BYTES) if summed else 0
+        if tasks > _FEW_TASKS:
+            lines, heads = lines.repartition(tasks, "l_orderkey"), heads.repartition(tasks, "o_orderkey")
         return lines.join(heads, lines.l_orderkey == heads.o_orderkey).drop("o_orderkey")
 
     def _operations(self) -> DataFrame:
         """Two operations per order line; lines of one number are one."""
         lines = (
-            self._lines()
+            self._lines(summed=True)
             .groupBy("Company", "JobNum", "AssemblySeq", "l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_partkey").alias("l_partkey"),
@@ -101,7 +113,7 @@ class _Mapping:
 
     def job_asmbl(self) -> DataFrame:
         return (
-            self._lines()
+            self._lines(summed=True)
             .groupBy("Company", "JobNum", "AssemblySeq", "Plant", "l_orderkey")
             .agg(
                 F.min("l_partkey").alias("part"),
@@ -208,7 +220,7 @@ class _Mapping:
 
     def job_prod(self) -> DataFrame:
         return (
-            self._lines()
+            self._lines(summed=True)
             .selectExpr(
                 "Company",
                 "JobNum",
@@ -221,7 +233,7 @@ class _Mapping:
 
     def order_rel(self) -> DataFrame:
         return (
-            self._lines()
+            self._lines(summed=True)
             .groupBy("Company", "l_orderkey", "l_linenumber")
             .agg(
                 F.expr("cast(sum(q) as decimal(12,2))").alias("OurReqQty"),
@@ -247,7 +259,7 @@ class _Mapping:
 
     def order_dtl(self) -> DataFrame:
         return (
-            self._lines()
+            self._lines(summed=True)
             .groupBy("Company", "l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("part"))
             .selectExpr(
@@ -260,7 +272,7 @@ class _Mapping:
 
     def order_hed(self) -> DataFrame:
         return (
-            self._lines()
+            self._lines(summed=True)
             .filter("l_orderkey % 23 <> 0")
             .selectExpr("Company", "l_orderkey as OrderNum")
             .distinct()

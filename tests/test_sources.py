@@ -1,6 +1,8 @@
 """Readers, the mapping of the test data, and the status cache."""
 
+import re
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -16,6 +18,8 @@ from shopfloor.sources.status_cache import (
     refresh_status_cache,
     register_job_status,
 )
+from shopfloor.sources import testdata
+from shopfloor.sources.shared import input_bytes
 from shopfloor.sources.testdata import erp_from_testdata
 from tests.shop import Shop, bag
 
@@ -131,3 +135,17 @@ def test_sums_need_ansi_mode(spark):
             whole_units(df, "LaborHrs")
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_summed_lines_are_dealt_by_size(spark, sf_dir, monkeypatch):
+    """The tasks that sum order lines grow with the file, whatever the session's number; the rows stay."""
+    names = ("JobAsmbl", "JobOper", "JobProd", "OrderRel", "OrderDtl", "OrderHed")
+    few = bag(erp_from_testdata(spark, sf_dir)["OrderRel"])
+    size = input_bytes(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    assert size == Path(f"{sf_dir}/lineitem.parquet").stat().st_size
+    monkeypatch.setattr(testdata, "_TASK_BYTES", size // 20)
+    erp = erp_from_testdata(spark, sf_dir)
+    for name in names:
+        text = erp[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"RepartitionByExpression \[l_orderkey#\d+L\], (20|21)\b", text)
+    assert bag(erp["OrderRel"]) == few
