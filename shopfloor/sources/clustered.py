@@ -2,7 +2,8 @@
 
 Job tables are bucketed by company and job, order tables (and the link from jobs to orders) by company
 and order. A bucket is read by one task: tables in which one job or order holds a large share of all
-rows are better left plain, where adaptive execution can split it; ``largest_bucket`` tells.
+rows are better left plain, where adaptive execution can split it; ``largest_bucket`` tells. ``buckets_of`` gives
+a number of buckets that grows with the tables, so that a bucket does not.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from shopfloor.operators.evidence import Erp
 from shopfloor.operators.sales import ORDER
 from shopfloor.schemas import ERP_SCHEMAS, JOB
 from shopfloor.sources.erp import ErpTables
+from shopfloor.sources.shared import input_bytes
 
 #: Keys of the buckets by table; tables that are not named here are small and stored without.
 CLUSTERED_BY = {
@@ -23,6 +25,14 @@ CLUSTERED_BY = {
     **dict.fromkeys(["JobProd", "OrderRel", "OrderDtl", "OrderHed"], ORDER),
 }
 
+#: Bytes of the files behind a table that go to one bucket.
+BUCKET_BYTES = 8 << 20
+
+
+def buckets_of(erp: Erp, tables: Iterable[str], least: int) -> int:
+    """Buckets for ``tables``, ``least`` or more: as many as the largest of their inputs has ``BUCKET_BYTES``."""
+    return max(least, *(-(-input_bytes(erp[name]) // BUCKET_BYTES) for name in tables))
+
 
 def write_clustered(
     erp: Erp, database: str, buckets: int, tables: Iterable[str] = ERP_SCHEMAS, files: int = 1

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from shopfloor.constants import LEGACY, OPEN_FIRM
 from shopfloor.functions.naming import saved_status_names
 from shopfloor.operators import costing, evidence, sales, status
@@ -16,7 +17,7 @@ from shopfloor.plans.validation import validation_flow
 from shopfloor.plans.wip_report import wip_vs_sales
 from shopfloor.plans.wip_sql import wip_vs_sales_sql
 from shopfloor.schemas import ERP_SCHEMAS, JOB
-from shopfloor.sources import shared, status_delta
+from shopfloor.sources import clustered, shared, status_delta
 from shopfloor.sources.clustered import CLUSTERED_BY, erp_clustered, largest_bucket, write_clustered
 from shopfloor.sources.erp import erp_from_parquet
 from shopfloor.sources.shared import Stage, shared_folder
@@ -293,3 +294,20 @@ def test_parameters_are_values(spark, stored):
     for company in ("F001' or 'a' = 'a", "x\\", "'", ":report_date"):
         assert wip_vs_sales_sql(stored, saved, REPORT, company).isEmpty()
     assert shared.kept(saved).count() == saved.count()
+
+
+def test_buckets_grow_with_the_tables(spark, stored, monkeypatch):
+    tables = ("JobHead", "PartTran")
+    assert clustered.buckets_of(stored, tables, 8) == clustered.buckets_of(Shop().job().erp(spark), tables, 8) == 8
+    monkeypatch.setattr(clustered, "BUCKET_BYTES", shared.input_bytes(stored["PartTran"]) // 30)
+    assert clustered.buckets_of(stored, tables, 8) >= 30
+
+
+def test_buckets_of_the_query_grow(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(clustered, "BUCKET_BYTES", 10_000)
+    erp = entry._clustered(erp_from_testdata(spark, sf_dir), "JobProd", "OrderHed")
+    session = erp["JobProd"].sparkSession
+    assert erp["JobProd"].count() > 0
+    name = erp["JobProd"]._jdf.queryExecution().optimizedPlan().collectLeaves().head().catalogTable().get().identifier().unquotedString()
+    (found,) = [r.data_type for r in session.sql(f"describe extended {name}").collect() if r.col_name == "Num Buckets"]
+    assert int(found) > 8
