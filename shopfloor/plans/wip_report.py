@@ -91,7 +91,7 @@ def wip_vs_sales(
     """
     near = limited_to(erp, reported_jobs(erp, company_id))
     heads = _planned(company_visibility(near["JobHead"].filter(REPORTED), company_id), near)
-    sources = [cost_rows(near["JobAsmbl"]), status_rows(statuses), *_facts(near, report_date, cutoff)]
+    sources = [cost_rows(near["JobAsmbl"]), status_rows(near.of(statuses)), *_facts(near, report_date, cutoff)]
     folded = fold(sources, {"OpenValue": "sum(OpenValue)", COPIES: f"sum({COPIES})"})
     figures = {
         "Head": _HEAD,

@@ -8,8 +8,11 @@ import pytest
 import __spark_entry__ as entry
 from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM
 from shopfloor.operators import compare, costing, evidence, status
+from shopfloor.functions import key_filter
 from shopfloor.functions.key_filter import may_hold
-from shopfloor.plans.wip_report import wip_total, wip_vs_job_status
+from shopfloor.functions.naming import saved_status_names
+from shopfloor.plans.wip_report import wip_total, wip_vs_job_status, wip_vs_sales
+from shopfloor.plans.wip_sql import wip_vs_sales_sql
 from shopfloor.schemas import ERP_SCHEMAS
 from shopfloor.sources.erp import ErpTables, erp_from_parquet
 from tests.shop import Shop
@@ -210,3 +213,27 @@ def test_part_tables_are_not_broadcast(stored, build):
     assert found
     for scan in found:
         assert "BroadcastExchange" not in next(x for x in ancestors(lines, scan) if "Exchange" in x)
+
+
+def test_filter_grows_with_the_list(spark, monkeypatch):
+    """A long list gets an array that still tells others apart, up to the longest that is sent with tasks."""
+    keys = spark.range(1).selectExpr("'J' as JobNum")
+    for size, bits in ((0, 1 << 20), (1 << 22, 1 << 20), (1 << 24, 1 << 22), (80_000_000, 1 << 25), (10**10, 1 << 27)):
+        monkeypatch.setattr(key_filter, "input_bytes", lambda _, n=size: n)
+        assert key_filter.bits_for(keys) == bits
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_statuses_of_the_report_are_limited(stored, fixed_plans, as_text):
+    """The filter of the reported jobs reaches the facts below the statuses that the report is given."""
+    statuses = status.job_status(stored, LEGACY)
+    if as_text:
+        report = wip_vs_sales_sql(stored, saved_status_names(statuses), *REPORT)
+    else:
+        report = wip_vs_sales(stored, statuses, *REPORT)
+    lines = without_subqueries(plan(report).splitlines())
+    for table in ("LaborDtl", "JobOper", "PORel", "PartTran", "JobAsmbl"):
+        for scan in scans_of(lines, table):
+            above = ancestors(lines, scan)
+            first = next(i for i, line in enumerate(above) if "Exchange" in line)
+            assert any("getbit" in line for line in above[:first]), table
