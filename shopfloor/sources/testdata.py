@@ -2,8 +2,9 @@
 
 Orders become job heads, order lines become assemblies, operations, releases,
 labor, transactions and sales lines. FIXTURES.md gives the mapping. Nothing is run or
-written here: the tables are plans over the files. Tables that sum order lines deal large files
-out to as many tasks as their size asks for.
+written here: the tables are plans over the files. Company and job number follow from the order's number alone, so lines
+and sums keep that number until a table is done. Tables that sum order lines deal large files out to as many
+tasks as their size asks for.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from shopfloor.sources.shared import input_bytes
 
 _COMPANIES = ["F001", "F101", "F201"]
 _PLANTS = ["MfgSys", "PLT2"]
-#: Bytes of stored order lines that one task joins and sums, some half a million lines.
-_TASK_BYTES = 8 << 20
+#: Bytes of stored order lines that one task joins and sums, some quarter of a million lines.
+_TASK_BYTES = 4 << 20
 #: Files of fewer tasks than these are left to Spark's own number.
 _FEW_TASKS = 8
 
@@ -29,6 +30,21 @@ def _unit_cost(modulus: int) -> str:
     )
 
 
+def _company(order: str) -> str:
+    return f"case when {order} % 10 = 9 then 'F101' when {order} % 10 = 4 then 'F201' else 'F001' end as Company"
+
+
+def _job_num(order: str) -> str:
+    return f"concat('J', cast(case when {order} % 10 = 9 then {order} - 1 else {order} end as string))"
+
+
+#: Columns of a table by job, from the number of the order (and of the line).
+_JOB = [_company("l_orderkey"), f"{_job_num('l_orderkey')} as JobNum"]
+_ASM = [*_JOB, "cast((l_linenumber - 1) % 3 as int) as AssemblySeq"]
+_ORDER = [_company("l_orderkey"), "l_orderkey as OrderNum"]
+_LINE = [*_ORDER, "l_linenumber as OrderLine"]
+
+
 class _Mapping:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
@@ -39,10 +55,8 @@ class _Mapping:
 
     def _heads(self) -> DataFrame:
         return self._read("orders").selectExpr(
-            """case when o_orderkey % 10 = 9 then 'F101' when o_orderkey % 10 = 4 then 'F201'
-                    else 'F001' end as Company""",
-            """concat('J', cast(case when o_orderkey % 10 = 9 then o_orderkey - 1
-                                     else o_orderkey end as string)) as JobNum""",
+            _company("o_orderkey"),
+            f"{_job_num('o_orderkey')} as JobNum",
             "case when o_custkey % 4 = 0 then 'PLT2' else 'MfgSys' end as Plant",
             "concat('P', cast(o_orderkey % 200 as string)) as PartNum",
             "cast(o_orderkey % 50 as decimal(12,2)) as ProdQty",
@@ -58,11 +72,12 @@ class _Mapping:
         )
 
     def _lines(self, summed: bool = False) -> DataFrame:
-        """Order lines with their job. If they are ``summed`` by order, sorts and sums share the tasks of the join,
-        whose number then follows the size of the files, not the session's.
+        """Order lines that have an order, with its plant; once per row of the order.
+
+        Long files are matched by hashing the orders, so no task sorts lines. If lines are ``summed`` by order, the sums
+        share the tasks of the join, whose number then follows the size of the files, not the session's.
         """
         lines = self._read("lineitem").selectExpr(
-            "cast((l_linenumber - 1) % 3 as int) as AssemblySeq",
             "l_orderkey",
             "cast(l_linenumber as int) as l_linenumber",
             "l_partkey",
@@ -73,17 +88,19 @@ class _Mapping:
             "l_linestatus",
             "cast(l_shipdate as date) as sd",
         )
-        heads = self._heads().select("Company", "JobNum", "Plant", "o_orderkey")
-        tasks = -(-input_bytes(lines) // _TASK_BYTES) if summed else 0
+        heads = self._heads().select("Plant", "o_orderkey")
+        tasks = -(-input_bytes(lines) // _TASK_BYTES)
         if tasks > _FEW_TASKS:
-            lines, heads = lines.repartition(tasks, "l_orderkey"), heads.repartition(tasks, "o_orderkey")
+            if summed:
+                lines, heads = lines.repartition(tasks, "l_orderkey"), heads.repartition(tasks, "o_orderkey")
+            heads = heads.hint("shuffle_hash")
         return lines.join(heads, lines.l_orderkey == heads.o_orderkey).drop("o_orderkey")
 
     def _operations(self) -> DataFrame:
         """Two operations per order line; lines of one number are one."""
         lines = (
             self._lines(summed=True)
-            .groupBy("Company", "JobNum", "AssemblySeq", "l_orderkey", "l_linenumber")
+            .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_partkey").alias("l_partkey"),
                 F.min("l_suppkey").alias("l_suppkey"),
@@ -94,9 +111,7 @@ class _Mapping:
         )
         code = "(l_partkey + 3 * k) % 8"
         return lines.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(
-            "Company",
-            "JobNum",
-            "AssemblySeq",
+            *_ASM,
             "10 * (2 * l_linenumber + k) as OprSeq",
             f"""case {code} when 0 then 'HT-OVOP' when 1 then 'OMC-OVOP' when 2 then 'OMP-OVOP'
                 when 3 then '9-OP' when 4 then 'PL-OVOP' else 'MILL' end as OpCode""",
@@ -114,7 +129,8 @@ class _Mapping:
     def job_asmbl(self) -> DataFrame:
         return (
             self._lines(summed=True)
-            .groupBy("Company", "JobNum", "AssemblySeq", "Plant", "l_orderkey")
+            .withColumn("AssemblySeq", F.expr("cast((l_linenumber - 1) % 3 as int)"))
+            .groupBy("l_orderkey", "AssemblySeq", "Plant")
             .agg(
                 F.min("l_partkey").alias("part"),
                 F.max(F.expr("case when l_linestatus = 'O' then 1 else 0 end")).alias("open_lines"),
@@ -128,8 +144,7 @@ class _Mapping:
                 F.min("sd").alias("StartDate"),
             )
             .selectExpr(
-                "Company",
-                "JobNum",
+                *_JOB,
                 "AssemblySeq",
                 "case when AssemblySeq = 2 and l_orderkey % 5 = 0 then 'PLT9' else Plant end as Plant",
                 "concat('P', cast(part as string)) as PartNum",
@@ -181,11 +196,12 @@ class _Mapping:
         )
 
     def part_tran(self) -> DataFrame:
+        company, _, assembly = _ASM
         return self._lines().selectExpr(
-            "Company",
+            company,
             "case when l_partkey % 9 = 0 then 'PLT9' else Plant end as Plant",
-            "case when l_suppkey % 50 = 0 then '' else JobNum end as JobNum",
-            "AssemblySeq",
+            f"case when l_suppkey % 50 = 0 then '' else {_job_num('l_orderkey')} end as JobNum",
+            assembly,
             "case when l_returnflag = 'N' then 'I' else 'R' end as TranClass",
             """case when l_returnflag = 'N' then 'STK-MTL' when l_suppkey % 3 = 0 then 'MFG-STK'
                     when l_suppkey % 3 = 1 then 'MFG-CUS' else 'MFG-VAR' end as TranType""",
@@ -203,9 +219,9 @@ class _Mapping:
             self._lines()
             .filter("l_returnflag = 'R' and l_linenumber = 7")
             .selectExpr(
-                "Company",
+                _JOB[0],
                 "Plant",
-                "JobNum",
+                _JOB[1],
                 "q as TotDiscrepantQty",
                 "cast(l_suppkey % 5 as decimal(12,2)) as TotAcceptedQty",
                 f"{_unit_cost(97)} as AvgMtlUnitCost",
@@ -219,22 +235,13 @@ class _Mapping:
         )
 
     def job_prod(self) -> DataFrame:
-        return (
-            self._lines(summed=True)
-            .selectExpr(
-                "Company",
-                "JobNum",
-                "l_orderkey as OrderNum",
-                "l_linenumber as OrderLine",
-                "1 as OrderRelNum",
-            )
-            .distinct()
-        )
+        lines = self._lines(summed=True).select("l_orderkey", "l_linenumber").distinct()
+        return lines.selectExpr(*_JOB, *_LINE[1:], "1 as OrderRelNum")
 
     def order_rel(self) -> DataFrame:
         return (
             self._lines(summed=True)
-            .groupBy("Company", "l_orderkey", "l_linenumber")
+            .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.expr("cast(sum(q) as decimal(12,2))").alias("OurReqQty"),
                 F.expr(
@@ -247,9 +254,7 @@ class _Mapping:
                 ).alias("OurStockShippedQty"),
             )
             .selectExpr(
-                "Company",
-                "l_orderkey as OrderNum",
-                "l_linenumber as OrderLine",
+                *_LINE,
                 "1 as OrderRelNum",
                 "OurReqQty",
                 "OurJobShippedQty",
@@ -260,12 +265,10 @@ class _Mapping:
     def order_dtl(self) -> DataFrame:
         return (
             self._lines(summed=True)
-            .groupBy("Company", "l_orderkey", "l_linenumber")
+            .groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("part"))
             .selectExpr(
-                "Company",
-                "l_orderkey as OrderNum",
-                "l_linenumber as OrderLine",
+                *_LINE,
                 "cast(900 + part % 3 as decimal(12,4)) as UnitPrice",
             )
         )
@@ -274,8 +277,9 @@ class _Mapping:
         return (
             self._lines(summed=True)
             .filter("l_orderkey % 23 <> 0")
-            .selectExpr("Company", "l_orderkey as OrderNum")
+            .select("l_orderkey")
             .distinct()
+            .selectExpr(*_ORDER)
         )
 
     def erp_part(self) -> DataFrame:

@@ -149,3 +149,16 @@ def test_summed_lines_are_dealt_by_size(spark, sf_dir, monkeypatch):
         text = erp[name]._jdf.queryExecution().optimizedPlan().toString()
         assert re.search(r"RepartitionByExpression \[l_orderkey#\d+L\], (20|21)\b", text)
     assert bag(erp["OrderRel"]) == few
+
+
+def test_order_lines_are_matched_without_sorting(spark, sf_dir, monkeypatch):
+    """Long files of lines meet their orders by hashing, also where nothing is summed; repeated and missing keys give the same rows."""
+    names = ("JobAsmbl", "JobOper", "PORel", "LaborDtl", "PartTran", "DMRHead", "JobProd", "OrderRel", "OrderDtl", "OrderHed")
+    before = {name: bag(erp_from_testdata(spark, sf_dir)[name]) for name in names}
+    size = input_bytes(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    monkeypatch.setattr(testdata, "_TASK_BYTES", size // 20)
+    for name in names:
+        table = erp_from_testdata(spark, sf_dir)[name]
+        text = table._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+        assert bag(table) == before[name]
