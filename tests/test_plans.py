@@ -13,7 +13,9 @@ from shopfloor.functions.key_filter import may_hold
 from shopfloor.functions.naming import saved_status_names
 from shopfloor.plans.wip_report import wip_total, wip_vs_job_status, wip_vs_sales
 from shopfloor.plans.wip_sql import wip_vs_sales_sql
+from shopfloor.operators.sales import open_order_value
 from shopfloor.schemas import ERP_SCHEMAS
+from shopfloor.sources import shared
 from shopfloor.sources.erp import ErpTables, erp_from_parquet
 from tests.shop import Shop
 
@@ -237,3 +239,25 @@ def test_statuses_of_the_report_are_limited(stored, fixed_plans, as_text):
             above = ancestors(lines, scan)
             first = next(i for i, line in enumerate(above) if "Exchange" in line)
             assert any("getbit" in line for line in above[:first]), table
+
+
+def test_large_files_keep_their_tasks(stored, no_broadcast, monkeypatch):
+    """Rows of large files go to the session's number of tasks, which adaptive execution does not merge."""
+    monkeypatch.setattr(shared, "LARGE_BYTES", 0)
+    built = {
+        r"hashpartitioning\(JobNum#\d+, AssemblySeq#\d+, \d+\), REPARTITION_BY_NUM": status.job_status_counted(stored, OPEN_FIRM),
+        r"hashpartitioning\(JobNum#\d+, \d+\), REPARTITION_BY_NUM": status.job_status_counted(stored, LEGACY),
+        r"hashpartitioning\(Company#\d+, JobNum#\d+, AssemblySeq#\d+, \d+\), REPARTITION_BY_NUM": evidence.last_ov_operation(
+            stored, evidence.ALL_JOBS
+        ),
+        r"hashpartitioning\(Company#\d+, OrderNum#\d+L, OrderLine#\d+, \d+\), REPARTITION_BY_NUM": open_order_value(stored),
+    }
+    for exchange, df in built.items():
+        assert re.search(exchange, plan(df))
+
+
+def test_roll_up_moves_assemblies_once(stored, fixed_plans):
+    """Window, distinct rows, roll-up and shared levels of the legacy status stand above one exchange by job number."""
+    lines = plan(status.job_status_counted(stored, LEGACY)).splitlines()
+    top = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert re.search(r"hashpartitioning\(JobNum#\d+, \d+\), REPARTITION_BY_COL", lines[top])
