@@ -34,7 +34,7 @@ from shopfloor.functions.conditions import (
 )
 from shopfloor.functions.fixed_point import whole_units
 from shopfloor.schemas import ASM, JOB, OPR
-from shopfloor.sources.shared import dealt
+from shopfloor.sources.shared import dealt, spread, widened
 
 Erp = Mapping[str, DataFrame]
 
@@ -51,7 +51,8 @@ def job_heads(erp: Erp, mode: str) -> DataFrame:
 
 def assembly_keys(erp: Erp, mode: str) -> DataFrame:
     """Keys of the assemblies whose job the rule set looks at."""
-    return erp["JobAsmbl"].select(ASM).join(job_heads(erp, mode).select(JOB), JOB, "left_semi")
+    heads = spread(job_heads(erp, mode).select(JOB), erp["JobAsmbl"], *JOB)
+    return erp["JobAsmbl"].select(ASM).join(heads, JOB, "left_semi")
 
 
 def match_key(mode: str) -> list[str]:
@@ -79,8 +80,9 @@ def labor_summary(labor: DataFrame) -> DataFrame:
 
 def last_ov_operation(erp: Erp, mode: str) -> DataFrame:
     """Last outside operation per assembly, farm-outs not counted."""
-    outside = erp["JobOper"].filter(OUTSIDE).groupBy(ASM).agg(F.max("OprSeq").alias("LastOVOp"))
-    found = _of_assemblies(outside, erp, mode)
+    outside = widened(erp["JobOper"].filter(OUTSIDE).select(*ASM, "OprSeq"), erp["JobAsmbl"], *ASM)
+    last = outside.groupBy(ASM).agg(F.max("OprSeq").alias("LastOVOp"))
+    found = _of_assemblies(last, erp, mode)
     if mode == LEGACY:
         return found.groupBy(match_key(mode)).agg(F.max("LastOVOp").alias("LastOVOp"))
     return found

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _RESULT = "_result"
 #: Files of more bytes than these are large: rows read from them are not left to be merged into few tasks.
 LARGE_BYTES = 32 << 20
+#: Bytes of such files to a task at most, whatever the session's number of tasks.
+DEALT_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,13 +38,33 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def dealt(rows: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` dealt out by ``keys``; where ``source`` has large files to the session's number of tasks, which then stays as it is.
+    """``rows`` dealt out by ``keys``; where ``source`` has large files to a number of tasks which then stays as it is.
 
+    That is the session's, or more where a task would stand for over ``DEALT_BYTES``.
     Adaptive execution merges tasks by compressed bytes, of which narrow rows take fifty times as many when they are sorted.
     """
-    if input_bytes(source) <= LARGE_BYTES:
+    size = input_bytes(source)
+    if size <= LARGE_BYTES:
         return rows.repartition(*keys)
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(max(_session_tasks(rows), -(-size // DEALT_BYTES)), *keys)
+
+
+def spread(rows: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """One side of a join by ``keys``: as ``dealt`` where ``source`` has large files, else left to Spark."""
+    return dealt(rows, source, *keys) if input_bytes(source) > LARGE_BYTES else rows
+
+
+def widened(rows: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """Rows to be grouped by ``keys`` and joined with ``dealt`` ones: dealt out alike if that takes more tasks than the session's.
+
+    Otherwise Spark would take the number of tasks of the grouping, the session's, for the join.
+    """
+    size = input_bytes(source)
+    return dealt(rows, source, *keys) if size > max(LARGE_BYTES, DEALT_BYTES * _session_tasks(rows)) else rows
+
+
+def _session_tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def kept(df: DataFrame) -> DataFrame:

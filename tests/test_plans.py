@@ -261,3 +261,15 @@ def test_roll_up_moves_assemblies_once(stored, fixed_plans):
     lines = plan(status.job_status_counted(stored, LEGACY)).splitlines()
     top = next(i for i, line in enumerate(lines) if "Exchange" in line)
     assert re.search(r"hashpartitioning\(JobNum#\d+, \d+\), REPARTITION_BY_COL", lines[top])
+
+
+def test_large_files_raise_the_number_of_tasks(stored, no_broadcast, monkeypatch):
+    """Where the session's number is too small for the files, rows are dealt out to more tasks; heads are not merged either."""
+    monkeypatch.setattr(shared, "LARGE_BYTES", 0)
+    size = shared.input_bytes(stored["JobAsmbl"])
+    monkeypatch.setattr(shared, "DEALT_BYTES", size // 6)
+    tasks = -(-size // (size // 6))
+    text = plan(evidence.last_ov_operation(stored, evidence.ALL_JOBS))
+    by_assembly = re.findall(r"hashpartitioning\(Company#\d+, JobNum#\d+, AssemblySeq#\d+, (\d+)\), REPARTITION_BY_NUM", text)
+    assert by_assembly == [str(tasks)] * 2
+    assert re.search(r"hashpartitioning\(Company#\d+, JobNum#\d+, \d+\), REPARTITION_BY_NUM", text)
