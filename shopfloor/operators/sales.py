@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.operators.evidence import Erp
 from shopfloor.schemas import JOB
-from shopfloor.sources.shared import dealt
+from shopfloor.sources.shared import dealt, spread
 
 ORDER = ["Company", "OrderNum"]
 LINE = [*ORDER, "OrderLine"]
@@ -20,7 +20,7 @@ def open_lines(erp: Erp) -> DataFrame:
     The order tables are joined first, from the head down, so that the long list
     of jobs is moved once.
     """
-    lines = erp["OrderDtl"].join(erp["OrderHed"], ORDER, "left_semi")
+    lines = erp["OrderDtl"].join(spread(erp["OrderHed"], erp["OrderDtl"], *ORDER), ORDER, "left_semi")
     releases = erp["OrderRel"].selectExpr(
         *RELEASE, "OurReqQty - OurJobShippedQty - OurStockShippedQty as Remaining"
     )

@@ -40,6 +40,7 @@ from shopfloor.operators.job_fold import (
 )
 from shopfloor.operators.status import LEVELS, level_sums, shared_levels, statuses_of_levels, with_status
 from shopfloor.schemas import ASM, JOB
+from shopfloor.sources.shared import dealt, spread
 
 _LEFT = " - ".join(["{0}", *[f"{kind}{{1}}" for kind in TAKEN]])
 _HEAD = "first(Head, true)"
@@ -124,7 +125,8 @@ def wip_vs_job_status(
         *JOB, "Plant as _home", "PartNum", "ProdQty", "ReportedPart", f"{reported} as Reported"
     )
     at_home = "coalesce(Plant = _home, false)"
-    base = near["JobAsmbl"].withColumnRenamed("PartNum", "AsmPartNum").join(heads, JOB).selectExpr(
+    assemblies = near["JobAsmbl"].withColumnRenamed("PartNum", "AsmPartNum")
+    base = assemblies.join(spread(heads, assemblies, *JOB), JOB).selectExpr(
         *ASM,
         "AsmPartNum",
         "PartNum",
@@ -141,7 +143,7 @@ def wip_vs_job_status(
     per_job |= {name: levels[name] for name in counted}
     # The part belongs to the job; as a key it needs no aggregate of strings.
     assemblies = (
-        with_status(evidence_rows(near, LEGACY, base=base, carry=carry))
+        with_status(evidence_rows(near, LEGACY, base=spread(base, near["JobAsmbl"], *ASM), carry=carry))
         .groupBy(*JOB, "ReportedPart")
         .agg(*rounded_buckets(), *[F.expr(sql).alias(name) for name, sql in per_job.items()])
         .selectExpr(*JOB, "ReportedPart", *per_job, f"{' + '.join(BUCKETS)} as JobTotal")
@@ -152,7 +154,8 @@ def wip_vs_job_status(
         **{name: f"sum({name})" for name in ("OpenValue", *counted)},
     }
     money = fold(_facts(near, report_date, cutoff), {"OpenValue": "sum(OpenValue)"})
-    jobs = by_job(together([assemblies, money]), ["Total"], figures)
+    # The statuses lie by job number; with the money dealt out alike, fold and report move nothing more.
+    jobs = by_job(together([assemblies, dealt(money, near["JobAsmbl"], "JobNum")]), ["Total"], figures)
     kept = [*JOB, "PartNum", "JobTotal", "OpenValue", *TAKEN]
     shared = jobs.selectExpr(*kept, "Reported", "AtHome", "TopStatus", "Tops", *shared_levels())
     statuses = f"if(Tops > 0, {statuses_of_levels(LEGACY)}, array())"

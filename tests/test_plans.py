@@ -273,3 +273,28 @@ def test_large_files_raise_the_number_of_tasks(stored, no_broadcast, monkeypatch
     by_assembly = re.findall(r"hashpartitioning\(Company#\d+, JobNum#\d+, AssemblySeq#\d+, (\d+)\), REPARTITION_BY_NUM", text)
     assert by_assembly == [str(tasks)] * 2
     assert re.search(r"hashpartitioning\(Company#\d+, JobNum#\d+, \d+\), REPARTITION_BY_NUM", text)
+
+
+def test_joins_of_the_report_keep_their_tasks(stored, no_broadcast, monkeypatch):
+    """Order heads, job heads and assemblies of large files are not merged into few sorting tasks."""
+    monkeypatch.setattr(shared, "LARGE_BYTES", 0)
+    text = plan(wip_vs_job_status(stored, *REPORT))
+    for keys in ("Company, OrderNum", "Company, JobNum", "Company, JobNum, AssemblySeq"):
+        assert re.search(rf"hashpartitioning\({keys.replace(',', r'#\d+L?,')}#\d+L?, \d+\), REPARTITION_BY_NUM", text), keys
+
+
+def test_report_limits_the_order_tables(stored, fixed_plans):
+    """Orders behind no reported job are dropped where order tables are read, below any exchange."""
+    report = without_subqueries(plan(wip_vs_job_status(stored, *REPORT)).splitlines())
+    for table in ("OrderRel", "OrderDtl", "OrderHed"):
+        (scan,) = scans_of(report, table)
+        above = ancestors(report, scan)
+        first = next(i for i, line in enumerate(above) if "Exchange" in line)
+        assert any("getbit" in line for line in above[:first]), table
+
+
+def test_report_moves_jobs_once(stored, fixed_plans):
+    """Statuses and money meet by job number; fold and report stand above them without another exchange."""
+    lines = without_subqueries(plan(wip_vs_job_status(stored, *REPORT)).splitlines())
+    top = next(i for i, line in enumerate(lines) if re.search(r"[+:]- Union", line))
+    assert not any("Exchange" in line for line in lines[:top])
