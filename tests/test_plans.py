@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from shopfloor.constants import HEAD_QTY, LEGACY, OPEN_FIRM
-from shopfloor.operators import compare, costing, evidence, status
+from shopfloor.operators import compare, costing, evidence, job_fold, status
 from shopfloor.functions import key_filter
 from shopfloor.functions.key_filter import may_hold
 from shopfloor.functions.naming import saved_status_names
@@ -298,3 +298,45 @@ def test_report_moves_jobs_once(stored, fixed_plans):
     lines = without_subqueries(plan(wip_vs_job_status(stored, *REPORT)).splitlines())
     top = next(i for i, line in enumerate(lines) if re.search(r"[+:]- Union", line))
     assert not any("Exchange" in line for line in lines[:top])
+
+
+@pytest.mark.parametrize("build", [wip_vs_job_status, wip_total])
+def test_long_filters_are_not_in_the_tasks(stored, fixed_plans, monkeypatch, build):
+    """A long array is named once, below a broadcast that all tables share, not by every stage that reads one."""
+    monkeypatch.setattr(job_fold, "bits_for", lambda _: 1 << 23)
+    lines = plan(build(stored, *REPORT)).splitlines()
+    report = without_subqueries(lines)
+    scans = [i for table in ("PartTran", "JobAsmbl", "DMRHead") for i in scans_of(report, table)]
+    assert scans
+    for scan in scans:
+        above = ancestors(report, scan)
+        first = next(i for i, line in enumerate(above) if "Exchange" in line)
+        (join,) = [line for line in above[:first] if "getbit" in line]
+        assert "BroadcastHashJoin" in join and "LeftSemi" in join and "ubquery" not in join
+    orders = build is wip_vs_job_status
+    assert len([x for x in lines if "ubquery" in x and "slice(" in x]) == 1 + orders
+
+
+def test_given_statuses_of_long_lists_are_limited(stored, fixed_plans, monkeypatch):
+    """The filter of given statuses stays with the tasks, so it reaches all facts below them, and is bounded."""
+    monkeypatch.setattr(job_fold, "bits_for", lambda _: 1 << 27)
+    lines = plan(wip_vs_sales(stored, status.job_status(stored, LEGACY), *REPORT)).splitlines()
+    report = without_subqueries(lines)
+    for table in ("LaborDtl", "JobOper", "PORel"):
+        for scan in scans_of(report, table):
+            above = ancestors(report, scan)
+            first = next(i for i, line in enumerate(above) if "Exchange" in line)
+            assert any("getbit" in line and f"{job_fold.STATUS_BITS // 64}" in line for line in above[:first]), table
+
+
+def test_long_filter_never_drops_a_key(spark):
+    keys = spark.range(3000).selectExpr("concat('J', id) as JobNum", "id as OrderNum")
+    rows = spark.range(60_000).selectExpr("concat('J', id) as JobNum", "id as OrderNum")
+    rows = rows.union(spark.createDataFrame([(None, None)], "JobNum string, OrderNum bigint")).repartition(3)
+    for column in ("JobNum", "OrderNum"):
+        for bits in (64, 64 * 1500, 1 << 20):
+            long, short = (rows.where(may_hold(keys, column, bits, longest=n)) for n in (0, bits))
+            assert long.join(keys, column, "left_semi").count() == 3000
+            assert bits == 64 or long.count() < 0.07 * 60_000
+            assert sorted(long.collect(), key=str) == sorted(short.collect(), key=str)
+    assert rows.where(may_hold(keys.limit(0), "JobNum", longest=0)).isEmpty()
