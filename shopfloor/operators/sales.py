@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.operators.evidence import Erp
 from shopfloor.schemas import JOB
-from shopfloor.sources.shared import dealt, spread
+from shopfloor.sources.shared import spread
 
 ORDER = ["Company", "OrderNum"]
 LINE = [*ORDER, "OrderLine"]
@@ -24,7 +24,7 @@ def open_lines(erp: Erp) -> DataFrame:
     releases = erp["OrderRel"].selectExpr(
         *RELEASE, "OurReqQty - OurJobShippedQty - OurStockShippedQty as Remaining"
     )
-    return erp["JobProd"].join(dealt(releases, erp["OrderRel"], *LINE).join(lines, LINE), RELEASE)
+    return erp["JobProd"].join(spread(releases, erp["OrderRel"], *LINE).join(lines, LINE), RELEASE)
 
 
 def open_order_value(erp: Erp) -> DataFrame:
